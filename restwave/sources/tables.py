@@ -56,8 +56,8 @@ class TableStore:
             self.create(name)
 
     def create(self, name: str) -> None:
-        empty = self.spark.createDataFrame([], table(name).schema)
-        empty.write.mode("ignore").parquet(self.uri(name))
+        empty = self.spark.createDataFrame([], table(name).schema.add(PART, "string"))
+        empty.write.mode("ignore").partitionBy(PART).parquet(self.uri(name))
 
     def _stored(self, name: str) -> DataFrame:
         t = table(name)
