@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 _NEW = "_new_"
 
 
-def last_write(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The row of each key with the greatest `order`, without the order columns.
+def last_write(df: DataFrame, keys: Sequence[str], order: Sequence[str],
+               keep: Sequence[str] = ()) -> DataFrame:
+    """The row of each key with the greatest `order`; of the order columns only `keep` stay.
 
     An aggregate rather than a ranking window: it combines on the map side, so a key repeated
     very often in one batch does not gather in one task.
     """
-    payload = [c for c in df.columns if c not in keys and c not in order]
+    payload = [c for c in df.columns if c not in keys and (c not in order or c in keep)]
     kept = F.max_by(F.struct(*payload), F.struct(*order))
     return df.groupBy(*keys).agg(kept.alias("_row")).select(*keys, "_row.*")
 

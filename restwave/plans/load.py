@@ -52,7 +52,8 @@ def load_intraday(store: TableStore, landed: DataFrame, name: str, run_date: dt.
     due = landed.where(F.col("query_date").between(F.lit(start), F.lit(run_date))).join(
         terminal_dates(closed), ["user_id", "query_date"], "left_anti")
     rows = decode_intraday(due, name, answers)
-    batch = last_write(rows, ("user_id", "date_time_utc"), ("batch", "query_date", "item"))
+    batch = last_write(rows, ("user_id", "date_time_utc"), ("batch", "query_date", "item"),
+                       keep=("query_date",))
     # Placeholders are stored; the marker of a fetched day only removes an earlier placeholder.
     batch = (batch.withColumn(REMOVE, F.col(REMOVE) & (F.col("pull_status") == F.lit("fetched")))
              .withColumn("date_pulled", F.lit(run_date)))

@@ -29,8 +29,8 @@ def from_paths(files: DataFrame) -> DataFrame:
 
 def read_landed(spark: SparkSession, root: str, metric: str, first_batch: int | None = None) -> DataFrame:
     """Landed responses of one metric; only its own directory is listed."""
-    files = (spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-             .text(f"{root.rstrip('/')}/metric={metric}"))
+    files = spark.read.text(f"{root.rstrip('/')}/metric={metric}", wholetext=True,
+                            recursiveFileLookup=True)
     landed = from_paths(files)
     return landed if first_batch is None else landed.where(F.col("batch") >= first_batch)
 
