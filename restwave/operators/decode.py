@@ -54,7 +54,8 @@ def weigh_in_days(rows: DataFrame) -> DataFrame:
     A day landed in several batches counts only its newest batch.
     """
     values = [c for c in rows.columns if c not in ("user_id", "date", *ORDER)]
-    per_batch = daily_mean(rows, values, keys=("user_id", "batch"))
+    # Reduced to days, one exchange by user serves both the newest batch and the calendar.
+    per_batch = daily_mean(rows, values, keys=("user_id", "batch")).repartition("user_id")
     days = fill_calendar(last_write(per_batch, ("user_id", "date"), ("batch",)))
     return (days.withColumns({c: grams_to_pounds(c) for c in ("weight", "muscle_mass", "bone_mass")})
             .withColumn("fat_mass", F.col("body_fat") * F.col("weight") / F.lit(100.0)))

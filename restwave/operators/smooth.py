@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from restwave.functions import nan_to_null, parse_smooth_name, smooth_name
-from restwave.operators.banded import PAIR_BUDGET, banded_means, boxcar_distance, gaussian_distance
+from restwave.operators.banded import WINDOW_BUDGET, banded_means, boxcar_distance, gaussian_distance
 from restwave.schemas import BANDWIDTHS, KERNELS, SMOOTHED_COLUMNS
 
 SERIES_KEYS = ("user_id", "metric", "series")
@@ -48,18 +48,19 @@ def kernel_smooth(df: DataFrame, kernels: Sequence[str] = KERNELS,
     names = kernel_names(kernels)
     gaussian = [gaussian_distance(b, reach) for b in bandwidths] if "gaussian" in names else []
     boxcar = [boxcar_distance(b) for b in bandwidths] if "boxcar" in names else []
-    if how == "auto":
-        width = max((k.hi - k.lo + 1 for k in gaussian), default=0)
-        how = "pairs" if width * len(gaussian) <= PAIR_BUDGET else "blocks"
-    # A block pass serves both kernels; narrow boxcars alone are ordinary range windows.
-    banded = gaussian + boxcar if how == "blocks" else gaussian
+    narrow = sum(k.hi - k.lo + 1 for k in boxcar) <= WINDOW_BUDGET
+    # Boxcars join a block pass that runs anyway; narrow ones alone are ordinary range windows.
+    windowed = boxcar and (how == "pairs" or (how == "auto" and narrow and not gaussian))
+    banded = gaussian if windowed else gaussian + boxcar
+    if how == "auto" and boxcar:
+        how = "blocks"
     parts = []
     if banded:
         dated = df.select(*keys, F.unix_date(date).alias("_day"), value)
         parts.append(banded_means(dated, keys, "_day", value, banded, how)
                      .withColumn(date, F.date_from_unix_date("_day"))
                      .select(*keys, date, "kernel", "bandwidth", "value"))
-    if boxcar and how != "blocks":
+    if windowed:
         parts.append(boxcar_means(df, bandwidths, keys, date, value))
     return reduce(DataFrame.unionByName, parts)
 
@@ -94,10 +95,14 @@ def align_to_dates(spine: DataFrame, smoothed: DataFrame, on: Sequence[str]) ->
 def wide(smoothed: DataFrame, columns: Sequence[str], kernels: Sequence[str] = KERNELS,
          bandwidths: Sequence[int] = BANDWIDTHS, keys: Sequence[str] = ("user_id",),
          date: str = "date") -> DataFrame:
-    """Wide export of one metric: a column per (series, kernel, bandwidth)."""
+    """Wide export of one metric: a column per (series, kernel, bandwidth).
+
+    Partitioned by row key first, both steps of the pivot stay local: otherwise each name of a
+    row could reach the second step as a wide row of its own.
+    """
     names = [smooth_name(c, k, b) for c in columns for k in kernel_names(kernels) for b in bandwidths]
     name = F.concat_ws("_", "series", "kernel", F.col("bandwidth").cast("string"))
-    return (smoothed.select(*keys, date, name.alias("_name"), "value")
+    return (smoothed.select(*keys, date, name.alias("_name"), "value").repartition(*keys, date)
             .groupBy(*keys, date).pivot("_name", names).agg(F.first("value")))
 
 

@@ -9,17 +9,36 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from restwave.functions import nan_to_null
-from restwave.operators.banded import banded_means, gaussian_rows
+from restwave.operators.banded import WINDOW_BUDGET, Kernel, banded_means, gaussian_rows, simple_rows
 from restwave.schemas import ROW_WIDTHS
 
 
+def numbered(df: DataFrame, value: str, keys: Sequence[str], date: str) -> DataFrame:
+    """Rows with their place in date order. Rows are numbered before nulls are set aside: an
+    empty row still holds its place."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(date))
+    return df.select(*keys, date, value, place.alias("_row"))
+
+
+def _banded_rows(df: DataFrame, value: str, kernels: Sequence[Kernel], keys: Sequence[str],
+                 date: str, how: str) -> DataFrame:
+    means = banded_means(numbered(df, value, keys, date), keys, "_row", value, kernels, how, carry=[date])
+    return means.select(*keys, date, "kernel", "bandwidth", "value")
+
+
 def simple_row_means(df: DataFrame, value: str, widths: Sequence[int] = ROW_WIDTHS,
-                     keys: Sequence[str] = ("user_id",), date: str = "date") -> DataFrame:
+                     keys: Sequence[str] = ("user_id",), date: str = "date",
+                     how: str = "auto") -> DataFrame:
     """Mean of the non-null cells in `width` rows centred on each row, in date order.
 
-    All widths share one window specification: one exchange and one sort. A partition is one
-    series, whose length the calendar bounds.
+    Narrow widths share one window specification: one exchange and one sort. A sliding frame is
+    summed anew for each row, so many wide ones are banded means instead. A window partition is
+    one series, whose length the calendar bounds.
     """
+    if how == "auto":
+        how = "window" if sum(widths) <= WINDOW_BUDGET else "blocks"
+    if how != "window":
+        return _banded_rows(df, value, [simple_rows(w) for w in widths], keys, date, how)
     rows = Window.partitionBy(*keys).orderBy(date)
     y = nan_to_null(F.col(value).cast("double"))
     means = [F.avg(y).over(rows.rowsBetween(-(w // 2), (w - 1) // 2)).alias(f"_w{w}") for w in widths]
@@ -31,22 +50,15 @@ def simple_row_means(df: DataFrame, value: str, widths: Sequence[int] = ROW_WIDT
 def gaussian_row_means(df: DataFrame, value: str, widths: Sequence[int] = ROW_WIDTHS,
                        keys: Sequence[str] = ("user_id",), date: str = "date",
                        how: str = "auto") -> DataFrame:
-    """As `simple_row_means` with gaussian weights (std = width / 2).
-
-    Rows are numbered before nulls are set aside: an empty row still holds its place.
-    """
-    numbered = df.select(*keys, date, value, F.row_number().over(
-        Window.partitionBy(*keys).orderBy(date)).alias("_row"))
-    kernels = [gaussian_rows(w) for w in widths]
-    return (banded_means(numbered, keys, "_row", value, kernels, how, carry=[date])
-            .select(*keys, date, "kernel", "bandwidth", "value"))
+    """As `simple_row_means` with gaussian weights (std = width / 2)."""
+    return _banded_rows(df, value, [gaussian_rows(w) for w in widths], keys, date, how)
 
 
 def row_means(df: DataFrame, value: str, widths: Sequence[int] = ROW_WIDTHS,
               keys: Sequence[str] = ("user_id",), date: str = "date") -> DataFrame:
-    """Simple and gaussian row means together."""
-    return simple_row_means(df, value, widths, keys, date).unionByName(
-        gaussian_row_means(df, value, widths, keys, date))
+    """Simple and gaussian row means together, in one pass."""
+    kernels = [simple_rows(w) for w in widths] + [gaussian_rows(w) for w in widths]
+    return _banded_rows(df, value, kernels, keys, date, "auto")
 
 
 def source_version(df: DataFrame) -> str:

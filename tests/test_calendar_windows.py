@@ -87,9 +87,10 @@ def test_sma_worked_example(make):
     assert [r.value for r in out.collect()] == [3.0, 2.0, 2.5, 2.5]
 
 
-def test_sma_matches_pandas(spark):
+@pytest.mark.parametrize("how", ["window", "blocks", "auto"])
+def test_sma_matches_pandas(spark, how):
     rows, df = long_series(spark, users=1)
-    out = windows.simple_row_means(df, "value", (1, 3, 4, 7, 8, 175))
+    out = windows.simple_row_means(df, "value", (1, 3, 4, 7, 8, 175), how=how)
     pdf = pd.DataFrame(rows, columns=["user_id", "m", "s", "date", "v"]).sort_values("date")
     got = {(r.date, r.bandwidth): r.value for r in out.collect()}
     for w in (1, 3, 4, 7, 8, 175):
@@ -228,7 +229,7 @@ def test_plans(spark):
     _, df = long_series(spark, users=2)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
-        text = plan_of(smooth.kernel_smooth(df, ["gaussian"], (1, 7)))
+        text = plan_of(smooth.kernel_smooth(df, ["gaussian"], (1, 7), how="pairs"))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "NestedLoop" not in text and "Cartesian" not in text and "Python" not in text and "Arrow" not in text
@@ -236,5 +237,7 @@ def test_plans(spark):
     assert text.count("Exchange hashpartitioning") == 2
     text = plan_of(smooth.kernel_smooth(df))
     assert "Join" not in text and text.count("Exchange hashpartitioning") == 1
-    text = plan_of(windows.simple_row_means(df, "value"))
-    assert text.count("Exchange hashpartitioning") == 1 and text.count("Sort [") == 1
+    for narrow in (windows.simple_row_means(df, "value", (7, 14)), smooth.kernel_smooth(df, ["boxcar"], (7, 14))):
+        text = plan_of(narrow)
+        assert text.count("Exchange hashpartitioning") == 1 and text.count("Sort [") == 1
+        assert "Python" not in text and "Arrow" not in text
