@@ -172,6 +172,19 @@ def test_long_series_spans_many_blocks(spark):
                         & (F.coalesce(F.abs(F.col("value") - F.col("other")), F.lit(1.0)) > 1e-9)).isEmpty()
 
 
+def test_blocks_may_straddle_batches(spark):
+    rows, df = long_series(spark, users=4, days=90)
+    df = df.withColumn("user_id", F.when(F.col("user_id") != "u1", F.col("user_id")))
+    want = smooth.kernel_smooth(df, ["gaussian"], (3, 7), how="blocks")
+    before = sorted(want.collect(), key=str)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert sorted(want.collect(), key=str) == before
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(before) == len(rows) * 2 and any(r.user_id is None for r in before)
+
+
 def test_smoothing_properties(spark):
     rows, df = long_series(spark, users=1)
     same = smooth.kernel_smooth(df, ["boxcar"], (1,)).collect()
