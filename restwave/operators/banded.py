@@ -10,8 +10,8 @@ same result:
   a dense convolution of one block.
 
 Measured on 400 series of 3,000 days, local[8]: three gaussians (reach 56 days) took 10.2 s as
-pairs and 2.8 s as blocks; all 44 standard kernels (reach 588 days) 7.0 s as blocks, while their
-22 boxcars alone took 25.9 s as range windows. So pairs and windows serve only narrow bands.
+pairs and 2.0 s as blocks; all 44 standard kernels (reach 588 days) 5.6 s as blocks, while their
+22 boxcars alone took 25 s as range windows. So pairs and windows serve only narrow bands.
 
 A block holds at most its own length plus twice the reach, as positions are unique in a series;
 a long series therefore spreads over many tasks.

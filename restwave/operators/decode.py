@@ -20,7 +20,6 @@ from restwave.schemas import (
     DailyPayload,
     DescriptorPayload,
     FlatPayload,
-    table,
 )
 
 ORDER = ("batch", "query_date", "entry", "item")
@@ -180,8 +179,3 @@ def decode_intraday(landed: DataFrame, name: str, answers: DataFrame | None = No
     days = settle_reloads(day_status(landed, name), answers)
     settled = days.where(F.col("pull_status").isin(FETCHED, NO_DATA, DENIED))
     return intraday_rows(settled, name, markers=True)
-
-
-def empty_rows(spark, name: str) -> DataFrame:
-    """An empty frame with a table's columns, for a load that returned nothing."""
-    return spark.createDataFrame([], table(name).schema)

@@ -36,8 +36,12 @@ class FrameStore:
     def uri(self, name: str) -> str:
         return f"{self.base}/{name}"
 
-    def write(self, df: DataFrame, name: str, fmt: str = "parquet", partition_by: tuple[str, ...] = ()) -> None:
+    def write(self, df: DataFrame, name: str, fmt: str = "parquet", partition_by: tuple[str, ...] = (),
+              order_by: tuple[str, ...] = ()) -> None:
+        """Write a frame, on request in a total order (a range exchange)."""
         check_format(fmt)
+        if order_by:
+            df = df.orderBy(*order_by)
         writer = df.write.mode("overwrite")
         if partition_by:
             writer = writer.partitionBy(*partition_by)

@@ -42,6 +42,23 @@ def test_entries_as_object_list_self_or_absent(spark):
     assert day2.total_steps == 2.0  # later items of one body win
 
 
+def test_mixed_shapes_in_one_body(spark):
+    entry = lambda d, **v: {"calendarDate": f"2024-01-{d:02d}", **v}
+    body = [entry(1, values={"restingHR": 50}), entry(2, values=[{"restingHR": 51}, {"restingHR": 52}]),
+            entry(3, restingHR=53), entry(4, values=[{"restingHR": 54}], restingHR=99), entry(5, values={}),
+            entry(6, values={"restingHR": "high", "wellnessMaxAvgHR": 90})]
+    plain = [entry(7, values={"restingHR": 57}), entry(8, values={"restingHR": 58})]
+    for name, bodies in (("heart_rate", (body, plain)),):
+        rows = decode.decode_daily(landed(spark, name, *bodies), name).collect()
+        assert sorted((r.date.day, r.item, r.resting_hr, r.wellness_max_avg_hr) for r in rows) == [
+            (1, 0, 50.0, None), (2, 0, 51.0, None), (2, 1, 52.0, None), (3, 0, 53.0, None), (4, 0, 54.0, None),
+            (5, 0, None, None), (6, 0, None, 90.0), (7, 0, 57.0, None), (8, 0, 58.0, None)]
+    scale = {"dailyWeightSummaries": [{"summaryDate": "2024-01-01", "allWeightMetrics": {"weight": 7.0}},
+                                      {"summaryDate": "2024-01-02", "weight": 8.0}]}
+    rows = decode.decode_daily(landed(spark, "health_stats", scale), "health_stats").collect()
+    assert sorted((r.date.day, r.weight) for r in rows) == [(1, 7.0), (2, 8.0)]
+
+
 @pytest.mark.parametrize("name", list(DAILY_PAYLOADS))
 def test_every_daily_metric_maps_every_column(spark, name):
     p = DAILY_PAYLOADS[name]

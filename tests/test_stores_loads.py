@@ -61,6 +61,9 @@ def test_frame_store(spark, tmp_path, make):
         back = files.read(f"deep/dir/t.{fmt}", fmt, df.schema)
         assert sorted(back.collect()) == sorted(df.collect())
     assert dict(files.read("deep/dir/t.csv", "csv").dtypes) == {"a": "int", "b": "string", "d": "date", "x": "double"}
+    files.write(df, "sorted.parquet", order_by=("d", "a"))
+    placed = files.read("sorted.parquet").select("a", "_metadata.file_name", "_metadata.row_index")
+    assert [r.a for r in sorted(placed.collect(), key=lambda r: (r.file_name, r.row_index))] == [2, 1]
     for call in (lambda: files.write(df, "t", "orc"), lambda: files.read("t", "orc")):
         with pytest.raises(ValueError):
             call()
