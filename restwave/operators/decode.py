@@ -108,7 +108,9 @@ def day_status(landed: DataFrame, name: str) -> DataFrame:
     payload = intraday_payload(name)
     r = F.from_json("body", payload.body, {"columnNameOfCorruptRecord": CORRUPT})
     classify = _descriptor_status if isinstance(payload, DescriptorPayload) else _flat_status
-    parsed = landed.withColumn("_r", r)
+    # Generated rather than projected: a later filter on the status would otherwise be pushed
+    # below the projection and parse the body anew for each mention of it.
+    parsed = landed.select("*", F.explode(F.array(r)).alias("_r"))
     return parsed.withColumn("pull_status", classify(F.col("_r"), payload))
 
 

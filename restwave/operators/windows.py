@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 from functools import reduce
 
@@ -74,7 +75,8 @@ def stored_row_means(df: DataFrame, series: Sequence[str], uri: str,
     """Row means of several columns, kept at `uri` and computed once per content and widths."""
     spark = df.sparkSession
     version = source_version(df.select(*keys, date, *series))
-    target = f"{uri.rstrip('/')}/{version}-{'_'.join(map(str, widths))}-{'_'.join(series)}"
+    request = hashlib.sha256(repr((tuple(widths), tuple(series), tuple(keys))).encode()).hexdigest()[:16]
+    target = f"{uri.rstrip('/')}/{version}-{request}"
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/_SUCCESS")
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         parts = [row_means(df, c, widths, keys, date).withColumn("series", F.lit(c)) for c in series]

@@ -28,10 +28,12 @@ def from_paths(files: DataFrame) -> DataFrame:
 
 
 def read_landed(spark: SparkSession, root: str, metric: str, first_batch: int | None = None) -> DataFrame:
-    """Landed responses of one metric; only its own directory is listed."""
-    files = spark.read.text(f"{root.rstrip('/')}/metric={metric}", wholetext=True,
-                            recursiveFileLookup=True)
-    landed = from_paths(files)
+    """Landed responses of one metric; only its own directory is listed. None yet is no rows."""
+    uri = f"{root.rstrip('/')}/metric={metric}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], LANDED)
+    landed = from_paths(spark.read.text(uri, wholetext=True, recursiveFileLookup=True))
     return landed if first_batch is None else landed.where(F.col("batch") >= first_batch)
 
 

@@ -155,6 +155,14 @@ def test_reloads_and_markers(spark, make):
         ("2024-01-03 00:00:00.000000", "fetched", 60.0, False), ("2024-01-03 23:59:59.999999", "fetched", None, True)]
 
 
+@pytest.mark.parametrize("name", list(INTRADAY_PAYLOADS))
+def test_each_body_is_parsed_once(spark, name, tmp_path):
+    landed(spark, name, "{}").write.parquet(f"file:{tmp_path}/landed")
+    stored = spark.read.parquet(f"file:{tmp_path}/landed")
+    for df in (decode.decode_intraday(stored, name), decode.intraday_rows(decode.day_status(stored, name), name)):
+        assert df._jdf.queryExecution().executedPlan().toString().count("from_json") == 1
+
+
 def test_placeholder_operators(make):
     st = make("user_id string, query_date date, status string", ("a", D(2024, 1, 1), "no_data"),
               ("a", D(2024, 1, 2), "denied"), ("a", D(2024, 1, 3), "fetched"), ("a", D(2024, 1, 5), "denied"))

@@ -163,6 +163,8 @@ def test_landed_files(spark, tmp_path):
         ("a_b-1", "steps", 1, 3), ("a_b-1", "steps", 2, 4), ("x+y", "steps", 2, 4)]
     assert json.loads(rows[1].body) == {"values": []}
     assert read_landed(spark, f"file:{root}", "steps", first_batch=4).count() == 2
+    nothing = read_landed(spark, f"file:{root}", "sleep")
+    assert nothing.isEmpty() and nothing.columns == list(rows[0].asDict())
     answers = reload_answers(read_landed(spark, f"file:{root}", landing.REPLIES)).collect()
     assert [(r.user_id, r.query_date.day, r.status) for r in answers] == [("a", 2, "DENIED")]
 
