@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from restwave.llm.common import text_buffers, with_outputs
+from restwave.llm.common import ship_package, text_buffers, with_outputs
 from restwave.llm.fragments import FragmentCache, encode_cut
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -116,6 +116,7 @@ def encode_decode(docs: DataFrame, text_col: str = "text", keep: list[str] | Non
     token. Repeated rows count one by one; an empty table gives an empty result. Input columns named like an
     output give way to it.
     """
+    ship_package(docs.sparkSession)
     chosen = docs.columns if keep is None else keep
     own = F.struct(*[docs[f"`{c}`"] for c in chosen]) if chosen else F.struct(F.lit(0).alias("_"))
     source = docs.select(own.alias("row"), F.col(text_col).cast("string").alias("text"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from restwave.llm.common import durable, with_outputs
+from restwave.llm.common import durable, ship_package, with_outputs
 
 #: Weight of the shrinkage target in the covariances; fraction of the target that is the pooled mean variance.
 SHRINKAGE, SPHERE = 0.10, 0.05
@@ -63,6 +63,7 @@ def statistics(text: str | None) -> list[float]:
 
 def with_statistics(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     """row (struct of `keep`) and x (array of statistics)."""
+    ship_package(docs.sparkSession)
     own = F.struct(*[docs[f"`{c}`"] for c in keep]) if keep else F.struct(F.lit(0).alias("_"))
     source = docs.select(own.alias("row"), F.col(text_col).cast("string").alias("text"))
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,25 @@ def checkpoint_dir(spark) -> str:
     return context.getCheckpointDir()
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark) -> None:
+    """Gives the executors this package, once for each application: their Python need not have it installed."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        if os.path.isdir(package):
+            target = os.path.join(tempfile.mkdtemp(prefix="package-"), "restwave.zip")
+            with zipfile.ZipFile(target, "w") as out:
+                for folder, _, names in os.walk(package):
+                    for name in sorted(n for n in names if n.endswith(".py")):
+                        path = os.path.join(folder, name)
+                        out.write(path, os.path.relpath(path, os.path.dirname(package)))
+            context.addPyFile(target)
+        _shipped.add(context.applicationId)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Computes df now and cuts its lineage; the rows lie in the shared folder, so a lost executor loses none."""
     checkpoint_dir(df.sparkSession)
@@ -105,5 +126,14 @@ class WordHash:
         """A hash of each k consecutive words."""
         out = np.zeros(max(0, len(words) - k + 1), np.uint64)
         for j in range(k):
-            out = (out + words[j:len(words) - k + 1 + j]) * self.step
+            out += words[j:len(words) - k + 1 + j]
+            out *= self.step
+        return mix(out)
+
+    def runs_at(self, words: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+        """The same for the runs that begin at the given words."""
+        out = np.zeros(len(at), np.uint64)
+        for j in range(k):
+            out += words[at + j]
+            out *= self.step
         return mix(out)

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from restwave.llm.common import ship_package
+
 QUERY_BLOCK, CANDIDATE_BLOCK = 4_096, 8_192
 #: Standard deviations of the estimate's error that count as possible.
 EPSILON = 4.0
@@ -50,6 +52,7 @@ def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
 
 def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20) -> DataFrame:
     """dim, vector, ids (the k + 1 least), code, length, agreement, centre: one row for each distinct usable vector."""
+    ship_package(vectors.sparkSession)
     clean = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).where(
         F.col("id").isNotNull() & usable(F.col("vector"))).withColumn("vector", F.transform("vector", lambda x: x + F.lit(0.0)))
     least = Window.partitionBy("key").orderBy("id")
@@ -91,6 +94,7 @@ def search(queries: DataFrame, index: DataFrame, id_col: str = "vec_id", vector_
     under one id and vector count once; a candidate repeated under one id counts once for each vector.
     Fewer than k candidates: all of them. Empty tables give an empty result.
     """
+    ship_package(queries.sparkSession)
     asked = queries.select(F.col(id_col).cast("long").alias("query_id"), F.col(vector_col).cast("array<double>").alias("query")).where(
         F.col("query_id").isNotNull() & usable(F.col("query"))).distinct()
     n_q, n_c = -(-asked.count() // QUERY_BLOCK) or 1, -(-index.count() // CANDIDATE_BLOCK) or 1

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from restwave.llm.common import checkpoint_dir, durable, text_buffers, word_runs
+from restwave.llm.common import checkpoint_dir, durable, ship_package, text_buffers, word_runs
 from restwave.llm.fragments import FragmentCache, encode_cut
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
@@ -107,6 +107,7 @@ def write_sequences(docs: DataFrame, folder: str, id_col: str = "doc_id", text_c
     Ascending id, null ids first, equal ids by a hash of their text; null texts are empty. Each document is
     followed by end_id. An empty table gives no file and an empty manifest. Other columns aren't read.
     """
+    ship_package(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     size = source.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
     n = max(int(size[0] or 0), 64 * int(size[1])) // FILE_BYTES + 1
@@ -193,6 +194,7 @@ def read_documents(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                         yield pa.RecordBatch.from_arrays(
                             [docs["id"], pa.array(docs["start"].to_numpy() + first), docs["n_ids"], pa.array(ids, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
+    ship_package(spark)
     n = max(1, manifest.count())
     return manifest.select("path", "first").repartition(n).mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 

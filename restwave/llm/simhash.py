@@ -19,10 +19,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from restwave.llm.common import durable, row_struct
+from restwave.llm.common import durable, mix, row_struct, ship_package
 
 BITS, BLOCKS, DISTANCE, SHINGLE, SEED = 64, 6, 2, 3, 42
 #: Buckets up to this size compare all their fingerprints; beyond it each looks up its neighbours.
@@ -49,21 +49,16 @@ def _fingerprints_of(texts: pa.Array, shingle: int) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
-                 carry: str | None = None) -> DataFrame:
-    """id, fingerprint (long, the 64 bits) and the long column `carry` of every row.
-
-    Null, empty and blank texts have fingerprint 0.
-    """
-    names = ["id", "fingerprint", *([carry] if carry else [])]
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """id and fingerprint (long, the 64 bits) of every row. Null, empty and blank texts have fingerprint 0."""
+    ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = pa.array(_fingerprints_of(batch["text"], shingle).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch["id"], prints, *([batch[carry]] if carry else [])], names)
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(_fingerprints_of(batch["text"], shingle).view(np.int64))], ["id", "fingerprint"])
 
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *([carry] if carry else []))
-    return source.mapInArrow(run, ", ".join(f"`{c}` long" for c in names))
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return source.mapInArrow(run, "id long, fingerprint long")
 
 
 def block_masks(bits: int = BITS, blocks: int = BLOCKS, distance: int = DISTANCE) -> list[int]:
@@ -110,6 +105,7 @@ def bucket_links(values: np.ndarray, mask: int, distance: int = DISTANCE) -> lis
 
 def block_links(distinct: DataFrame, fingerprint: str = "fingerprint", blocks: int = BLOCKS, distance: int = DISTANCE) -> DataFrame:
     """Verified links (a, b) between distinct fingerprints: enough to connect all within the distance."""
+    ship_package(distinct.sparkSession)
     masks = block_masks(BITS, blocks, distance)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keys = F.explode(F.array(*[F.struct(F.lit(i).alias("mask"), F.col(fingerprint).bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(signed)]))
@@ -192,18 +188,133 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
-             blocks: int = BLOCKS, distance: int = DISTANCE) -> DataFrame:
+#: The long fingerprint: WORDS words of 64 bits to verify, and CLASSES blocks on each of two levels to meet in.
+WORDS, CLASSES, FEWEST, SMALL = 4, 12, 8, 64
+_LANES = np.array([0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+
+
+def long_limit(similarity: float) -> int:
+    """Differing bits of long fingerprints up to which texts of this Jaccard similarity are expected, 3.5
+    standard deviations included: a bit differs with the angle between the shingle vectors over pi."""
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    bits = BITS * WORDS
+    return int(bits * p + 3.5 * np.sqrt(bits * p * (1 - p)))
+
+
+def _shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """Sorted hashes of the distinct shingles of a text."""
+    words = text.encode().lower().split() if text else []
+    shingles = {b" ".join(words[i:i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else set()
+    return np.sort(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in shingles), np.uint64, len(shingles)))
+
+
+def _bit_counts(hashes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+
+
+def _pack(over_half: np.ndarray) -> np.ndarray:
+    return np.packbits(over_half, axis=-1, bitorder="little").view(np.uint64)
+
+
+def _long_fingerprint(text: str | None, shingle: int) -> tuple[int, list[int], list[int], list[int] | None]:
+    """Digest of the distinct shingles, their fingerprint words, the blocks' keys, and small sets themselves."""
+    hashes = _shingle_hashes(text, shingle)
+    n, digest = len(hashes), xxhash.xxh3_64_intdigest(hashes.tobytes())
+    if not n:
+        return digest, [0] * WORDS, [], []
+    counts = np.zeros((WORDS, BITS), np.int64)
+    for part in np.array_split(hashes, n // 50_000 + 1):
+        for lane in range(WORDS):
+            counts[lane] += _bit_counts(mix(part ^ _LANES[lane])).sum(axis=0, dtype=np.int64)
+    keys = []
+    low = max(FEWEST, 1 << max(0, int(np.log2(n / 4)))) if n >= 4 else FEWEST
+    for classes in (low, 2 * low):
+        own = hashes & np.uint64(classes - 1)
+        part = hashes[own < CLASSES]
+        if len(part):
+            order = np.argsort(part & np.uint64(classes - 1), kind="stable")
+            part = part[order]
+            at = (part & np.uint64(classes - 1)).astype(np.int64)
+            first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            sizes = np.diff(np.append(first, len(part)))
+            bits = np.add.reduceat(_bit_counts(mix(part)).astype(np.int64), first, axis=0)
+            block = _pack(2 * bits > sizes[:, None]).ravel()
+            keys += mix(block ^ mix(np.uint64(classes * 64) + at[first].astype(np.uint64) + sizes.astype(np.uint64) * np.uint64(1 << 40))).tolist()
+    return digest, _pack(2 * counts > n).ravel().tolist(), keys, hashes.tolist() if n <= SMALL else None
+
+
+def similar_documents(marked: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """id, hash, root of every row of (id, hash, text): rows of one root are linked by word shingles.
+
+    SimHash of one short word can't tell a similarity of 0.8 by two bits, so documents have a long fingerprint:
+    their distinct shingles are dealt to classes by hash, each class has a fingerprint of its own, and these
+    are the blocks. Texts that differ in fewer shingles than there are classes agree in a whole block; a class
+    holds about 2 to 8 shingles (two levels, by powers of two of the shingle count), so of texts of similarity
+    0.8 each block agrees with a chance of 0.4 and one of 12 to 24 with over 99 %. In a block each text meets
+    the first and the one before it in order. Met pairs within the Hamming distance of 256 bits that the
+    similarity allows are confirmed on the texts' whole shingle sets; small sets come along and need no
+    distance. Texts of equal shingles are one node throughout.
+    """
+    ship_package(marked.sparkSession)
+    words = [f"f{i}" for i in range(WORDS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signed = lambda v: np.array(v, np.uint64).view(np.int64)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1_000):
+                batch = whole.slice(lo, 1_000)
+                digest, prints, keys, small = zip(*[_long_fingerprint(t, shingle) for t in batch["text"].to_pylist()])
+                prints = signed(prints).reshape(-1, WORDS)
+                yield pa.RecordBatch.from_arrays(
+                    [batch["id"], batch["hash"], pa.array(signed(digest)), *[pa.array(np.ascontiguousarray(prints[:, i])) for i in range(WORDS)],
+                     pa.array([signed(k) for k in keys], pa.list_(pa.int64())), pa.array([None if x is None else signed(x) for x in small], pa.list_(pa.int64()))],
+                    ["id", "hash", "digest", *words, "keys", "small"])
+
+    prints = durable(marked.select("id", "hash", "text").mapInArrow(
+        run, f"id long, hash long, digest long, {', '.join(w + ' long' for w in words)}, keys array<long>, small array<long>"))
+    nodes = prints.select("digest", *words, "keys", "small").dropDuplicates(["digest"])
+    met = Window.partitionBy("key").orderBy("digest")
+    pairs = (nodes.select("digest", F.explode("keys").alias("key"))
+             .select(F.col("digest").alias("b"), F.array_distinct(F.array(F.first("digest").over(met), F.lag("digest").over(met))).alias("others"))
+             .select("b", F.explode("others").alias("a")).where("a <> b").distinct())
+    side = lambda x: nodes.select(F.col("digest").alias(x), F.struct(*words, "small").alias(f"{x}_"))
+    bits = sum((F.bit_count(F.col(f"a_.{w}").bitwiseXOR(F.col(f"b_.{w}"))) for w in words[1:]), F.bit_count(F.col(f"a_.{words[0]}").bitwiseXOR(F.col(f"b_.{words[0]}"))))
+    shared = F.size(F.array_intersect("a_.small", "b_.small"))
+    exact = shared >= F.lit(similarity) * (F.size("a_.small") + F.size("b_.small") - shared)
+    close = durable(pairs.join(side("a"), "a").join(side("b"), "b").withColumn("sure", F.col("a_.small").isNotNull() & F.col("b_.small").isNotNull()).where(
+        F.when(F.col("sure"), exact).otherwise(bits <= long_limit(similarity))).select("a", "b", "sure"))
+    # whole sets of the texts in close pairs, one row of each text
+    unsure = close.where("not sure").select("a", "b")
+    needed = unsure.select(F.col("a").alias("digest")).unionByName(unsure.select(F.col("b").alias("digest"))).distinct()
+    one = prints.join(needed, "digest", "left_semi").groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("r"))
+    texts = (marked.select("id", "hash", "text").join(one.select("digest", F.col("r.id").alias("one_id"), F.col("r.hash").alias("one_hash")),
+                                                      F.col("id").eqNullSafe(F.col("one_id")) & (F.col("hash") == F.col("one_hash"))).select("digest", "text"))
+
+    def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [_shingle_hashes(t, shingle).view(np.int64) for t in batch["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["digest"], pa.array(sets, pa.list_(pa.int64()))], ["digest", "shingles"])
+
+    sets = texts.mapInArrow(whole_sets, "digest long, shingles array<long>").dropDuplicates(["digest"])
+    both = unsure.join(sets.select(F.col("digest").alias("a"), F.col("shingles").alias("x")), "a").join(
+        sets.select(F.col("digest").alias("b"), F.col("shingles").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    confirmed = both.where(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common)).select("a", "b")
+    links = close.where("sure").select("a", "b").unionByName(confirmed)
+    roots = components(links)
+    return prints.join(roots, prints["digest"] == roots["node"], "left").select("id", "hash", F.coalesce("root", "digest").alias("root"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs that stay when one row of each near-duplicate group does, with the columns of docs.
 
     The row of the least id stays (an id before none); rows that share it are told apart by a hash of all
-    their columns, and of wholly equal rows one stays. Blank texts form one group.
+    their columns, and of wholly equal rows one stays. Null, empty and blank texts form one group.
     """
     marked = docs.select(row_struct(docs).alias("row"), docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"),
                          F.xxhash64(*[docs[f"`{c}`"] for c in docs.columns]).alias("hash"))
-    prints = durable(fingerprints(marked, "id", "text", shingle, carry="hash"))
     rank = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("hash").alias("hash"))
-    stays = (prints.join(_rooted(prints, blocks, distance), "fingerprint").groupBy("root").agg(F.min(rank).alias("r"))
+    stays = (similar_documents(marked, shingle, similarity).groupBy("root").agg(F.min(rank).alias("r"))
              .select(F.col("r.id").alias("stay_id"), F.col("r.hash").alias("stay_hash")))
     kept = marked.join(stays, F.col("id").eqNullSafe(F.col("stay_id")) & (F.col("hash") == F.col("stay_hash")), "left_semi")
     return kept.dropDuplicates(["id", "hash"]).select("row.*")
