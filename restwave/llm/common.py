@@ -8,7 +8,7 @@ import zipfile
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than ASCII white space.
@@ -52,9 +52,14 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def row_struct(df: DataFrame) -> F.Column:
-    """All columns as one struct, so that an operator's own names can't clash with them."""
-    return F.struct(*[df[f"`{c.replace('`', '``')}`"] for c in df.columns])
+def named(df: DataFrame, name: str) -> Column:
+    return df["`" + name.replace("`", "``") + "`"]
+
+
+def row_struct(df: DataFrame, keep: list[str] | None = None) -> Column:
+    """The columns `keep` (all, if None) as one struct, so that an operator's own names can't clash with them."""
+    chosen = df.columns if keep is None else keep
+    return F.struct(*[named(df, c) for c in chosen]) if chosen else F.struct(F.lit(0).alias("_"))
 
 
 def with_outputs(df: DataFrame, row: str, outputs: list[str]) -> DataFrame:

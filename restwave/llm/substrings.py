@@ -8,8 +8,10 @@ with a smaller id. Three passes over documents dealt into batches of bounded byt
    anchors to buckets by hash; a bucket answers which of them more than one document has.
 2. Windows. Each batch sends the 128-bit hashes of the windows at recurring anchors, with the smallest
    document that has them; a bucket confirms those that an earlier document has as well.
-3. Phrases. Each batch compiles its confirmed windows into sharded Aho-Corasick automata over words and
-   streams all its documents through them, which locates every occurrence.
+3. Phrases. Each batch cuts its confirmed passages into phrases of `PHRASE` words such that every confirmed
+   window holds a whole one, compiles them into sharded Aho-Corasick automata over words, and streams all its
+   documents through them. At each occurrence of a phrase the windows around it are compared word by word
+   with the confirmed window of their hash, which locates every occurrence of every window.
 
 A batch sends a key once, however many of its documents hold it, and an answer is one bit for each key, so
 a passage in a third of all documents costs each batch one entry. Nothing is capped or sampled.
@@ -24,14 +26,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from restwave.llm.common import NO_ID, WordHash, text_buffers, with_outputs, word_runs
+from restwave.llm.common import NO_ID, WordHash, named, row_struct, ship_package, text_buffers, with_outputs, word_runs
 
 WIDTH = 13
 ANCHOR = 5
+#: Words of a phrase, for windows of 13.
+PHRASE = (WIDTH + 1) // 2
 BATCH_BYTES = 4 << 20
 BUCKET_BYTES = 32 << 20
-#: Phrases of one automaton; about 80 MB.
-SHARD = 65_536
+#: Phrases of one automaton; about 100 MB.
+SHARD = 131_072
 
 _ASKED = "bucket long, batch long, keys binary, docs binary"
 _ANSWERED = "batch long, bucket long, kind int, bits binary"
@@ -70,17 +74,29 @@ class _Batch:
 
     def windows(self, recurring: np.ndarray) -> dict[str, np.ndarray]:
         """The windows at recurring anchors: distinct 128-bit keys with their least id and one place each."""
-        at = self.at[np.isin(self.anchors, recurring)]
-        h1 = WordHash(0).runs(self.word_keys, self.width)[at]
+        place = np.searchsorted(recurring, self.anchors)
+        place[place == len(recurring)] = 0
+        at = self.at[recurring[place] == self.anchors] if len(recurring) else self.at[:0]
+        h1 = WordHash(0).runs_at(self.word_keys, at, self.width)
         second = WordHash(1)
-        h2 = second.runs(second.words(self.bytes, self.starts, self.ends), self.width)[at] if len(at) else h1
+        h2 = second.runs_at(second.words(self.bytes, self.starts, self.ends), at, self.width) if len(at) else h1
         ids = self.ids[self.row[at]]
         order = np.lexsort((ids, h2, h1))
         at, h1, h2, ids = at[order], h1[order], h2[order], ids[order]
         new = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]) if len(at) else np.zeros(0, bool)
         first = np.flatnonzero(new)
         more = np.maximum.reduceat(ids, first) > ids[first] if len(first) else np.zeros(0, bool)
-        return {"h1": h1[first], "h2": h2[first], "least": ids[first], "at": at[first], "more": more}
+        return {"h1": h1[first], "h2": h2[first], "least": ids[first], "at": at[first], "more": more,
+                "all_at": at, "of": np.cumsum(new) - 1}
+
+    def word_codes(self) -> np.ndarray:
+        """A number for each word; equal exactly if the words' bytes are."""
+        if not len(self.starts):
+            return np.zeros(0, np.int64)
+        bounds = np.empty(2 * len(self.starts), np.int64)
+        bounds[0::2], bounds[1::2] = self.starts, self.ends
+        parts = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(self.bytes))])
+        return parts.dictionary_encode().indices.to_numpy()[0::2].astype(np.int64)
 
 
 def _cut(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -145,41 +161,60 @@ def _bits(answers: pa.Table, kind: int, keys: np.ndarray, buckets: int) -> np.nd
 
 
 def _covered(batch: _Batch, found: dict[str, np.ndarray], earlier: np.ndarray) -> np.ndarray:
-    """Marks the words of all phrase occurrences that an earlier document has as well."""
-    phrase = np.flatnonzero(earlier | found["more"])
+    """Marks the words of all occurrences of windows that an earlier document has as well."""
     mark = np.zeros(len(batch.row) + 1, np.int32)
-    if not len(phrase):
-        return mark[:-1].astype(bool)
-    # a phrase counts in documents after this one: any, or those after the batch's first that has it
-    after = np.where(earlier, np.int64(-(2**63)), found["least"])[phrase]
-    at = found["at"][phrase]
-    # letters: words of phrases by their bytes, three or more symbols of 64; alphabets differ by place, so
-    # that no match begins within a word
-    data, width = batch.bytes.tobytes(), batch.width
-    names = [data[a:b] for a, b in zip(batch.starts.tolist(), batch.ends.tolist())]
-    places = (at[:, None] + np.arange(width)).ravel()
-    words = {w: i + 1 for i, w in enumerate(dict.fromkeys([names[p] for p in places.tolist()]))}
+    confirmed = earlier | found["more"]
+    if confirmed.any():
+        width, codes = batch.width, batch.word_codes()
+        near = _near_phrases(batch, codes, found["at"][confirmed])
+        # the window of a place's hash: equal word by word, or no occurrence
+        at, of = found["all_at"], found["of"]
+        mine = near[at] & confirmed[of]
+        at, of = at[mine], of[mine]
+        rep = found["at"][of]
+        equal = np.ones(len(at), bool)
+        for j in range(width):
+            equal &= codes[at + j] == codes[rep + j]
+        # it counts in any document, or only in those after the batch's first that has it
+        equal &= earlier[of] | (batch.ids[batch.row[at]] > found["least"][of])
+        np.add.at(mark, at[equal], 1)
+        np.add.at(mark, at[equal] + width, -1)
+    return np.cumsum(mark[:-1]) > 0
+
+
+def _near_phrases(batch: _Batch, codes: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """Marks the first words of all windows that hold a phrase of the confirmed windows (at `windows`).
+
+    A window of 2p - 1 words holds a whole phrase that begins at a multiple of p.
+    """
+    size = (batch.width + 1) // 2
+    at = np.unique(-(-windows // size) * size)
+    used = np.unique(codes[(at[:, None] + np.arange(size)).ravel()])
     digits = 1
-    while 64**digits <= len(words):
+    while 64**digits <= len(used):
         digits += 1
-    code = {w: "".join(chr(256 + 64 * j + (i >> 6 * j) % 64) for j in range(digits)) for w, i in words.items()}
-    other = "".join(chr(256 + 64 * j) for j in range(digits))
-    letters = [code.get(w, other) for w in names]
-    bounds = np.searchsorted(batch.row, np.arange(batch.rows + 1))
-    for lo in range(0, len(phrase), SHARD):
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for i, p in enumerate(at[lo:lo + SHARD].tolist()):
-            automaton.add_word("".join(letters[p:p + width]), lo + i)
+    # a word is so many letters of 64, with an alphabet for each place, so that no match begins within a
+    # word; words of no phrase share the letters of number 0
+    number = np.zeros(int(codes.max()) + 1, np.uint32)
+    number[used] = np.arange(1, len(used) + 1)
+    letters = np.empty((len(codes), digits), "<u4")
+    for j in range(digits):
+        letters[:, j] = (number[codes] >> (6 * j)) % 64 + (256 + 64 * j)
+    near = np.zeros(len(codes) + 1, np.int32)
+    bounds = np.searchsorted(batch.row, np.arange(batch.rows + 1)).tolist()
+    for lo in range(0, len(at), SHARD):
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for p in at[lo:lo + SHARD].tolist():
+            automaton.add_word(letters[p:p + size].tobytes().decode("utf-32-le"))
         automaton.make_automaton()
-        for r, doc_id in enumerate(batch.ids.tolist()):
-            a, b = int(bounds[r]), int(bounds[r + 1])
-            hits = [(end, i) for end, i in automaton.iter("".join(letters[a:b]))] if b - a >= width else []
-            if hits:
-                ends, which = np.array(hits, np.int64).T
-                last = a + (ends[after[which] < doc_id] + 1) // digits
-                np.add.at(mark, last - width, 1)
-                np.add.at(mark, last, -1)
-    return np.cumsum(mark[:-1]) > 0
+        for a, b in zip(bounds, bounds[1:]):
+            if b - a >= batch.width:
+                ends = [end for end, _ in automaton.iter(letters[a:b].tobytes().decode("utf-32-le"))]
+                if ends:
+                    past = a + (np.array(ends) + 1) // digits
+                    np.add.at(near, np.maximum(past - batch.width, a), 1)
+                    np.add.at(near, past - size + 1, -1)
+    return np.cumsum(near[:-1]) > 0
 
 
 def _result(table: pa.Table, batch: _Batch, gone: np.ndarray) -> pa.Table:
@@ -212,14 +247,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     another alone, as rows of one id do, so repeated rows lose nothing by each other. An empty table gives an
     empty result. Input columns named like an output give way to it.
     """
-    source = docs.select(*(docs.columns if keep is None else keep), F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    ship_package(docs.sparkSession)
+    source = docs.select(*[named(docs, c) for c in (docs.columns if keep is None else keep)], F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     size = source.agg(F.sum(F.octet_length("__text")), F.count(F.lit(1))).first()
     total = max(int(size[0] or 0), 64 * int(size[1]))
     batches, buckets = total // BATCH_BYTES + 1, total // BUCKET_BYTES + 1
     dealt = F.pmod(F.xxhash64("__id", F.when(F.col("__id").isNull(), F.xxhash64("__text"))), F.lit(batches))
     carried = source.drop("__id", "__text")
     dealt_docs = source.select(
-        F.struct(*[carried[f"`{c}`"] for c in carried.columns]).alias("row") if carried.columns else F.struct(F.lit(0).alias("_")).alias("row"),
+        row_struct(source, carried.columns).alias("row"),
         F.coalesce(F.col("__id").cast("long"), F.lit(NO_ID)).alias("id"), F.col("__text").cast("string").alias("text"), dealt.alias("batch"))
     located_type = T.StructType([
         T.StructField("row", dealt_docs.schema["row"].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
