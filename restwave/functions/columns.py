@@ -15,6 +15,7 @@ RM_SLOPE = 0.0278
 
 _MS_PER_DAY = 86_400_000
 _US_PER_DAY = 86_400_000_000
+_FIRST_MS, _LAST_MS = -62_135_596_800_000, 253_402_300_799_999
 
 
 def _col(c: Column | str) -> Column:
@@ -50,12 +51,15 @@ def clock_hours(epoch_ms: Column | str, date: Column | str, shift_days: int = 0)
 
 
 def epoch_ms_to_utc(c: Column | str) -> Column:
-    return F.timestamp_millis(_col(c).cast("bigint"))
+    """Null outside the years 1 to 9999, NaN and infinity included."""
+    ms = _col(c).try_cast("bigint")
+    return F.when(ms.between(_FIRST_MS, _LAST_MS), F.timestamp_millis(ms))
 
 
 def text_to_utc(c: Column | str) -> Column:
-    """Timestamp text without an offset, read as UTC; unreadable text becomes null."""
-    return F.try_to_timestamp(F.concat(_col(c), F.lit("Z")))
+    """Timestamp text, with an offset or `Z` or else read as UTC (the session zone, see
+    `session.use_utc`); unreadable text becomes null."""
+    return F.try_to_timestamp(_col(c))
 
 
 def end_of_day(date: Column | str) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from restwave.operators.upsert import last_write
 from restwave.schemas import ACTIVITY_TYPES, table
 
 # Fixed value.
@@ -30,21 +31,35 @@ def _body_schema(name: str, skip: Sequence[str]) -> T.StructType:
     return T.StructType([f for f in table(name).schema if f.name not in skip])
 
 
+def _batch(landed: DataFrame) -> list[Column]:
+    return [F.col("batch") if "batch" in landed.columns else F.lit(0).cast("bigint").alias("batch")]
+
+
 def activity_list(landed: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
-    """Each user's newest `limit` activities from landed list responses; a null list is empty."""
+    """Each user's newest `limit` distinct activities from landed list responses; a null list is empty.
+
+    An activity that several responses list counts once, as the newest batch has it; one without
+    an id is no activity.
+    """
     schema = T.ArrayType(_body_schema("activities", ("id", "user_id")))
-    rows = landed.select("user_id", F.explode(F.from_json("body", schema)).alias("a"))
-    flat = rows.select("user_id", "a.*").withColumn(
+    rows = landed.select("user_id", *_batch(landed), F.posexplode(F.from_json("body", schema)).alias("item", "a"))
+    flat = rows.select("user_id", "batch", "item", "a.*").where(F.col("activityId").isNotNull())
+    newest = last_write(flat, ("user_id", "activityId"), ("batch", "item")).withColumn(
         "detailsPulled", F.coalesce("detailsPulled", F.lit(False)))
-    return most_recent_per(flat, ["user_id"],
+    return most_recent_per(newest, ["user_id"],
                            [F.col("startTime").desc(), F.col("activityId").desc()], limit)
 
 
 def strength_sets(landed: DataFrame) -> DataFrame:
-    """Exercise sets of landed workout responses; a missing or empty list gives no rows."""
+    """Exercise sets of each workout's newest response; a missing or empty list gives no rows.
+
+    Workouts are told apart by the columns user_id and activityId, as far as `landed` has them.
+    """
     item = _body_schema("strength", ("id", "user_id", "activityId"))
     schema = T.StructType([T.StructField("exerciseSets", T.ArrayType(item))])
     keys = [c for c in ("user_id", "activityId") if c in landed.columns]
+    if "batch" in landed.columns and keys:
+        landed = last_write(landed.select(*keys, "batch", "body"), keys, ("batch", "body"), keep=("body",))
     sets = F.from_json("body", schema)["exerciseSets"]
     return landed.select(*keys, F.explode(sets).alias("s")).select(*keys, "s.*")
 

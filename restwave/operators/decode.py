@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from restwave.functions import end_of_day, epoch_ms_to_utc, grams_to_pounds, text_to_utc
 from restwave.operators.calendar import daily_mean, fill_calendar
+from restwave.operators.quality import unreadable
 from restwave.operators.status import DENIED, FETCHED, NO_DATA, PENDING, RELOAD, UNKNOWN
-from restwave.operators.upsert import last_write
+from restwave.operators.upsert import VERSION, last_write
 from restwave.schemas import (
     DAILY_PAYLOADS,
     INTRADAY_PAYLOADS,
@@ -47,24 +48,36 @@ def daily_rows(landed: DataFrame, payload: DailyPayload) -> DataFrame:
             .where(F.col("date").isNotNull()))
 
 
+def versioned(rows: DataFrame, rank: Column | int = 1) -> DataFrame:
+    """The ORDER columns as the version that a stored row keeps; see `upsert.VERSION`."""
+    have = dict(zip(("batch", "query_date", "entry", "item"), VERSION[1:]))
+    kinds = {"_batch": "bigint", "_asked": "date"}
+    named = {v: (F.col(c) if c in rows.columns else F.lit(None)).cast(kinds.get(v, "int")) for c, v in have.items()}
+    return rows.withColumns({VERSION[0]: F.lit(rank) if isinstance(rank, int) else rank, **named})
+
+
 def weigh_in_days(rows: DataFrame) -> DataFrame:
     """Weigh-ins to one row per day: means, calendar, pounds and fat mass.
 
-    A day landed in several batches counts only its newest batch.
+    A day landed in several batches counts only its newest batch. Days that the calendar adds
+    have rank 0, so they never displace a measured day.
     """
     values = [c for c in rows.columns if c not in ("user_id", "date", *ORDER)]
     # Reduced to days, one exchange by user serves both the newest batch and the calendar.
     per_batch = daily_mean(rows, values, keys=("user_id", "batch")).repartition("user_id")
-    days = fill_calendar(last_write(per_batch, ("user_id", "date"), ("batch",)))
+    newest = versioned(last_write(per_batch, ("user_id", "date"), ("batch",), keep=("batch",))).drop("batch")
+    days = fill_calendar(newest).withColumn("_rank", F.coalesce("_rank", F.lit(0)))
     return (days.withColumns({c: grams_to_pounds(c) for c in ("weight", "muscle_mass", "bone_mass")})
             .withColumn("fat_mass", F.col("body_fat") * F.col("weight") / F.lit(100.0)))
 
 
-def daily_batch(rows: DataFrame, name: str) -> DataFrame:
+def daily_batch(rows: DataFrame, name: str, keep_version: bool = False) -> DataFrame:
     """Measurements of one table to an upsert batch holding each (user, date) once."""
     if DAILY_PAYLOADS[name].weigh_ins:
-        return weigh_in_days(rows)
-    return last_write(rows, ("user_id", "date"), ORDER)
+        out = weigh_in_days(rows)
+    else:
+        out = last_write(versioned(rows).drop(*ORDER), ("user_id", "date"), VERSION, keep=VERSION)
+    return out if keep_version else out.drop(*VERSION)
 
 
 def decode_daily(landed: DataFrame, name: str) -> DataFrame:
@@ -117,29 +130,35 @@ def day_status(landed: DataFrame, name: str) -> DataFrame:
 def settle_reloads(days: DataFrame, answers: DataFrame | None) -> DataFrame:
     """Turn reload days into denied or pending.
 
-    `answers` (user_id, status) are the server's replies of this run. After one refusal nothing
-    more is asked for that user, so it covers all of the user's unanswered days.
+    `answers` (user_id, status, and batch where known) are the server's replies. After one refusal
+    nothing more is asked for that user, so it covers all of the user's unanswered days: of the
+    same batch, if the replies tell theirs, else of the given days.
     """
     if answers is None:
         return days.withColumn("pull_status", F.when(F.col("pull_status") == RELOAD, PENDING)
                                .otherwise(F.col("pull_status")))
-    refused = (answers.where(F.col("status") == "DENIED").select("user_id").distinct()
+    on = ["user_id", *(["batch"] if "batch" in answers.columns else [])]
+    refused = (answers.where(F.col("status") == "DENIED").select(*on).distinct()
                .withColumn("_refused", F.lit(True)))
     settled = F.when(F.col("pull_status") != RELOAD, F.col("pull_status")).when(
         F.col("_refused"), DENIED).otherwise(PENDING)
-    return days.join(refused, "user_id", "left").withColumn("pull_status", settled).drop("_refused")
+    return days.join(refused, on, "left").withColumn("pull_status", settled).drop("_refused")
 
 
 def truncate_dates(df: DataFrame) -> DataFrame:
-    """Dates for the columns stored as such; times of day are dropped after they were used."""
+    """Dates for the columns stored as such; times of day are dropped after they were used.
+
+    Unreadable text becomes null.
+    """
     present = [c for c in ("query_date", "date_pulled", "start_gmt", "end_gmt") if c in df.columns]
-    return df.withColumns({c: F.to_date(F.substring(F.col(c).cast("string"), 1, 10)) for c in present})
+    return df.withColumns({c: F.try_to_date(F.substring(F.col(c).cast("string"), 1, 10), "yyyy-MM-dd") for c in present})
 
 
-def intraday_rows(days: DataFrame, name: str, markers: bool = False) -> DataFrame:
+def intraday_rows(days: DataFrame, name: str, markers: bool = False, keep_lost: bool = False) -> DataFrame:
     """Rows of the fetched days among `day_status` output.
 
     With `markers`, every given day also yields one row at its last microsecond (`is_marker`).
+    Rows without a readable instant are left out unless `keep_lost`.
     """
     payload = intraday_payload(name)
     flat = isinstance(payload, FlatPayload)
@@ -167,7 +186,9 @@ def intraday_rows(days: DataFrame, name: str, markers: bool = False) -> DataFram
                        is_marker.alias("is_marker"), *named)
            .withColumn("date_time_utc", F.when(F.col("is_marker"), end_of_day("query_date"))
                        .otherwise(instant)))
-    out = truncate_dates(out).where(F.col("date_time_utc").isNotNull())
+    out = truncate_dates(out)
+    if not keep_lost:
+        out = out.where(F.col("date_time_utc").isNotNull())
     return out if markers else out.drop("is_marker")
 
 
@@ -181,3 +202,36 @@ def decode_intraday(landed: DataFrame, name: str, answers: DataFrame | None = No
     days = settle_reloads(day_status(landed, name), answers)
     settled = days.where(F.col("pull_status").isin(FETCHED, NO_DATA, DENIED))
     return intraday_rows(settled, name, markers=True)
+
+
+def intraday_batch(rows: DataFrame) -> DataFrame:
+    """`decode_intraday` output to an upsert batch holding each (user, instant) once.
+
+    A day has one outcome: fetched beats denied, denied beats no data, whatever the batches; then
+    the newest batch counts. The marker of a fetched day is stored hidden, so that a placeholder
+    that comes later finds it there.
+    """
+    rank = F.when(F.col("pull_status") == FETCHED, 3).when(F.col("pull_status") == DENIED, 2).otherwise(1)
+    hidden = F.col("is_marker") & (F.col("pull_status") == FETCHED)
+    rows = versioned(rows.withColumn("_hidden", hidden), rank).drop("batch", "item", "is_marker")
+    return last_write(rows, ("user_id", "date_time_utc"), VERSION, keep=VERSION)
+
+
+def quarantined(landed: DataFrame, name: str) -> DataFrame:
+    """What decoding leaves out: (user_id, query_date, batch, place, reason), for keeping and counting.
+
+    Reasons: `body` (unreadable text; place is null), `date` (an entry without a readable date) and
+    `instant` (a row of a fetched day without a readable instant); place counts from 0.
+    """
+    bad = unreadable(landed).select("user_id", "query_date", "batch", F.lit(None).cast("int").alias("place"), F.lit("body").alias("reason"))
+    if name in DAILY_PAYLOADS:
+        p = DAILY_PAYLOADS[name]
+        body = F.from_json("body", p.body)
+        entries = landed.select("user_id", "query_date", "batch", F.posexplode(body[p.path] if p.path else body).alias("place", "_e"))
+        lost = entries.where(F.try_to_date(F.col("_e")[p.date_field], "yyyy-MM-dd").isNull())
+        reason = "date"
+    else:
+        p = intraday_payload(name)
+        lost = intraday_rows(day_status(landed, name), name, keep_lost=True).where(F.col("date_time_utc").isNull()).withColumnRenamed("item", "place")
+        reason = "instant"
+    return bad.unionByName(lost.select("user_id", "query_date", "batch", "place", F.lit(reason).alias("reason")))

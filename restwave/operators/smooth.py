@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from restwave.functions import nan_to_null, parse_smooth_name, smooth_name
-from restwave.operators.banded import WINDOW_BUDGET, banded_means, boxcar_distance, gaussian_distance
+from restwave.operators.banded import REACH, WINDOW_BUDGET, banded_means, boxcar_distance, gaussian_distance
 from restwave.schemas import BANDWIDTHS, KERNELS, SMOOTHED_COLUMNS
 
 SERIES_KEYS = ("user_id", "metric", "series")
@@ -38,12 +38,13 @@ def boxcar_means(df: DataFrame, bandwidths: Sequence[int], keys: Sequence[str] =
 
 def kernel_smooth(df: DataFrame, kernels: Sequence[str] = KERNELS,
                   bandwidths: Sequence[int] = BANDWIDTHS, keys: Sequence[str] = SERIES_KEYS,
-                  date: str = "date", value: str = "value", reach: float = 4.0,
+                  date: str = "date", value: str = "value", reach: float = REACH,
                   how: str = "auto") -> DataFrame:
     """Smoothed values at every date of every series, long form.
 
-    gaussian: weights exp(-d^2 / 2 bw^2) over distances up to `reach` bandwidths.
-    boxcar: equal weights over distances up to bw / 2.
+    gaussian: weights exp(-d^2 / 2 bw^2) over distances up to `reach` bandwidths, by default all
+    whose weight is not zero. boxcar: equal weights over distances up to bw / 2. Every input row
+    gives a row for each kernel and bandwidth; readings of one date count one by one.
     """
     names = kernel_names(kernels)
     gaussian = [gaussian_distance(b, reach) for b in bandwidths] if "gaussian" in names else []

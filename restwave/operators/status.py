@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from restwave.functions import end_of_day
@@ -45,25 +45,28 @@ def all_zero_days(df: DataFrame, value: str, keys: Sequence[str] = DAY) -> DataF
     return df.groupBy(*keys).agg(F.bool_and(zero).alias("all_zero"))
 
 
+def _day_outcome() -> Column:
+    """Of the statuses of a day: fetched, denied, no_data in that order, else null."""
+    has = lambda s: F.bool_or(F.col("status") == s)
+    return F.when(has(FETCHED), FETCHED).when(has(DENIED), DENIED).when(has(NO_DATA), NO_DATA)
+
+
 def with_status(rows: DataFrame, status: DataFrame, keys: Sequence[str] = DAY) -> DataFrame:
     """Status of each row's day: fetched, denied, no_data in that order, else unknown."""
-    found = status.groupBy(*keys).agg(
-        F.when(F.bool_or(F.col("status") == FETCHED), FETCHED)
-        .when(F.bool_or(F.col("status") == DENIED), DENIED)
-        .when(F.bool_or(F.col("status") == NO_DATA), NO_DATA).alias("pull_status"))
+    found = status.groupBy(*keys).agg(_day_outcome().alias("pull_status"))
     return (rows.join(found, list(keys), "left")
             .withColumn("pull_status", F.coalesce("pull_status", F.lit(UNKNOWN))))
 
 
 def empty_dates(status: DataFrame, keys: Sequence[str] = DAY) -> DataFrame:
-    """Distinct union of the no-data and the denied days."""
-    of = lambda s: status.where(F.col("status") == s).select(*keys)
-    return of(NO_DATA).union(of(DENIED)).distinct()
+    """Distinct days with no data or a denied answer."""
+    return status.where(F.col("status").isin(NO_DATA, DENIED)).select(*keys).distinct()
 
 
 def with_placeholders(data: DataFrame, status: DataFrame, keys: Sequence[str] = DAY) -> DataFrame:
     """Add an end-of-day row with null measures for each empty day that has no data rows."""
-    empty = with_status(empty_dates(status, keys), status, keys)
+    empty = status.groupBy(*keys).agg(_day_outcome().alias("pull_status"), F.bool_or(
+        F.col("status").isin(NO_DATA, DENIED)).alias("_empty")).where("_empty").drop("_empty")
     missing = empty.join(data.select(*keys).distinct(), list(keys), "left_anti")
     stubs = missing.withColumn("date_time_utc", end_of_day("query_date"))
     return data.unionByName(stubs, allowMissingColumns=True)

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _NEW = "_new_"
+# Order of loaded writes to one key: kind of result, ingest ordinal, requested date, place in the body.
+VERSION = ("_rank", "_batch", "_asked", "_entry", "_item")
+CHANGED = "_changed"
 
 
 def last_write(df: DataFrame, keys: Sequence[str], order: Sequence[str],
@@ -23,11 +26,13 @@ def last_write(df: DataFrame, keys: Sequence[str], order: Sequence[str],
 
 
 def upsert(target: DataFrame, batch: DataFrame, keys: Sequence[str],
-           surrogate: str = "id") -> DataFrame:
+           surrogate: str = "id", order: Sequence[str] = (), changed: bool = False) -> DataFrame:
     """`target` after inserting `batch`, or overwriting its columns where the key exists.
 
     Incoming nulls overwrite. Columns the batch does not have, and the surrogate id, keep their
-    stored values. The batch holds each key once (see `last_write`).
+    stored values. The batch holds each key once (see `last_write`). With `order` columns, a row
+    that is stored with the same or a greater order stays as it is, so the outcome does not depend on which
+    write comes first. `changed` adds a column that tells inserted and overwritten rows.
     """
     unknown = [c for c in batch.columns if c not in target.columns]
     if unknown:
@@ -41,6 +46,12 @@ def upsert(target: DataFrame, batch: DataFrame, keys: Sequence[str],
                               for c in batch.columns if c not in keys and c != surrogate],
                             F.lit(True).alias(_NEW))
     merged = target.join(incoming, list(keys), "full_outer")
+    wins = F.coalesce(F.col(_NEW), F.lit(False))
+    if order:
+        old = F.struct(*[F.col(c) for c in order])
+        new = F.struct(*[F.col(_NEW + c) for c in order])
+        stored = F.col(order[0]).isNotNull()  # a row written without a version gives way
+        wins = wins & (~stored | (new > old))
 
     def value(c: str):
         if c in keys:
@@ -48,7 +59,8 @@ def upsert(target: DataFrame, batch: DataFrame, keys: Sequence[str],
         if c == surrogate:
             return F.coalesce(F.col(c), F.xxhash64(*keys)).alias(c)
         if _NEW + c in incoming.columns:
-            return F.when(F.col(_NEW), F.col(_NEW + c)).otherwise(F.col(c)).alias(c)
+            return F.when(wins, F.col(_NEW + c)).otherwise(F.col(c)).alias(c)
         return F.col(c)
 
-    return merged.select(*[value(c) for c in target.columns])
+    extra = [wins.alias(CHANGED)] if changed else []
+    return merged.select(*[value(c) for c in target.columns], *extra)

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from restwave.functions import nan_to_null
 from restwave.operators.banded import WINDOW_BUDGET, Kernel, banded_means, gaussian_rows, simple_rows
+from restwave.operators.smooth import to_long
 from restwave.schemas import ROW_WIDTHS
 
 
@@ -79,6 +79,8 @@ def stored_row_means(df: DataFrame, series: Sequence[str], uri: str,
     target = f"{uri.rstrip('/')}/{version}-{request}"
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/_SUCCESS")
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        parts = [row_means(df, c, widths, keys, date).withColumn("series", F.lit(c)) for c in series]
-        reduce(DataFrame.unionByName, parts).write.mode("overwrite").parquet(target)
+        # Unpivoted first, all columns share one numbering and one exchange.
+        long = to_long(df, series, keys, date)
+        (row_means(long, "value", widths, (*keys, "series"), date)
+         .select(*keys, date, "kernel", "bandwidth", "value", "series").write.mode("overwrite").parquet(target))
     return spark.read.parquet(target)

@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Collection, Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from restwave.operators.decode import daily_batch, decode_daily, decode_intraday
-from restwave.operators.status import TERMINAL, high_water, terminal_dates
-from restwave.operators.upsert import last_write
-from restwave.schemas import UPDATE_ORDER, table
-from restwave.sources.tables import REMOVE, TableStore
+from restwave.operators.calendar import check_range
+from restwave.operators.decode import daily_batch, decode_daily, decode_intraday, intraday_batch, quarantined
+from restwave.schemas import DAILY_PAYLOADS, UPDATE_ORDER, metric_table, table
+from restwave.sources.tables import TableStore
 
 # Fixed value: first date ever loaded.
 FIRST_DATE = dt.date(2015, 1, 1)
@@ -20,48 +19,74 @@ FIRST_DATE = dt.date(2015, 1, 1)
 Hook = Callable[[DataFrame], DataFrame]
 
 
+def _range(landed: DataFrame, date: str, run_date: dt.date, start: dt.date, end: dt.date | None,
+           dates: Collection[dt.date] | None) -> DataFrame:
+    """Rows of the inclusive range up to `end` or the run date, or only of `dates` within it."""
+    last = run_date if end is None else end
+    check_range(start, last)
+    inside = F.col(date).between(F.lit(start), F.lit(last))
+    return landed.where(inside & F.col(date).isin(list(dates)) if dates is not None else inside)
+
+
 def load_daily(store: TableStore, landed: DataFrame, name: str, run_date: dt.date,
-               start: dt.date = FIRST_DATE, hook: Hook | None = None) -> int:
-    """Upsert the landed entries from each user's last stored date (inclusive) to the run date.
+               start: dt.date = FIRST_DATE, hook: Hook | None = None, end: dt.date | None = None,
+               dates: Collection[dt.date] | None = None) -> int:
+    """Upsert the landed entries of the range; returns the number of inserted or changed rows.
 
-    Returns the number of upserted rows; no landed rows is a no-op. `hook` is an optional
+    A stored row keeps the version it came from and only gives way to a greater one, so any cut
+    of the same responses into loads, in any order, leaves the same table. `hook` is an optional
     DataFrame transformation of the batch.
     """
-    marks = high_water(store.df(name))
-    rows = decode_daily(landed, name).join(marks, "user_id", "left")
-    since = F.coalesce("last_date", F.lit(start))
-    rows = rows.where(F.col("date").between(since, F.lit(run_date))).drop("last_date")
-    batch = daily_batch(rows, name)
+    name = metric_table(name, "daily").name
+    rows = _range(decode_daily(landed, name), "date", run_date, start, end, dates)
+    batch = daily_batch(rows, name, keep_version=True)
+    if DAILY_PAYLOADS[name].weigh_ins:
+        batch = _bridged(batch, store.df(name))
     if hook:
         batch = batch.transform(hook)
     return store.upsert(name, batch.withColumn("date_pulled", F.lit(run_date)))
 
 
+def _bridged(batch: DataFrame, stored: DataFrame) -> DataFrame:
+    """The batch and the empty days between it and what is stored of its users."""
+    span = lambda df, a, b: df.groupBy("user_id").agg(F.min("date").alias(a), F.max("date").alias(b))
+    spans = span(batch, "lo", "hi").join(span(stored, "first", "last"), "user_id")
+    gap = F.when(F.col("lo") > F.date_add("last", 1), F.sequence(F.date_add("last", 1), F.date_sub("lo", 1))).when(
+        F.col("hi") < F.date_sub("first", 1), F.sequence(F.date_add("hi", 1), F.date_sub("first", 1)))
+    days = spans.select("user_id", F.explode(gap).alias("date")).withColumn("_rank", F.lit(0))
+    return batch.unionByName(days, allowMissingColumns=True)
+
+
 def load_intraday(store: TableStore, landed: DataFrame, name: str, run_date: dt.date,
                   start: dt.date = FIRST_DATE, answers: DataFrame | None = None,
-                  hook: Hook | None = None) -> int:
-    """Upsert the landed days that are not done yet.
+                  hook: Hook | None = None, end: dt.date | None = None,
+                  dates: Collection[dt.date] | None = None) -> int:
+    """Upsert the landed days of the range; returns the number of inserted or changed rows.
 
-    A day is done once it was loaded as fetched or empty after it had ended: a day pulled on
-    its own date is still open and is read again. Restricting landed days by an anti-join gives
-    the same days as first listing a calendar, without building one per user.
+    As with `load_daily` the stored versions decide, and a day has one outcome (`intraday_batch`).
     """
-    stored = store.df(name).where(F.col("query_date").between(F.lit(start), F.lit(run_date)))
-    closed = stored.where(F.col("pull_status").isin(*TERMINAL)
-                          & (F.col("date_pulled") > F.col("query_date")))
-    due = landed.where(F.col("query_date").between(F.lit(start), F.lit(run_date))).join(
-        terminal_dates(closed), ["user_id", "query_date"], "left_anti")
-    rows = decode_intraday(due, name, answers)
-    batch = last_write(rows, ("user_id", "date_time_utc"), ("batch", "query_date", "item"),
-                       keep=("query_date",))
-    # Placeholders are stored; the marker of a fetched day only removes an earlier placeholder.
-    batch = (batch.withColumn(REMOVE, F.col(REMOVE) & (F.col("pull_status") == F.lit("fetched")))
-             .withColumn("date_pulled", F.lit(run_date)))
+    name = metric_table(name, "intraday").name
+    due = _range(landed, "query_date", run_date, start, end, dates)
+    batch = intraday_batch(decode_intraday(due, name, answers)).withColumn("date_pulled", F.lit(run_date))
     if hook:
         batch = batch.transform(hook)
     return store.upsert(name, batch)
 
 
+def newest_batch(store: TableStore, name: str) -> int | None:
+    """The greatest ingest ordinal stored of a table: a caller whose batches land in order may
+    read on from it (`read_landed(first_batch=...)`)."""
+    return store.versions(name).agg(F.max("_batch")).first()[0]
+
+
+def quarantine(store: TableStore, landed: DataFrame, name: str, uri: str) -> int:
+    """Write what decoding leaves out of the given responses to `uri`; returns the number of rows."""
+    lost = Observation()
+    rows = quarantined(landed, table(name).name).withColumn("metric", F.lit(table(name).name))
+    rows.observe(lost, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(uri)
+    return lost.get["n"]
+
+
 def update(store: TableStore, landed: Callable[[str], DataFrame], name: str, run_date: dt.date,
            start: dt.date = FIRST_DATE, answers: DataFrame | None = None,
            hook: Hook | None = None) -> int:

@@ -12,6 +12,9 @@ from restwave.functions import month_of
 
 PART = "part"
 ACTIVITY_BUCKETS = 64
+# Stored beside every row and hidden from readers: how a loaded row ranks among writes of its key
+# (`upsert.VERSION`), and whether it only marks a fetched day.
+HIDDEN = "_rank int, _batch bigint, _asked date, _entry int, _item int, _hidden boolean"
 
 
 @dataclass(frozen=True)
@@ -34,6 +37,10 @@ class Table:
     def schema(self) -> T.StructType:
         return T.StructType.fromDDL(f"id bigint, user_id string, {self.columns}")
 
+    @property
+    def stored_schema(self) -> T.StructType:
+        return T.StructType.fromDDL(f"id bigint, user_id string, {self.columns}, {HIDDEN}, {PART} string")
+
     def part(self) -> Column:
         if self.kind == "daily":
             return month_of("date")
@@ -128,7 +135,6 @@ class DailyPayload:
     values_field: str
     mapping: dict[str, str]
     text: frozenset[str] = field(default_factory=frozenset)
-    chunk_days: int = 28
     weigh_ins: bool = False
 
     def _fields(self) -> str:
@@ -184,8 +190,7 @@ DAILY_PAYLOADS: dict[str, DailyPayload] = {
     "health_stats": DailyPayload(
         "dailyWeightSummaries", "summaryDate", "allWeightMetrics",
         {"weight": "weight", "bmi": "bmi", "bodyFat": "body_fat", "bodyWater": "body_water",
-         "boneMass": "bone_mass", "muscleMass": "muscle_mass"},
-        chunk_days=1000, weigh_ins=True),
+         "boneMass": "bone_mass", "muscleMass": "muscle_mass"}, weigh_ins=True),
     "steps": DailyPayload(
         "values", "calendarDate", "values",
         {"stepGoal": "step_goal", "totalSteps": "total_steps", "totalDistance": "total_distance"}),
@@ -287,9 +292,27 @@ SERIES_VIEWS: dict[str, tuple[SeriesView, ...]] = {
         SeriesView("total_distance", "distance", "Total Distance (m)", "Total Distance"),
     ),
 }
+# Fixed value.
 DEFAULT_SMOOTH = ("gaussian", 14)
 
 
+# Metric names of the pull functions, by kind of table.
+METRICS = {
+    "daily": {"weight": "health_stats", "steps": "steps", "sleep": "sleep", "stress": "stress",
+              "body_battery": "body_battery", "heart_rate": "heart_rate"},
+    "intraday": {"heart_rate": "heart_rate_detailed", "spo2": "spo2_detailed",
+                 "steps": "steps_detailed", "respiration": "respiration_detailed"},
+}
+
+
+def metric_table(name: str, kind: str) -> Table:
+    """The daily or intraday table given by its own, its model's or its metric's name."""
+    t = TABLES[METRICS[kind][name]] if name in METRICS[kind] else table(name)
+    if t.kind != kind:
+        raise ValueError(f"{name!r} is not a metric of {kind} tables")
+    return t
+
+
 def table(name: str) -> Table:
     """Look a table up by table or model name."""
     for t in TABLES.values():

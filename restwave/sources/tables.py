@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from restwave.operators.clean import nulls_for_nan
 from restwave.operators.quality import require_keys
-from restwave.operators.upsert import upsert
+from restwave.operators.upsert import CHANGED, VERSION, upsert
 from restwave.schemas import PART, TABLES, Table, table
 from restwave.session import use_utc
 
@@ -56,20 +56,25 @@ class TableStore:
             self.create(name)
 
     def create(self, name: str) -> None:
-        empty = self.spark.createDataFrame([], table(name).schema.add(PART, "string"))
+        empty = self.spark.createDataFrame([], table(name).stored_schema)
         empty.write.mode("ignore").partitionBy(PART).parquet(self.uri(name))
 
     def _stored(self, name: str) -> DataFrame:
         t = table(name)
-        return (self.spark.read.schema(t.schema.add(PART, "string"))
+        return (self.spark.read.schema(t.stored_schema)
                 .option("basePath", self.uri(name)).parquet(self.uri(name)))
 
     def df(self, name: str) -> DataFrame:
-        """Lazy scan of a table; NaN reads as null."""
-        return nulls_for_nan(self._stored(name).drop(PART))
+        """Lazy scan of a table. NaN was made null when the rows were written."""
+        shown = F.col("_hidden").isNull() | ~F.col("_hidden")
+        return self._stored(name).where(shown).select(*table(name).schema.names)
 
     records = df
 
+    def versions(self, name: str) -> DataFrame:
+        """Keys and versions of all stored rows, hidden ones included."""
+        return self._stored(name).select(*table(name).keys, *VERSION, "_hidden")
+
     def drop(self, name: str) -> bool:
         fs, path = self._fs_path(self.uri(name))
         return fs.delete(path, True)
@@ -84,6 +89,7 @@ class TableStore:
             full = full.withColumn("detailsPulled", F.coalesce("detailsPulled", F.lit(False)))
         surrogate = t.keys if t.unique else [c for c in full.columns if c != "id"]
         full = full.withColumn("id", F.coalesce("id", F.xxhash64(*surrogate)))
+        full = self._with_version(nulls_for_nan(full))
         staged, count = self._stage(name, full.withColumn(PART, t.part()), "new")
         require_keys(staged, t.keys, t.not_null, t.unique)
         if t.unique:
@@ -95,6 +101,12 @@ class TableStore:
         staged.hint("rebalance", PART).write.mode("append").partitionBy(PART).parquet(self.uri(name))
         return count
 
+    @staticmethod
+    def _with_version(rows: DataFrame) -> DataFrame:
+        kinds = {"_asked": "date", "_batch": "bigint", "_hidden": "boolean"}
+        absent = [c for c in (*VERSION, "_hidden") if c not in rows.columns]
+        return rows.withColumns({c: F.lit(None).cast(kinds.get(c, "int")) for c in absent})
+
     def add_record(self, name: str, values: Mapping[str, Any]) -> int:
         return self.add_records(name, self._one_row(name, values))
 
@@ -123,15 +135,18 @@ class TableStore:
         return [r[0] for r in staged.select(PART).distinct().collect()]
 
     def upsert(self, name: str, batch: DataFrame) -> int:
-        """Insert or overwrite by key; returns the number of batch rows.
+        """Insert or overwrite by key; returns the number of rows that this inserts or changes.
 
-        A true `is_marker` column removes a stored row of that key instead of writing one. The
-        merged partitions are complete in staging before any of them replaces a stored one.
+        Rows with the VERSION columns only overwrite what has no greater version. Rows without
+        them always overwrite. A true `_hidden` column stores a row that readers don't see and
+        that isn't counted; a true `is_marker` column removes a stored row instead of writing one.
+        The merged partitions are complete in staging before any of them replaces a stored one.
         """
         t = table(name)
         if not t.unique:
             raise ValueError(f"{t.name} has no unique key")
-        marked = REMOVE in batch.columns
+        marked, versioned = REMOVE in batch.columns, VERSION[0] in batch.columns
+        batch = self._with_version(nulls_for_nan(batch))
         staged, count = self._stage(name, batch.withColumn(PART, t.part()), "batch")
         if count == 0:
             return 0
@@ -140,19 +155,22 @@ class TableStore:
         stored = self._stored(name).where(F.col(PART).isin(parts))
         if marked:
             stored = stored.withColumn(REMOVE, F.lit(False))
-        merged = upsert(stored, staged, (*t.keys, PART))
+        merged = upsert(stored, staged, (*t.keys, PART), order=VERSION if versioned else (), changed=True)
         if marked:
             merged = merged.where(~F.col(REMOVE)).drop(REMOVE)
         merge_uri = self._staging(name, "merged")
+        seen = Observation()
+        shown = F.col(CHANGED) & ~F.coalesce("_hidden", F.lit(False))
         # Rebalancing splits a hot partition over several files and joins small ones.
-        (merged.hint("rebalance", PART).write.mode("overwrite").partitionBy(PART).parquet(merge_uri))
+        (merged.observe(seen, F.count_if(shown).alias("n")).drop(CHANGED).hint("rebalance", PART)
+         .write.mode("overwrite").partitionBy(PART).parquet(merge_uri))
         self._publish(name, merge_uri, parts)
-        return count
+        return count if marked else seen.get["n"]
 
     def _publish(self, name: str, merge_uri: str, parts: list[str]) -> None:
         """Replace the touched partitions by the staged ones. Repeatable after a failure."""
         t = table(name)
-        merged = (self.spark.read.schema(t.schema.add(PART, "string")).option("basePath", merge_uri)
+        merged = (self.spark.read.schema(t.stored_schema).option("basePath", merge_uri)
                   .parquet(merge_uri))
         (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy(PART).parquet(self.uri(name)))

@@ -14,16 +14,17 @@ from restwave.sources.tables import TableStore
 
 
 def load_available(store: TableStore, root: str, name: str, checkpoint: str, run_date: dt.date,
-                   start: dt.date = FIRST_DATE, answers: DataFrame | None = None) -> StreamingQuery:
+                   start: dt.date = FIRST_DATE, answers: DataFrame | None = None,
+                   files_per_trigger: int = 10_000) -> StreamingQuery:
     """Load everything that has landed since the last call, then stop.
 
     Every micro-batch is the ordinary load, whose upsert repeats without effect, so a batch that
-    runs again after a failure leaves the same table.
+    runs again after a failure leaves the same table, and so does any cut into micro-batches.
     """
     t = table(name)
 
     def write(batch: DataFrame, _: int) -> None:
         update(store, lambda _name: batch, t.name, run_date, start, answers)
 
-    return (stream_landed(store.spark, root, t.name).writeStream.foreachBatch(write)
+    return (stream_landed(store.spark, root, t.name, files_per_trigger).writeStream.foreachBatch(write)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

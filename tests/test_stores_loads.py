@@ -178,13 +178,15 @@ def test_daily_load_is_incremental(spark, store):
     assert load.load_daily(store, first, "steps", D(2024, 1, 20)) == 3  # the 31st is after the run date
     later = frame(spark, "steps", ("a", D(2024, 1, 1), 2, steps_body((1, 100), (3, 300), (5, 500))),
                   ("b", D(2024, 1, 1), 2, steps_body((2, 20))))
-    assert load.load_daily(store, later, "steps", run) == 3  # the 1st of user a is before its last date
+    assert load.load_daily(store, later, "steps", run) == 4
     got = {(r.user_id, r.date.day): (r.total_steps, r.date_pulled) for r in store.df("steps").collect()}
-    assert got == {("a", 1): (1.0, D(2024, 1, 20)), ("a", 3): (300.0, run), ("a", 5): (500.0, run),
+    assert got == {("a", 1): (100.0, run), ("a", 3): (300.0, run), ("a", 5): (500.0, run),
                    ("b", 1): (10.0, D(2024, 1, 20)), ("b", 2): (20.0, run)}
     before = sorted(store.df("steps").collect())
-    assert load.load_daily(store, later, "steps", run) == 2
-    assert sorted(store.df("steps").collect()) == before
+    assert load.load_daily(store, later, "steps", run) == 0
+    assert load.load_daily(store, first, "steps", run) == 1  # the 31st; older batches displace nothing
+    assert sorted(store.df("steps").where("day(date) < 31").collect()) == before
+    assert load.newest_batch(store, "steps") == 2
     assert load.load_daily(store, later.where("false"), "steps", run) == 0
 
 
@@ -209,14 +211,14 @@ def test_intraday_load(spark, store):
     assert [(u, q, h, s) for u, q, h, _, s in show()] == [
         ("a", 1, 1, "fetched"), ("a", 1, 2, "fetched"), ("a", 2, 23, "no_data"), ("a", 3, 23, "denied"),
         ("a", 4, 1, "fetched")]
-    # Done days are not read again; the denied day, the pending user and the open day are.
+    # A newer batch wins row by row; a day that was fetched once has no placeholder any more.
     second = frame(spark, name, ("a", d(1), 2, hr_body((at(2024, 1, 1, 1), 99))),
                    ("a", d(2), 2, hr_body((at(2024, 1, 2, 1), 99))), ("a", d(3), 2, hr_body((at(2024, 1, 3, 5), 63))),
                    ("b", d(3), 2, hr_body((at(2024, 1, 3, 6), 80))),
                    ("a", d(4), 2, hr_body((at(2024, 1, 4, 1), 71), (at(2024, 1, 4, 9), 72))))
     load.load_intraday(store, second, name, d(5))
     assert show() == [
-        ("a", 1, 1, 60.0, "fetched"), ("a", 1, 2, 61.0, "fetched"), ("a", 2, 23, None, "no_data"),
+        ("a", 1, 1, 99.0, "fetched"), ("a", 1, 2, 61.0, "fetched"), ("a", 2, 1, 99.0, "fetched"),
         ("a", 3, 5, 63.0, "fetched"), ("a", 4, 1, 71.0, "fetched"), ("a", 4, 9, 72.0, "fetched"),
         ("b", 3, 6, 80.0, "fetched")]
     assert load.load_intraday(store, second, name, d(5)) == 0
@@ -229,6 +231,83 @@ def test_newer_batch_settles_a_day_within_one_load(spark, store):
     assert [(r.hr, r.pull_status) for r in store.df(name).collect()] == [(60.0, "fetched")]
 
 
+def test_any_cut_and_order_of_loads_gives_one_table(spark, tmp_path):
+    d = lambda i: D(2024, 1, i)
+    run, weigh = d(31), lambda *days: {"dailyWeightSummaries": [
+        {"summaryDate": f"2024-01-{i:02d}", "allWeightMetrics": [{"weight": w}]} for i, w in days]}
+    landed = {
+        "steps": [("a", d(20), 1, steps_body((20, 1))), ("a", d(10), 1, steps_body((10, 2))), ("a", d(10), 3, steps_body((10, 3))),
+                  ("b", d(10), 2, steps_body((10, 4)))],
+        "health_stats": [("a", d(1), 1, weigh((1, 1000.0))), ("a", d(4), 2, weigh((4, 4000.0))), ("a", d(9), 3, weigh((9, 9000.0), (4, 5000.0)))],
+        "heart_rate_detailed": [("a", d(1), 1, {}), ("a", d(1), 2, hr_body((at(2024, 1, 1, 1), 60))), ("a", d(1), 3, {}), ("a", d(2), 1, {}),
+                                ("b", d(1), 1, hr_body((at(2024, 1, 1, 1), 70))), ("b", d(1), 4, hr_body((at(2024, 1, 1, 1), 71), (at(2024, 1, 1, 2), 72)))]}
+    want = {}
+    for k, cut in enumerate((None, 1, -1, 2)):
+        s = TableStore(spark, f"file:{tmp_path}/{k}")
+        s.create_all()
+        for name, rows in landed.items():
+            parts = [rows] if cut is None else [rows[i:i + abs(cut)] for i in range(0, len(rows), abs(cut))][::1 if cut > 0 else -1]
+            for part in parts:
+                (load.load_intraday if "detailed" in name else load.load_daily)(s, frame(spark, name, *part), name, run)
+            got = sorted(map(repr, s.df(name).drop("id").collect()))
+            assert want.setdefault(name, got) == got
+    days = {r.date.day: r.weight for r in s.df("health_stats").collect()}
+    assert sorted(days) == list(range(1, 10)) and days[4] == pytest.approx(5000 * 0.00220462) and days[2] is None
+    assert [(r.user_id, r.query_date.day, r.hr, r.pull_status) for r in s.df("heart_rate_detailed").orderBy("user_id", "date_time_utc").collect()] == [
+        ("a", 1, 60.0, "fetched"), ("a", 2, None, "no_data"), ("b", 1, 71.0, "fetched"), ("b", 1, 72.0, "fetched")]
+
+
+def test_stream_cap_does_not_matter(spark, tmp_path):
+    root, name = str(tmp_path / "landing"), "heart_rate_detailed"
+    drop_file(root, name, 1, "a", "2024-01-01", {})
+    drop_file(root, name, 2, "a", "2024-01-01", hr_body((at(2024, 1, 1, 1), 60)))
+    drop_file(root, name, 3, "a", "2024-01-02", {})
+    for cap in (1, 2, 10_000):
+        s = TableStore(spark, f"file:{tmp_path}/db{cap}")
+        s.create_all()
+        q = load_available(s, f"file:{root}", name, f"file:{tmp_path}/check{cap}", D(2024, 1, 9), files_per_trigger=cap)
+        q.awaitTermination(120)
+        assert q.exception() is None
+        assert sorted((r.query_date.day, r.hr, r.pull_status) for r in s.df(name).collect()) == [(1, 60.0, "fetched"), (2, None, "no_data")]
+
+
+def test_load_arguments(spark, store):
+    d = lambda i: D(2024, 1, i)
+    body = frame(spark, "steps", ("a", d(1), 1, steps_body((1, 1), (2, 2), (3, 3), (9, 9))))
+    assert load.load_daily(store, body, "steps", d(20), dates=[d(2), d(9)], end=d(8)) == 1
+    assert load.load_daily(store, body, "Steps", d(20), end=d(3)) == 2
+    for call in (lambda: load.load_daily(store, body, "steps", d(20), start=d(5), end=d(4)),
+                 lambda: load.load_intraday(store, body, "heart_rate", d(1), start=d(2)), lambda: load.load_daily(store, body, "spo2_detailed", d(3))):
+        with pytest.raises(ValueError):
+            call()
+
+
+def test_repeated_responses_of_activities(spark):
+    from restwave.operators import activities
+    acts = lambda *ids: json.dumps([{"activityId": str(i), "startTime": f"2024-01-0{i}", "activityType": "running"} for i in ids])
+    lists = spark.createDataFrame([("a", 1, acts(3, 2, 1)), ("a", 2, acts(4, 3, 2))], "user_id string, batch int, body string")
+    assert sorted(r.activityId for r in activities.activity_list(lists, 3).collect()) == ["2", "3", "4"]
+    sets = lambda n: json.dumps({"exerciseSets": [{"reps": n}]})
+    twice = spark.createDataFrame([("a", "7", 1, sets(5)), ("a", "7", 2, sets(6)), ("a", "7", 2, sets(6))], "user_id string, activityId string, batch int, body string")
+    assert [r.reps for r in activities.strength_sets(twice).collect()] == [6]
+
+
+def test_nothing_aborts_and_nothing_is_lost_silently(spark, store, tmp_path):
+    d = lambda i: D(2024, 1, i)
+    item = {"startGMT": "2024-01-01T23:45:00.0Z", "endGMT": "bad", "steps": 12}
+    body = frame(spark, "steps_detailed", ("a", d(1), 1, [item, {**item, "startGMT": "2024-01-01T10:00:00+02:00"}, {**item, "startGMT": "soon"}]), ("a", d(2), 1, "{broken"))
+    assert load.load_intraday(store, body, "steps", d(9)) == 2
+    assert sorted((r.date_time_utc.astimezone(UTC).hour, r.end_gmt) for r in store.df("steps_detailed").collect()) == [(8, None), (23, None)]
+    far = frame(spark, "heart_rate_detailed", ("a", d(1), 1, hr_body((1e30, 60), (1e17, 61), (at(2024, 1, 1, 1), 62))))
+    assert load.load_intraday(store, far, "heart_rate", d(9)) == 1
+    uri = f"file:{tmp_path}/lost"
+    assert load.quarantine(store, body, "steps_detailed", uri) == 2 and load.quarantine(store, far, "heart_rate_detailed", uri) == 2
+    steps = frame(spark, "steps", ("a", d(1), 1, {"values": [{"calendarDate": "never", "values": {}}, {"calendarDate": "2024-01-01", "values": {}}]}))
+    assert load.quarantine(store, steps, "steps", uri) == 1
+    assert sorted((r.metric, r.place, r.reason) for r in spark.read.parquet(uri).where("place is not null").collect()) == [
+        ("heart_rate_detailed", 0, "instant"), ("heart_rate_detailed", 1, "instant"), ("steps", 0, "date"), ("steps_detailed", 2, "instant")]
+
+
 def test_flat_intraday_load(spark, store):
     item = {"startGMT": "2024-01-01T10:00:00.0", "endGMT": "2024-01-01T10:15:00.0", "steps": 12}
     body = frame(spark, "steps_detailed", ("a", D(2024, 1, 1), 1, [item]), ("a", D(2024, 1, 2), 1, []),
@@ -243,7 +322,7 @@ def test_update_dispatch(spark, store):
     give = lambda name: landed.get(name, landed["steps"].where("false"))
     assert load.update(store, give, "Steps", D(2024, 2, 1)) == 1
     counts = load.update_all(store, give, D(2024, 2, 1))
-    assert list(counts) == [table(m).name for m in UPDATE_ORDER] and sum(counts.values()) == 1
+    assert list(counts) == [table(m).name for m in UPDATE_ORDER] and sum(counts.values()) == 0  # stored already
     for bad in ("Nothing", "Activity"):
         with pytest.raises(ValueError):
             load.update(store, give, bad, D(2024, 2, 1))

@@ -3,10 +3,19 @@
 from __future__ import annotations
 
 from restwave.functions import smooth_name
-from restwave.functions.columns import POUNDS_PER_GRAM
-from restwave.operators.clean import SLEEP_COLUMNS, SLEEP_DURATIONS, STRESS_DURATIONS, ZERO_IS_MISSING
-from restwave.schemas import BANDWIDTHS, DAILY_PAYLOADS, INTRADAY_PAYLOADS, ROW_WIDTHS, SERIES_VIEWS, FlatPayload
-from workload.queries import EVENT_TYPES, FEW, INCOMING_FROM, RUN_DATE, START, STORED_UNTIL
+from restwave.schemas import DAILY_PAYLOADS, INTRADAY_PAYLOADS, SERIES_VIEWS, FlatPayload
+
+# Written out, not taken from the engine, so that a wrong constant there shows.
+POUNDS_PER_GRAM = 0.00220462
+BANDWIDTHS = (1, 7, 14, 21, 28, 35, 42, 49, 56, 63, 70, 77, 84, 91, 98, 105, 112, 119, 126, 133, 140, 147)
+ROW_WIDTHS = (*BANDWIDTHS, 154, 161, 168, 175)
+ZERO_IS_MISSING = ("body_fat", "bmi", "fat_mass")
+SLEEP_DURATIONS = ("total_sleep_time", "rem_time", "deep_time", "light_time", "awake_time")
+STRESS_DURATIONS = ("high_stress_duration", "low_stress_duration", "rest_stress_duration")
+SLEEP_COLUMNS = ("date", "resting_hr", "sleep_score", *SLEEP_DURATIONS, "sleep_start_time", "sleep_end_time", "hrv_7d_average")
+EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
+FEW = (1, 7, 14)
+STORED_UNTIL, INCOMING_FROM = "1999-06-30", "1999-01-01"
 
 DAYS = "SELECT user_id, CAST(ts AS DATE) AS date, avg(value) AS value FROM events GROUP BY ALL"
 # One row per user and day between the user's first and last day.
@@ -42,13 +51,13 @@ FROM terms GROUP BY user_id, date, w"""
 
 
 def _kernel(source: str, keys: str, kernel: str, bandwidths) -> str:
-    weight, near = ("exp(-0.5 * power((b.date - a.date) / CAST(w AS DOUBLE), 2))", "abs(b.date - a.date) <= 4 * w")
+    weight, near = ("exp(-0.5 * power((b.date - a.date) / CAST(w AS DOUBLE), 2))", "true")
     if kernel == "boxcar":
         weight, near = "1.0", "abs(b.date - a.date) <= w // 2"
     same = " AND ".join(f"a.{k.strip()} = b.{k.strip()}" for k in keys.split(","))
     out = ", ".join(f"a.{k.strip()}" for k in keys.split(","))
     return f"""SELECT {out}, a.date, '{kernel}' AS kernel, w AS bandwidth,
-  sum({weight} * b.value) / sum(CASE WHEN b.value IS NOT NULL THEN {weight} END) AS value
+  sum({weight} * b.value) / nullif(sum(CASE WHEN b.value IS NOT NULL THEN {weight} END), 0) AS value
   FROM {source} a CROSS JOIN {_values(bandwidths)} t(w) LEFT JOIN {source} b
   ON {same} AND b.value IS NOT NULL AND {near}
   GROUP BY {out}, a.date, w"""
@@ -152,8 +161,8 @@ st AS (SELECT user_id, query_date, last, top, CASE
 DAY_STATES = f"""{EVENT_DAYS}, ds AS (SELECT user_id, query_date, CASE WHEN purchase THEN 'fetched'
   WHEN error THEN 'denied' WHEN click THEN 'no_data' ELSE 'pending' END AS status FROM ed)"""
 END_OF_DAY = "CAST(query_date AS TIMESTAMP) + INTERVAL 1 DAY - INTERVAL 1 MICROSECOND"
-CALENDAR = f"""cal AS (SELECT user_id, CAST(unnest(generate_series(DATE '{START}', DATE '{RUN_DATE}',
-  INTERVAL 1 DAY)) AS DATE) AS date FROM (SELECT DISTINCT user_id FROM events))"""
+CALENDAR = """cal AS (SELECT user_id, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS date
+  FROM (SELECT DISTINCT user_id FROM events), (SELECT min(CAST(ts AS DATE)) AS a, max(CAST(ts AS DATE)) AS b FROM events))"""
 ORDER_COLUMNS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, CAST(o_orderdate AS DATE) AS date, o_orderpriority"
 
 
@@ -188,6 +197,10 @@ SELECT o_orderpriority, chunk_start, least(chunk_start + 27, b) AS chunk_end FRO
 {_kernel('tdays', 'user_id, series', 'gaussian', (7, 14))} UNION ALL
 {_kernel('tdays', 'user_id, series', 'boxcar', (7, 14))})
 SELECT user_id, 'events' AS metric, series, date, kernel, bandwidth, round(value + 3.31237e-9, 6) AS value FROM s""",
+        "kernel_repeated_dates": f"""WITH s0 AS (SELECT user_id, CAST(ts AS DATE) AS date, value FROM events),
+s AS ({_kernel('s0', 'user_id', 'gaussian', (1, 7))} UNION ALL {_kernel('s0', 'user_id', 'boxcar', (1, 7))})
+SELECT s0.user_id, 'events' AS metric, 'value' AS series, s0.date, kernel, bandwidth, round(s.value + 3.31237e-9, 6) AS value
+FROM s0 JOIN s USING (user_id, date)""",
         "band_pairs": f"""WITH d AS ({DAYS}) SELECT a.user_id, a.date, count(*) AS n, round(sum(b.value) + 3.31237e-9, 6) AS near_sum
 FROM d a JOIN d b ON a.user_id = b.user_id AND b.date - a.date BETWEEN -2 AND 3 GROUP BY a.user_id, a.date""",
         "align_to_dates": f"""WITH d AS ({DAYS}) SELECT a.user_id, a.date, round(avg(b.value) + 3.31237e-9, 6) AS smooth
@@ -250,6 +263,20 @@ n AS (SELECT * FROM r WHERE rn = 1 AND ts >= TIMESTAMP '2024-01-15')
 SELECT coalesce(n.user_id, e.user_id) AS user_id, coalesce(n.ts, e.ts) AS date_time_utc,
   round(CASE WHEN n.ts IS NOT NULL THEN n.value * 2.0 ELSE e.value END + 3.31237e-9, 6) AS value, e.event_type AS event_type
 FROM e FULL JOIN n ON e.user_id = n.user_id AND e.ts = n.ts""",
+        "load_daily": """WITH last AS (SELECT user_id, CAST(ts AS DATE) AS date, arg_max(value, event_id) AS v FROM events GROUP BY ALL)
+SELECT CAST(user_id AS VARCHAR) AS user_id, date, round(v + 3.31237e-9, 6) AS step_goal, round(v + 1 + 3.31237e-9, 6) AS total_steps,
+  round(v + 2 + 3.31237e-9, 6) AS total_distance, DATE '2024-01-31' AS date_pulled FROM last""",
+        "load_weight_calendar": _ingest_daily("health_stats").replace("SELECT user_id, date, round", "SELECT CAST(user_id AS VARCHAR) AS user_id, date, round"),
+        "load_intraday": f"""WITH {LOAD_STATUS}, out AS (SELECT *, CASE WHEN pull_status IN ('fetched', 'denied') THEN pull_status ELSE 'no_data' END AS s FROM st)
+SELECT CAST(user_id AS VARCHAR) AS user_id, query_date, CASE WHEN s = 'fetched' THEN date_trunc('millisecond', last) ELSE {END_OF_DAY} END AS date_time_utc,
+  CASE WHEN s = 'fetched' THEN round(top + 3.31237e-9, 6) END AS hr, s AS pull_status FROM out""",
+        "quarantined_rows": """SELECT user_id, CAST(ts AS DATE) AS query_date, event_id AS batch,
+  CASE WHEN event_type <> 'error' THEN 1 END AS place, CASE WHEN event_type = 'error' THEN 'body' ELSE 'instant' END AS reason FROM events""",
+        "table_append_update": """SELECT CAST(o_custkey AS VARCHAR) AS user_id, CAST(o_orderkey AS VARCHAR) AS activityId, CAST(o_orderdate AS DATE) AS date,
+  CASE WHEN o_orderdate < DATE '1999-01-01' THEN round(o_totalprice + 3.31237e-9, 6) END AS distance,
+  CASE WHEN o_orderdate >= DATE '1998-10-03' THEN round(o_totalprice * 2.0 + 3.31237e-9, 6) END AS calories,
+  CASE WHEN o_orderdate < DATE '1999-01-01' THEN false END AS detailsPulled FROM orders""",
+        "stored_row_means": f"""SELECT *, 'value' AS series FROM ({_row_frames((7, 14))}) UNION ALL SELECT *, 'value' FROM ({_row_gaussian((7, 14))})""",
         "topk_recent": """SELECT o_orderkey, CAST(o_orderdate AS DATE) AS date, round(o_totalprice + 3.31237e-9, 6) AS o_totalprice
 FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50""",
         "activity_list": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id

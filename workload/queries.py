@@ -18,13 +18,15 @@ from restwave.operators import activities, calendar, clean, decode, quality, ser
 from restwave.operators.banded import band_join
 from restwave.operators.upsert import last_write, upsert
 from restwave.schemas import BANDWIDTHS, DAILY_PAYLOADS, INTRADAY_PAYLOADS, SERIES_VIEWS, FlatPayload
+from restwave.plans import load as loads
 from restwave.session import scratch_uri, use_utc
 from restwave.sources.files import FrameStore
+from restwave.sources.tables import TableStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 FEW = (1, 7, 14)
-START, RUN_DATE = dt.date(2024, 1, 1), dt.date(2024, 1, 31)
+RUN_DATE = dt.date(2024, 1, 31)
 STORED_UNTIL, INCOMING_FROM = "1999-06-30", "1999-01-01"
 EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 # Events per built response body: event ids are unique, so a body holds at most this many.
@@ -62,6 +64,11 @@ def user_days(spark: SparkSession, sf: str) -> DataFrame:
     return calendar.fill_calendar(calendar.daily_mean(readings(spark, sf), ["value"]))
 
 
+def _span(spark: SparkSession, sf: str) -> tuple[dt.date, dt.date]:
+    """First and last day of the readings."""
+    return tuple(readings(spark, sf).agg(F.min("date"), F.max("date")).first())
+
+
 def type_days(spark: SparkSession, sf: str) -> DataFrame:
     """A long multi-series frame: daily mean per user and event type."""
     days = calendar.daily_mean(readings(spark, sf), ["value"], keys=("user_id", "event_type"))
@@ -86,7 +93,7 @@ def distinct_dates(spark, sf):
 
 def date_calendar(spark, sf):
     users = readings(spark, sf).select("user_id").distinct()
-    return calendar.date_calendar(users, START, RUN_DATE)
+    return calendar.date_calendar(users, *_span(spark, sf))
 
 
 def range_chunks(spark, sf):
@@ -130,6 +137,11 @@ def kernel_many_series(spark, sf):
     return rounded(smooth.kernel_smooth(type_days(spark, sf), bandwidths=(7, 14)))
 
 
+def kernel_repeated_dates(spark, sf):
+    """Every reading by itself: several of one user and date count one by one and all get rows."""
+    return rounded(smooth.kernel_smooth(one_series(readings(spark, sf)), bandwidths=(1, 7)))
+
+
 def band_pairs(spark, sf):
     days = calendar.daily_mean(readings(spark, sf), ["value"]).select(
         "user_id", F.unix_date("date").alias("day"), "value")
@@ -368,7 +380,7 @@ def watermark(spark, sf):
 
 def missing_dates(spark, sf):
     users = readings(spark, sf).select("user_id").distinct()
-    days = calendar.date_calendar(users, START, RUN_DATE, "query_date")
+    days = calendar.date_calendar(users, *_span(spark, sf), "query_date")
     seen = _day_states(spark, sf).withColumnRenamed("status", "pull_status")
     return status.dates_to_load(days, seen)
 
@@ -405,6 +417,68 @@ def upsert_intraday(spark, sf):
     return rounded(upsert(stored, last_write(incoming, key, ("event_id",)), key))
 
 
+# --- loads through stored tables ----------------------------------------------------------------
+
+def _store(spark, *names: str) -> TableStore:
+    store = TableStore(spark, scratch_uri(spark, "db"))
+    for name in names:
+        store.create(name)
+    return store
+
+
+def load_daily(spark, sf):
+    """Three loads of interleaved batches, the newest first."""
+    store, landed = _store(spark, "steps"), _landed_daily(spark, sf, "steps")
+    for turn in (2, 0, 1):
+        loads.load_daily(store, landed.where(F.col("batch") % 3 == turn), "steps", RUN_DATE)
+    return rounded(store.df("steps").drop("id"))
+
+
+def load_weight_calendar(spark, sf):
+    """Loads of apart days, the last first: the days between them are filled in."""
+    store, landed = _store(spark, "health_stats"), _landed_daily(spark, sf, "health_stats")
+    day = F.dayofmonth("query_date")
+    for part in (day > 20, day < 8, day.between(8, 20)):
+        loads.load_daily(store, landed.where(part), "weight", RUN_DATE)
+    return rounded(store.df("health_stats").drop("id", "date_pulled"))
+
+
+def load_intraday(spark, sf):
+    """Every day also has an empty response of a later batch, which here is loaded first."""
+    store, name = _store(spark, "heart_rate_detailed"), "heart_rate_detailed"
+    days = _descriptor_days(spark, sf)
+    empty = days.withColumns({"batch": F.lit(2).cast("bigint"), "body": F.lit("{}")})
+    for part in (empty, days.where(F.dayofmonth("query_date") % 2 == 0), days.where(F.dayofmonth("query_date") % 2 == 1)):
+        loads.load_intraday(store, part, "heart_rate", RUN_DATE, answers=_refusals(spark, sf))
+    return rounded(store.df(name).select("user_id", "query_date", "date_time_utc", "hr", "pull_status"))
+
+
+def quarantined_rows(spark, sf):
+    """Steps bodies with a good row and one whose start is bad, by the event's type also with an offset or no JSON."""
+    start = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS")
+    good = F.when(F.col("event_type") == "view", F.concat(start, F.lit("Z"))).otherwise(F.concat(start, F.lit("+02:00")))
+    row = lambda at, end: F.struct(at.alias("startGMT"), end.alias("endGMT"), F.col("value").alias("steps"))
+    body = F.to_json(F.array(row(good, F.lit("bad")), row(F.lit("soon"), start)))
+    landed = readings(spark, sf).select("user_id", F.col("date").alias("query_date"), F.col("event_id").alias("batch"),
+                                        F.when(F.col("event_type") == "error", F.lit("{broken")).otherwise(body).alias("body"))
+    return decode.quarantined(landed, "steps_detailed")
+
+
+def table_append_update(spark, sf):
+    """Orders as activities: appended, then their prices and the newest orders upserted."""
+    store = _store(spark, "activities")
+    key = {"user_id": F.col("o_custkey").cast("string"), "activityId": F.col("o_orderkey").cast("string")}
+    rows = load(spark, sf, "orders").withColumns(key).withColumn("date", F.to_date("o_orderdate"))
+    split = F.lit(INCOMING_FROM).cast("date")
+    store.add_records("activities", rows.where(F.col("date") < split).select(*key, "date", F.col("o_totalprice").alias("distance")))
+    store.upsert("activities", rows.where(F.col("date") >= F.date_sub(split, 90)).select(*key, "date", (F.col("o_totalprice") * 2.0).alias("calories")))
+    return rounded(store.df("activities").select(*key, "date", "distance", "calories", "detailsPulled"))
+
+
+def stored_row_means(spark, sf):
+    return rounded(windows.stored_row_means(user_days(spark, sf), ["value"], scratch_uri(spark, "means"), (7, 14)))
+
+
 # --- activities and quality ------------------------------------------------------------------
 
 def topk_recent(spark, sf):
@@ -414,7 +488,10 @@ def topk_recent(spark, sf):
 
 
 def activity_list(spark, sf):
-    """List responses of at most BODY_SPAN activities, built from events, newest ten per user."""
+    """List responses of at most BODY_SPAN activities, built from events, newest ten per user.
+
+    Every response came before with other distances and comes again unchanged.
+    """
     item = F.struct(F.col("event_id").cast("string").alias("activityId"),
                     F.col("event_type").alias("activityType"),
                     F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("startTime"),
@@ -422,22 +499,25 @@ def activity_list(spark, sf):
     landed = load(spark, sf, "events").groupBy(
         "user_id", F.floor(F.col("event_id") / BODY_SPAN).alias("batch")).agg(
         F.to_json(F.collect_list(item)).alias("body"))
-    return rounded(activities.activity_list(landed, 10).select(
+    before = landed.withColumns({"batch": F.col("batch") - 1_000_000, "body": F.replace("body", F.lit('"distance":'), F.lit('"distance":9'))})
+    again = landed.withColumn("batch", F.col("batch") + 1_000_000)
+    return rounded(activities.activity_list(before.unionByName(landed).unionByName(again), 10).select(
         "user_id", "activityId", "activityType", "startTime", "distance", "detailsPulled"))
 
 
 def strength_sets(spark, sf):
-    """A workout response per line: a working set and a rest of its tax in seconds."""
+    """A workout response per order: for each line a working set and a rest of its tax in seconds. Each
+    response came before with other sets."""
     active = F.struct(F.lit("ACTIVE").alias("setType"), F.col("l_returnflag").alias("exerciseName"),
                       F.col("l_quantity").cast("int").alias("reps"),
                       F.col("l_partkey").cast("int").alias("weight"), F.col("l_discount").alias("duration"))
     rest = F.struct(F.lit("REST").alias("setType"), F.lit(None).cast("string").alias("exerciseName"),
                     F.lit(None).cast("int").alias("reps"), F.lit(None).cast("int").alias("weight"),
                     F.col("l_tax").alias("duration"))
-    landed = load(spark, sf, "lineitem").select(
-        F.col("l_orderkey").cast("string").alias("activityId"),
-        F.to_json(F.struct(F.array(active, rest).alias("exerciseSets"))).alias("body"))
-    return rounded(activities.strength_sets(landed).select(
+    landed = load(spark, sf, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("activityId")).agg(
+        F.to_json(F.struct(F.flatten(F.collect_list(F.array(active, rest))).alias("exerciseSets"))).alias("body")).withColumn("batch", F.lit(2))
+    before = landed.withColumns({"batch": F.lit(1), "body": F.replace("body", F.lit("ACTIVE"), F.lit("OLD"))})
+    return rounded(activities.strength_sets(landed.unionByName(before)).select(
         "activityId", "setType", "exerciseName", "reps", "weight", "duration"))
 
 
@@ -516,10 +596,11 @@ def registry() -> dict[str, Query]:
     plain = (
         daily_mean_calendar, distinct_dates, date_calendar, range_chunks, sma_centered, sma_all_widths,
         gaussian_rows, gaussian_rows_all_widths, kernel_gaussian, kernel_boxcar, kernel_all_bandwidths,
-        kernel_many_series, band_pairs, align_to_dates, smooth_wide, smooth_trim, smooth_trim_long,
+        kernel_many_series, kernel_repeated_dates, band_pairs, align_to_dates, smooth_wide, smooth_trim, smooth_trim_long,
         zero_to_null_units, sleep_clock_hours, workout_agg, workout_agg_by, json_fields, load_status,
         load_rows, load_status_flat, all_zero_days, status_lookup, status_tally, empty_dates,
         placeholders, watermark, missing_dates, last_write_wins, upsert_daily, upsert_intraday,
+        load_daily, load_weight_calendar, load_intraday, quarantined_rows, table_append_update, stored_row_means,
         topk_recent, activity_list, strength_sets, type_split, dq_unique, dq_not_null,
         unreadable_bodies, io_roundtrip_parquet, io_roundtrip_csv, io_union,
     )
