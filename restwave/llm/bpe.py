@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from restwave.llm.common import ship_package, text_buffers, with_outputs
-from restwave.llm.fragments import FragmentCache, encode_cut
+from restwave.llm.common import row_struct, ship_package, text_buffers, with_outputs
+from restwave.llm.fragments import FragmentCache, encode_cut, flat_ids
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -72,7 +72,7 @@ class Codec:
         for token in self.bytes:
             b = np.frombuffer(token, np.uint8)
             self.occurs[b[:-1], b[1:]] = True
-        self.cache = FragmentCache(lambda texts: [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        self.cache = FragmentCache(lambda texts: flat_ids(tokenizer, texts))
 
     def cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Bounds of the fragments: certain cuts and the texts' own bounds."""
@@ -117,8 +117,7 @@ def encode_decode(docs: DataFrame, text_col: str = "text", keep: list[str] | Non
     output give way to it.
     """
     ship_package(docs.sparkSession)
-    chosen = docs.columns if keep is None else keep
-    own = F.struct(*[docs[f"`{c}`"] for c in chosen]) if chosen else F.struct(F.lit(0).alias("_"))
+    own = row_struct(docs, keep)
     source = docs.select(own.alias("row"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

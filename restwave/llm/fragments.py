@@ -7,20 +7,53 @@ import pyarrow as pa
 
 
 class FragmentCache:
-    """Token ids of fragments, from `encode_many`; starts anew when it holds `most` of them."""
+    """Token ids of fragments, all in one array. When it holds `most` fragments, those that only one batch
+    has asked for go.
 
-    def __init__(self, encode_many, most: int = 300_000):
-        self.encode_many, self.most, self.ids = encode_many, most, {}
+    `encode_many` gives the ids of a list of texts in one array, and their numbers.
+    """
 
-    def lookup(self, fragments: list[bytes]) -> list[np.ndarray]:
-        missing = [x for x in fragments if x not in self.ids]
-        if len(self.ids) + len(missing) > self.most:
-            self.ids = {}
-            missing = fragments
-        for lo in range(0, len(missing), 10_000):
-            part = missing[lo:lo + 10_000]
-            self.ids.update(zip(part, self.encode_many([x.decode() for x in part])))
-        return [self.ids[x] for x in fragments]
+    def __init__(self, encode_many, most: int = 500_000):
+        self.encode_many, self.most = encode_many, most
+        self.slot: dict[bytes, int] = {}
+        self.ids, self.starts, self.asked = np.zeros(1 << 16, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int32)
+
+    def _shrink(self, room: int) -> None:
+        keep = self.asked > 1
+        if self.most - int(keep.sum()) < room:
+            keep[:] = False
+        place = np.cumsum(keep) - 1
+        self.slot = {x: int(place[i]) for x, i in self.slot.items() if keep[i]}
+        sizes = np.diff(self.starts)
+        self.ids = np.append(self.ids[:self.starts[-1]][np.repeat(keep, sizes)], np.zeros(1 << 16, np.uint32))
+        self.starts = np.concatenate([[0], np.cumsum(sizes[keep])])
+        self.asked = np.ones(len(self.slot), np.int32)
+
+    def slots(self, fragments: list[bytes]) -> np.ndarray:
+        """The places of the fragments (all distinct) in `starts`."""
+        missing = [x for x in fragments if x not in self.slot]
+        if missing and self.slot and len(self.slot) + len(missing) > self.most:
+            self._shrink(len(missing))
+            missing = [x for x in fragments if x not in self.slot]
+        if missing:
+            ids, sizes = self.encode_many([x.decode() for x in missing])
+            used = int(self.starts[-1])
+            if used + len(ids) > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros(len(self.ids) + len(ids), np.uint32)])
+            self.ids[used:used + len(ids)] = ids
+            self.slot.update(zip(missing, range(len(self.slot), len(self.slot) + len(missing))))
+            self.starts = np.concatenate([self.starts, used + np.cumsum(sizes)])
+            self.asked = np.concatenate([self.asked, np.zeros(len(missing), np.int32)])
+        out = np.fromiter(map(self.slot.__getitem__, fragments), np.int64, len(fragments))
+        self.asked[out] += 1
+        return out
+
+
+def flat_ids(tokenizer, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts in one array, and their numbers."""
+    ids = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum())), sizes
 
 
 def encode_cut(data: np.ndarray, cuts: np.ndarray, cache: FragmentCache) -> tuple[np.ndarray, np.ndarray]:
@@ -30,12 +63,10 @@ def encode_cut(data: np.ndarray, cuts: np.ndarray, cache: FragmentCache) -> tupl
         return np.zeros(0, np.uint32), np.zeros(1, np.int64)
     fragments = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(np.ascontiguousarray(cuts, np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
     coded = fragments.dictionary_encode()
-    ids = cache.lookup(coded.dictionary.to_pylist())
-    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.concatenate(ids) if len(ids) else np.zeros(0, np.uint32)
-    starts = np.cumsum(sizes) - sizes
-    which = coded.indices.to_numpy()
-    bounds = np.concatenate([[0], np.cumsum(sizes[which])])
-    # for each output place: its fragment's start in flat plus its offset there
-    place = np.repeat(starts[which] - bounds[:-1], sizes[which]) + np.arange(bounds[-1])
-    return flat[place].astype(np.uint32), bounds
+    slots = cache.slots(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+    starts = cache.starts[slots]
+    sizes = cache.starts[slots + 1] - starts
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    # for each output place: its fragment's start in the cache plus its offset there
+    place = np.repeat(starts - bounds[:-1], sizes) + np.arange(bounds[-1])
+    return cache.ids[place], bounds
