@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from restwave.llm.common import durable, ship_package, with_outputs
+from restwave.llm.common import durable, named, row_struct, ship_package, with_outputs
 
 #: Weight of the shrinkage target in the covariances; fraction of the target that is the pooled mean variance.
 SHRINKAGE, SPHERE = 0.10, 0.05
@@ -64,7 +64,7 @@ def statistics(text: str | None) -> list[float]:
 def with_statistics(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     """row (struct of `keep`) and x (array of statistics)."""
     ship_package(docs.sparkSession)
-    own = F.struct(*[docs[f"`{c}`"] for c in keep]) if keep else F.struct(F.lit(0).alias("_"))
+    own = row_struct(docs, keep)
     source = docs.select(own.alias("row"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +140,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     of both classes every score is the prior. Input columns named like an output give way to it.
     """
     chosen = docs.columns if keep is None else keep
-    features = durable(with_statistics(docs.select(*[docs[f"`{c}`"] for c in dict.fromkeys(chosen)], F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")), "__text", [*chosen, "__id"]))
+    features = durable(with_statistics(docs.select(*[named(docs, c) for c in dict.fromkeys(chosen)], F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")), "__text", [*chosen, "__id"]))
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)").groupBy("id").agg(F.min("label").alias("label"))
     training = features.select(F.col("row.__id").alias("id"), "x").where(~held_out(F.col("id"))).join(known, "id").select("label", "x")
     model = fit(training)

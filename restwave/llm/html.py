@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from restwave.llm.common import ship_package, with_outputs
+from restwave.llm.common import row_struct, ship_package, with_outputs
 
 _TOKEN = re.compile(r"<!--(?:>|->|.*?(?:-->|--!>|\Z))|<(/?)([a-zA-Z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>?|</[^>a-zA-Z][^>]*>?", re.S)
 _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -205,8 +205,7 @@ def extract_main_text(pages: DataFrame, html_col: str = "html", keep: list[str]
     give way to the outputs.
     """
     ship_package(pages.sparkSession)
-    chosen = pages.columns if keep is None else keep
-    own = F.struct(*[pages[f"`{c}`"] for c in chosen]) if chosen else F.struct(F.lit(0).alias("_"))
+    own = row_struct(pages, keep)
     source = pages.select(own.alias("row"), F.col(html_col).cast("string").alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

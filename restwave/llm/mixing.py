@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from restwave.llm.common import with_outputs
+from restwave.llm.common import named, row_struct, with_outputs
 
 WEIGHTS, MAX_TIMES = (1, 2, 3), 3
 #: Blocks of a source: one for each so many words, but not more than BLOCKS.
@@ -75,11 +75,14 @@ def mix_plan(docs: DataFrame, text_col: str = "text", source_col: str = "source"
     blank texts have size 0; a source of size 0 has target 0. Equal rows count one by one, and so do rows
     without an id. An empty table gives an empty result. Reruns agree.
     """
-    chosen = docs.columns if keep is None else keep
-    own = F.struct(*[docs[f"`{c}`"] for c in chosen]) if chosen else F.struct(F.lit(0).alias("_"))
+    return with_outputs(_planned(docs, text_col, source_col, keep, shards, seed), "row", OUTPUTS)
+
+
+def _planned(docs: DataFrame, text_col: str, source_col: str, keep: list[str] | None, shards: int, seed: int) -> DataFrame:
+    """The plan with the kept columns as the struct `row`."""
     text = docs[text_col].cast("string")
-    rows = docs.select(own.alias("row"), docs[source_col].cast("string").alias("source"), word_count(text).alias("size"),
-                       F.xxhash64(F.lit(seed), *[docs[f"`{c}`"] for c in docs.columns]).alias("hash"))
+    rows = docs.select(row_struct(docs, keep).alias("row"), docs[source_col].cast("string").alias("source"), word_count(text).alias("size"),
+                       F.xxhash64(F.lit(seed), *[named(docs, c) for c in docs.columns]).alias("hash"))
     # by source only: one row each
     sums = sorted(rows.groupBy("source").agg(F.sum("size"), F.count(F.lit(1))).collect(),
                   key=lambda r: (r[0] is None, (r[0] or "").encode("utf-32-be")))
@@ -117,14 +120,12 @@ def mix_plan(docs: DataFrame, text_col: str = "text", source_col: str = "source"
     # in the last round a row is taken if its middle lies before the end of the room
     mine = F.filter(F.coalesce("copies", F.array()), lambda c: (c["copy"] < F.col("rounds")) | (F.col("ahead") + F.col("size") / 2 <= F.col("room")))
     draws = F.transform(mine, lambda c: F.struct(c["shard"].alias("shard"), F.xxhash64(F.lit(seed + 1), c["copy"], F.col("hash")).alias("place")))
-    result = cut.withColumn("draws", draws).select(
+    return cut.withColumn("draws", draws).select(
         "row", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"), "draws")
-    return with_outputs(result, "row", OUTPUTS)
 
 
 def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """The mixed rows with the columns of docs, one partition for each shard, shuffled within it; a row that is
     taken twice is there twice."""
-    marked = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("__row"), docs[text_col].alias("__text"), docs[source_col].alias("__source"))
-    taken = mix_plan(marked, "__text", "__source", ["__row"], shards, seed).select("__row", F.explode("draws").alias("__draw"))
-    return (taken.select("__row", "__draw.shard", "__draw.place").repartition(shards, "shard").sortWithinPartitions("shard", "place").select("__row.*"))
+    taken = _planned(docs, text_col, source_col, None, shards, seed).select("row", F.explode("draws").alias("draw"))
+    return taken.select("row", "draw.shard", "draw.place").repartition(shards, "shard").sortWithinPartitions("shard", "place").select("row.*")

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from restwave.llm.common import durable, mix, row_struct, ship_package
+from restwave.llm.common import durable, mix, named, row_struct, ship_package
 
 BITS, BLOCKS, DISTANCE, SHINGLE, SEED = 64, 6, 2, 3, 42
 #: Buckets up to this size compare all their fingerprints; beyond it each looks up its neighbours.
@@ -312,7 +312,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     their columns, and of wholly equal rows one stays. Null, empty and blank texts form one group.
     """
     marked = docs.select(row_struct(docs).alias("row"), docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"),
-                         F.xxhash64(*[docs[f"`{c}`"] for c in docs.columns]).alias("hash"))
+                         F.xxhash64(*[named(docs, c) for c in docs.columns]).alias("hash"))
     rank = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("hash").alias("hash"))
     stays = (similar_documents(marked, shingle, similarity).groupBy("root").agg(F.min(rank).alias("r"))
              .select(F.col("r.id").alias("stay_id"), F.col("r.hash").alias("stay_hash")))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from restwave.llm.common import with_outputs
+from restwave.llm.common import row_struct, with_outputs
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 OUTPUTS = ["host", "path", "rule", "verdict"]
@@ -68,8 +68,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", keep:
     spark = pages.sparkSession
     slices = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
     url = F.col(url_col).cast("string")
-    chosen = pages.columns if keep is None else keep
-    own = F.struct(*[pages[f"`{c}`"] for c in chosen]) if chosen else F.struct(F.lit(0).alias("_"))
+    own = row_struct(pages, keep)
     rows = pages.select(own.alias("row"), url_host(url).alias("host"), url_path(url).alias("path"),
                         F.pmod(F.monotonically_increasing_id(), F.lit(slices)).alias("slice"))
     marks = boundaries(rules).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)).cast("array<long>")))

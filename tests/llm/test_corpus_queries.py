@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from restwave.llm import queries, rules, simhash, substrings
-from test_operators import linked_brute, remove_brute, rules_brute, simhash_brute
+from test_operators import linked_brute, remove_brute, rules_brute, simhash_brute, similar_brute
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="test data not present")
@@ -94,7 +94,7 @@ def test_pipeline_stage_by_stage(spark, documents, tmp_path):
     kept = {r[0] for r in rules_brute(documents, rules.LINE_DOCS) if r[-1]}
     assert {r.doc_id for r in at["quality_rules"]} == kept
     before = sorted(map(tuple, at["quality_rules"]))
-    tops = linked_brute([simhash_brute(d[1], 5) for d in before])
+    tops = similar_brute([d[1] for d in before])
     assert {r.doc_id for r in at["simhash_near_dedup"]} == {before[t][0] for t in set(tops)}
     want = {i: (t, n) for i, _, n, t in remove_brute([tuple(r) for r in at["simhash_near_dedup"]])}
     for r in at["substring_dedup"]:
