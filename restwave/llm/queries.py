@@ -35,7 +35,7 @@ def op4_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = rules.quality_rules(table(spark, sf_dir, "documents"))
+    judged = rules.quality_rules(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
 
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from restwave.llm.common import SPACE, with_outputs
+from restwave.llm.common import SPACE, row_struct, with_outputs
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 10, 5, 20
@@ -104,38 +104,40 @@ def text_statistics(text: Column) -> Column:
     return let(F.coalesce(text, F.lit("")), of)
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", keep: list[str] | None = None,
                   line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
-    """docs with the statistics, base_failed, removed_words, kept and kept_text (text without removed lines).
+    """The columns `keep` of docs (all, if None) with the statistics, base_failed, removed_words, kept and
+    kept_text (the text without removed lines).
 
     base_failed: fewer than 10 words, or over 20 % of them in repeated five-word windows. Null and blank texts
     have no words and fail. A null host is a host of its own; a null id comes after every id, so with no id at
     all a frequent line goes from every row. Rows equal in id and text share their fate. Empty table: empty
     result. Input columns named like an output give way to it.
     """
-    text = F.col(text_col).cast("string")
-    marked = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), text.alias("text"), docs[id_col].cast("long").alias("id"),
+    text = docs[text_col].cast("string")
+    own = row_struct(docs, keep)
+    marked = docs.select(own.alias("row"), text.alias("text"), docs[id_col].cast("long").alias("id"),
                          docs[host_col].cast("string").alias("host"), F.xxhash64(text, F.lit(1)).alias("digest"))
-    lines = marked.select("host", "id", "digest", F.explode(split_lines(F.col("text"))).alias("line")).select(
-        "host", "id", "digest", F.xxhash64(normal_line(F.col("line"))).alias("hash"))
+    lines = marked.select("host", "id", "digest", F.posexplode(F.split("text", "\n")).alias("place", "line")).where(has_word(F.col("line"))).select(
+        "host", "id", "digest", "place", F.xxhash64(normal_line(F.col("line"))).alias("hash"), F.size(split_words(F.col("line"))).alias("words"))
     per_line = lines.groupBy("host", "hash").agg(F.count_distinct("digest").alias("n"), F.min("id").alias("first"))
     hosts = marked.groupBy("host").agg(F.count_distinct("digest").alias("all")).withColumnRenamed("host", "at_host")
     frequent = (per_line.where(F.col("n") > line_docs)
                 .join(hosts, F.col("host").eqNullSafe(F.col("at_host"))).where(F.col("n") > F.lit(line_share) * F.col("all"))
                 .select(F.col("host").alias("f_host"), F.col("hash").alias("f_hash"), "first"))
+    # places and words of a text's removed lines; a set, as equal rows have equal lines
     gone = (lines.join(frequent, F.col("host").eqNullSafe(F.col("f_host")) & (F.col("hash") == F.col("f_hash")))
             .where(~F.col("id").eqNullSafe(F.col("first")) | F.col("first").isNull())
             .groupBy(F.col("host").alias("g_host"), F.col("id").alias("g_id"), F.col("digest").alias("g_digest"))
-            .agg(F.collect_set("hash").alias("gone")))
+            .agg(F.collect_set(F.struct("place", "words")).alias("gone")))
     joined = marked.withColumn("s", text_statistics(F.col("text"))).join(
         gone, F.col("id").eqNullSafe(F.col("g_id")) & (F.col("digest") == F.col("g_digest")) & F.col("host").eqNullSafe(F.col("g_host")), "left")
-    kept_lines = F.filter(F.split("text", "\n"), lambda x: ~has_word(x) | ~F.array_contains(F.col("gone"), F.xxhash64(normal_line(x))))
-    whole = F.col("gone").isNull()
-    words, failed = F.col("s.n_words"), F.col("base_failed")
+    kept_lines = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("gone.place"), i))
+    removed = F.aggregate("gone", F.lit(0).cast("long"), lambda total, x: total + x["words"])
+    words, left = F.col("s.n_words"), F.col("s.n_words") - F.col("removed_words")
     return with_outputs(
-        joined.withColumn("kept_text", F.when(whole, F.col("text")).otherwise(F.array_join(kept_lines, "\n")))
-        .withColumn("removed_words", F.when(whole, F.lit(0).cast("long")).otherwise(words - F.size(split_words(F.col("kept_text")))))
+        joined.withColumn("kept_text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept_lines, "\n")))
+        .withColumn("removed_words", F.coalesce(removed, F.lit(0).cast("long")))
         .withColumn("base_failed", (words < MIN_WORDS) | (100 * F.col("s.n_repeat_words") > MAX_REPEAT_PERCENT * words))
-        .withColumn("left", words - F.col("removed_words"))
-        .withColumn("kept", ~failed & (F.col("left") >= MIN_WORDS) & (F.col("left") >= min_left * words))
+        .withColumn("kept", ~F.col("base_failed") & (left >= MIN_WORDS) & (left >= min_left * words))
         .select("row", "s.*", "base_failed", "removed_words", "kept", "kept_text"), "row", OUTPUTS)
