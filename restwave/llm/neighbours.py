@@ -22,7 +22,7 @@ from restwave.llm.common import ship_package
 
 QUERY_BLOCK, CANDIDATE_BLOCK = 4_096, 8_192
 #: Standard deviations of the estimate's error that count as possible.
-EPSILON = 4.0
+EPSILON = 3.0
 SEED = 20240131
 
 
@@ -109,6 +109,11 @@ def search(queries: DataFrame, index: DataFrame, id_col: str = "vec_id", vector_
 
 
 def _block_best(queries: pa.Table, block: pa.Table, k: int, epsilon: float) -> pa.Table:
+    """The k nearest of one block for each of its queries.
+
+    The exact scores of the few best estimates give the score that others must be able to reach, by their
+    estimate and its error bound, to be reranked.
+    """
     found: tuple[list, list, list] = ([], [], [])
     if queries.num_rows and block.num_rows:
         dim = queries["dim"][0].as_py()
@@ -118,26 +123,27 @@ def _block_best(queries: pa.Table, block: pa.Table, k: int, epsilon: float) -> p
         length, agreement = block["length"].to_numpy(), block["agreement"].to_numpy()
         codes = np.frombuffer(b"".join(block["code"].to_pylist()), np.uint8).reshape(len(x), -1)
         signs = np.unpackbits(codes, axis=1, count=dim).astype(np.float32) * 2 - 1
-        scale = length / (np.sqrt(dim) * agreement)
-        slack = length * np.sqrt(np.maximum(0, 1 - agreement**2)) / agreement * epsilon / np.sqrt(max(1, dim - 1))
-        ids = block["ids"].to_pylist()
-        own_ids = queries["query_id"].to_pylist()
-        size = np.linalg.norm(turned, axis=1)
-        base = q @ centre
+        scale = (length / (np.sqrt(dim) * agreement)).astype(np.float32)
+        slack = (length * np.sqrt(np.maximum(0, 1 - agreement**2)) / agreement * epsilon / np.sqrt(max(1, dim - 1))).astype(np.float32)
+        ids, own_ids = block["ids"].to_pylist(), queries["query_id"].to_pylist()
+        size, base = np.linalg.norm(turned, axis=1).astype(np.float32), (q @ centre).astype(np.float32)
+        least, n = min(k + 1, len(x)), min(4 * (k + 1), len(x))  # k + 1, as one may be the query itself
+        # what sums of products may differ by in another order
+        blur = 1e-12 * dim * (1 + np.linalg.norm(x, axis=1).max()) * (1 + size.astype(np.float64))
         for lo in range(0, len(q), 256):
-            estimate = base[lo:lo + 256, None] + (turned[lo:lo + 256].astype(np.float32) @ signs.T) * scale
-            error = size[lo:lo + 256, None] * slack + 1e-5 * (1 + np.abs(estimate))
-            low = estimate - error
-            n = min(k + 1, len(x))  # one may be the query itself
-            kth = np.partition(low, len(x) - n, axis=1)[:, len(x) - n]
-            reach = estimate + error >= kth[:, None]
-            for r in range(len(low)):
-                at = np.flatnonzero(reach[r])
-                score = exact_products(q[lo + r], x[at])
-                own, top = own_ids[lo + r], np.argsort(-score, kind="stable")
-                cut = score[top[min(len(top), k + 1) - 1]]
-                rows = sorted((-float(score[t]), i) for t in top.tolist() if score[t] >= cut for i in ids[at[t]] if i != own)[:k]
-                found[0].extend([own] * len(rows))
-                found[1].extend(i for _, i in rows)
-                found[2].extend(-s for s, _ in rows)
+            some = slice(lo, lo + 256)
+            estimate = (turned[some].astype(np.float32) @ signs.T) * scale + base[some, None]
+            first = np.argpartition(estimate, len(x) - n, axis=1)[:, len(x) - n:]
+            score = np.einsum("qd,qnd->qn", q[some], x[first])
+            must = np.partition(score, n - least, axis=1)[:, n - least].astype(np.float32)[:, None]
+            near = estimate + size[some, None] * slack >= must - np.float32(1e-4) * (1 + np.abs(estimate) + np.abs(must))
+            for r in range(len(first)):
+                at = np.flatnonzero(near[r])
+                score = x[at] @ q[lo + r]
+                at = at[score >= np.partition(score, len(at) - least)[len(at) - least] - blur[lo + r]]
+                score, own = exact_products(q[lo + r], x[at]), own_ids[lo + r]
+                best = sorted((-s, i) for s, c in zip(score.tolist(), at.tolist()) for i in ids[c] if i != own)[:k]
+                found[0].extend([own] * len(best))
+                found[1].extend(i for _, i in best)
+                found[2].extend(-s for s, _ in best)
     return pa.table([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], ["query_id", "vec_id", "score"])
