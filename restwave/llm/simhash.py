@@ -190,6 +190,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 #: The long fingerprint: WORDS words of 64 bits to verify, and CLASSES blocks on each of two levels to meet in.
 WORDS, CLASSES, FEWEST, SMALL = 4, 12, 8, 64
+#: Texts, and shingles of all texts, in a part of a large group; a task compares two parts at a time.
+CELL, CELL_SHINGLES = 2048, 1 << 21
 _LANES = np.array([0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
@@ -250,10 +252,11 @@ def similar_documents(marked: DataFrame, shingle: int = 5, similarity: float = 0
     their distinct shingles are dealt to classes by hash, each class has a fingerprint of its own, and these
     are the blocks. Texts that differ in fewer shingles than there are classes agree in a whole block; a class
     holds about 2 to 8 shingles (two levels, by powers of two of the shingle count), so of texts of similarity
-    0.8 each block agrees with a chance of 0.4 and one of 12 to 24 with over 99 %. In a block each text meets
-    the first and the one before it in order. Met pairs within the Hamming distance of 256 bits that the
-    similarity allows are confirmed on the texts' whole shingle sets; small sets come along and need no
-    distance. Texts of equal shingles are one node throughout.
+    0.8 each block agrees with a chance of 0.4 and one of 12 to 24 with over 99 %. In a block each text first
+    meets the first and the one before it in order, which connects most; then any two texts of a block that
+    are not connected meet. Met pairs within the Hamming distance of 256 bits that the similarity allows are
+    confirmed on the texts' whole shingle sets; small sets need no distance or a wider one. Texts of equal
+    shingles are one node throughout.
     """
     ship_package(marked.sparkSession)
     words = [f"f{i}" for i in range(WORDS)]
@@ -286,6 +289,122 @@ def similar_documents(marked: DataFrame, shingle: int = 5, similarity: float = 0
     # whole sets of the texts in close pairs, one row of each text
     unsure = close.where("not sure").select("a", "b")
     needed = unsure.select(F.col("a").alias("digest")).unionByName(unsure.select(F.col("b").alias("digest"))).distinct()
+    sets = _whole_sets(needed, prints, marked, shingle)
+    both = unsure.join(sets.select(F.col("digest").alias("a"), F.col("shingles").alias("x")), "a").join(
+        sets.select(F.col("digest").alias("b"), F.col("shingles").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    confirmed = both.where(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common)).select("a", "b")
+    links = close.where("sure").select("a", "b").unionByName(confirmed)
+    rooted = durable(_with_root(nodes, "digest", components(links)))
+    late = _late_links(rooted, prints, marked, shingle, similarity)
+    roots = _with_root(rooted.select("digest", F.col("root").alias("early")), "early", components(late)).select("digest", "root")
+    return prints.join(roots, "digest").select("id", "hash", "root")
+
+
+def _with_root(frame: DataFrame, of: str, roots: DataFrame) -> DataFrame:
+    """frame and the root of its column `of`: that column itself where no link has it."""
+    return frame.join(roots, frame[of] == roots["node"], "left").drop("node").withColumn("root", F.coalesce("root", of))
+
+
+def _late_links(rooted: DataFrame, prints: DataFrame, marked: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Confirmed links (a, b) between roots, enough to connect all that share a block and are similar."""
+    words = [f"f{i}" for i in range(WORDS)]
+    keyed = rooted.select("digest", "root", *words, F.col("small").isNotNull().alias("small"), F.explode(F.array_distinct("keys")).alias("group"))
+    several = keyed.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select(
+        "group", F.ceil(F.col("n") / CELL).cast("int").alias("parts"))
+    limits = np.array([long_limit(similarity), _short_limit(similarity)])
+
+    def near(table: pa.Table) -> list[tuple[int, int]]:
+        roots, small = table["root"].to_numpy(), table["small"].to_numpy()
+        bits = np.stack([table[w].to_numpy() for w in words]).view(np.uint64)
+
+        def similar(i: int, others: np.ndarray) -> np.ndarray:
+            differ = np.bitwise_count(bits[:, others] ^ bits[:, i:i + 1]).sum(axis=0, dtype=np.int64)
+            return (roots[others] != roots[i]) & (differ <= limits[(small[others] & small[i]).astype(int)])
+
+        digests = table["digest"].to_numpy()
+        return [(int(digests[i]), int(digests[j])) for i, j in forest(np.arange(len(digests)), similar)]
+
+    # all pairs of different roots that are near lie in one cluster, so a shingle set is sent once, not for each block
+    clusters = durable(components(_in_cells(keyed.join(several, "group"), near)).select(F.col("node").alias("digest"), F.col("root").alias("group")))
+    sets = durable(_whole_sets(clusters, prints, marked, shingle).join(clusters, "digest").join(rooted.select("digest", "root"), "digest"))
+    sizes = sets.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("shingles")).alias("total")).select(
+        "group", F.greatest(F.ceil(F.col("n") / CELL), F.ceil(F.col("total") / CELL_SHINGLES)).cast("int").alias("parts"))
+
+    def exact(table: pa.Table) -> list[tuple[int, int]]:
+        roots, shingles = table["root"].to_numpy(), table["shingles"].combine_chunks()
+        size = shingles.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        _, code, times = np.unique(shingles.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        shared = times[code] > 1
+        code, owner = code[shared], np.repeat(np.arange(len(size)), size)[shared]
+        start = np.searchsorted(owner, np.arange(len(size) + 1))
+        mark = np.zeros(len(times), bool)
+
+        def similar(i: int, others: np.ndarray) -> np.ndarray:
+            own, rest = code[start[i]:start[i + 1]], slice(start[i + 1], None)
+            mark[own] = True
+            common = np.bincount(owner[rest][mark[code[rest]]], minlength=len(size))[others]
+            mark[own] = False
+            return common >= similarity * (size[i] + size[others] - common)
+
+        return [(int(roots[i]), int(roots[j])) for i, j in forest(np.unique(roots, return_inverse=True)[1], similar)]
+
+    return _in_cells(sets.join(sizes, "group"), exact)
+
+
+def _short_limit(similarity: float) -> int:
+    """The limit between two small sets, whose bits are even votes so often that they differ up to a quarter more; 5 deviations."""
+    p, bits = 1.25 * np.arccos(2 * similarity / (1 + similarity)) / np.pi, BITS * WORDS
+    return int(bits * p + 5 * np.sqrt(bits * p * (1 - p)))
+
+
+def forest(labels: np.ndarray, similar) -> list[tuple[int, int]]:
+    """Links (i, j) that connect all that similar(i, later places) finds; equal labels are connected from the start."""
+    labels, links = labels.copy(), []
+    for i in range(len(labels) - 1):
+        others = np.flatnonzero(labels[i + 1:] != labels[i]) + i + 1
+        if len(others):
+            others = others[similar(i, others)]
+        if len(others):
+            found, at = np.unique(labels[others], return_index=True)
+            links += [(i, j) for j in others[at].tolist()]
+            labels[np.isin(labels, found)] = labels[i]
+    return links
+
+
+def _in_cells(members: DataFrame, links_of) -> DataFrame:
+    """The links (a, b) that links_of gives for the rows of each group. A group of several `parts` is dealt into
+    cells of two parts, so that any two of its rows meet in a cell and no task needs the whole group."""
+    parts, part = F.col("parts"), F.pmod(F.xxhash64("digest", F.lit(CELL)), F.col("parts")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), parts - 1), lambda q: (q != part) | (parts == 1))
+    cells = F.transform(others, lambda q: F.least(q, part).cast("long") * parts + F.greatest(q, part))
+    dealt = members.withColumn("cell", F.explode(cells)).repartition("group", "cell").sortWithinPartitions("group", "cell")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces, now = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            group, cell = batch["group"].to_numpy(), batch["cell"].to_numpy()
+            bounds = [0, *(np.flatnonzero((group[1:] != group[:-1]) | (cell[1:] != cell[:-1])) + 1).tolist(), batch.num_rows]
+            found: list[tuple[int, int]] = []
+            for lo, hi in zip(bounds, bounds[1:]):
+                if now != (group[lo], cell[lo]):
+                    found += links_of(pa.Table.from_batches(pieces)) if pieces else []
+                    pieces, now = [], (group[lo], cell[lo])
+                pieces.append(batch.slice(lo, hi - lo))
+            yield packed(found)
+        if pieces:
+            yield packed(links_of(pa.Table.from_batches(pieces)))
+
+    def packed(found: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def _whole_sets(needed: DataFrame, prints: DataFrame, marked: DataFrame, shingle: int) -> DataFrame:
+    """digest and all shingle hashes of the texts whose digests are needed, one row of each text."""
     one = prints.join(needed, "digest", "left_semi").groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("r"))
     texts = (marked.select("id", "hash", "text").join(one.select("digest", F.col("r.id").alias("one_id"), F.col("r.hash").alias("one_hash")),
                                                       F.col("id").eqNullSafe(F.col("one_id")) & (F.col("hash") == F.col("one_hash"))).select("digest", "text"))
@@ -295,14 +414,7 @@ def similar_documents(marked: DataFrame, shingle: int = 5, similarity: float = 0
             sets = [_shingle_hashes(t, shingle).view(np.int64) for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["digest"], pa.array(sets, pa.list_(pa.int64()))], ["digest", "shingles"])
 
-    sets = texts.mapInArrow(whole_sets, "digest long, shingles array<long>").dropDuplicates(["digest"])
-    both = unsure.join(sets.select(F.col("digest").alias("a"), F.col("shingles").alias("x")), "a").join(
-        sets.select(F.col("digest").alias("b"), F.col("shingles").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    confirmed = both.where(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common)).select("a", "b")
-    links = close.where("sure").select("a", "b").unionByName(confirmed)
-    roots = components(links)
-    return prints.join(roots, prints["digest"] == roots["node"], "left").select("id", "hash", F.coalesce("root", "digest").alias("root"))
+    return texts.mapInArrow(whole_sets, "digest long, shingles array<long>").dropDuplicates(["digest"])
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:

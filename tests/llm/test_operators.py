@@ -257,6 +257,23 @@ def test_one_of_each_group_stays(spark, docs, rows, empty):
     assert simhash.keep_one(empty).count() == 0
 
 
+@pytest.mark.parametrize("cell", [simhash.CELL, 300])
+def test_copies_that_are_similar_to_one_base_only(spark, monkeypatch, cell):
+    monkeypatch.setattr(simhash, "CELL", cell)
+    r = random.Random(8)
+    base = [f"w{r.randrange(10**6)}" for _ in range(200)]
+    texts = []
+    for i in range(2_000):
+        copy = list(base)
+        for j, at in enumerate(r.sample(range(2, 24), 4)):
+            copy[8 * at] = f"c{i}x{j}"
+        texts.append(" ".join(copy))
+    texts.insert(1_200, " ".join(base))
+    apart = [" ".join(f"u{i}x{j}" for j in range(60)) for i in range(3)]
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts + apart)], SCHEMA).repartition(4)
+    assert sorted(x.doc_id for x in simhash.keep_one(frame).collect()) == [0, 2_001, 2_002, 2_003]
+
+
 # --- token files ---
 
 def test_sequence_files(spark, docs, rows, empty, tmp_path):
