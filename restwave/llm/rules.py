@@ -1,8 +1,8 @@
 """Quality rules made of DataFrame functions: text statistics, and lines that many documents of a host share.
 
 Statistics stay within a row. For the lines, each document's distinct normalised lines are hashed; a line's
-distinct documents on its host are counted (copies of a text are one document), and a line above the limit
-is removed from every document but the host's first that has it. A document that loses too much is rejected.
+distinct documents on its host are counted (copies of a text are one document), and a line above the limit,
+which does not rise with the host, is removed from every document but the host's first that has it. A document that loses too much is rejected.
 Hot lines and hosts are counted with map-side combining on (host, line, text); the removal join sends only
 hashes and has AQE split a hot line.
 """
@@ -16,8 +16,9 @@ from restwave.llm.common import SPACE, row_struct, with_outputs
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 10, 5, 20
-#: A line is removed if it is in more documents of its host than both of these.
-LINE_DOCS, LINE_SHARE = 4, 0.02
+#: A line is removed if it is in more documents of its host than LINE_DOCS; one of up to SHORT_WORDS words, which
+#: may recur by nature, also needs more than SHORT_DOCS or more than this share of the host's texts.
+LINE_DOCS, LINE_SHARE, SHORT_WORDS, SHORT_DOCS = 4, 0.02, 2, 20
 #: A document is rejected if removal leaves it fewer words than MIN_WORDS or less than this part of them.
 MIN_LEFT = 0.5
 OUTPUTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "kept", "kept_text"]
@@ -120,10 +121,11 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                          docs[host_col].cast("string").alias("host"), F.xxhash64(text, F.lit(1)).alias("digest"))
     lines = marked.select("host", "id", "digest", F.posexplode(F.split("text", "\n")).alias("place", "line")).where(has_word(F.col("line"))).select(
         "host", "id", "digest", "place", F.xxhash64(normal_line(F.col("line"))).alias("hash"), F.size(split_words(F.col("line"))).alias("words"))
-    per_line = lines.groupBy("host", "hash").agg(F.count_distinct("digest").alias("n"), F.min("id").alias("first"))
+    per_line = lines.groupBy("host", "hash").agg(F.count_distinct("digest").alias("n"), F.min("id").alias("first"), F.min("words").alias("words"))
     hosts = marked.groupBy("host").agg(F.count_distinct("digest").alias("all")).withColumnRenamed("host", "at_host")
     frequent = (per_line.where(F.col("n") > line_docs)
-                .join(hosts, F.col("host").eqNullSafe(F.col("at_host"))).where(F.col("n") > F.lit(line_share) * F.col("all"))
+                .join(hosts, F.col("host").eqNullSafe(F.col("at_host"))).where(
+                    (F.col("words") > SHORT_WORDS) | (F.col("n") > SHORT_DOCS) | (F.col("n") > F.lit(line_share) * F.col("all")))
                 .select(F.col("host").alias("f_host"), F.col("hash").alias("f_hash"), "first"))
     # places and words of a text's removed lines; a set, as equal rows have equal lines
     gone = (lines.join(frequent, F.col("host").eqNullSafe(F.col("f_host")) & (F.col("hash") == F.col("f_hash")))

@@ -341,6 +341,17 @@ def test_quality_rules(spark, docs, rows, empty):
     assert rules.quality_rules(empty).count() == 0
 
 
+def test_frequent_lines_of_a_large_host_go(spark):
+    # the host holds a third of all rows; 12 and 30 of 2,000 texts are under 2 % of them
+    notice, heading, often = "Terms of use apply to all pages.", "Further reading", "Read on"
+    shared = lambda i: [notice] * (i % 160 == 0) + [heading] * (i % 160 == 0) + [often] * (i % 60 == 0)
+    made = [(i, "\n".join([prose(i, 20), *(shared(i) if i < 2_000 else [])]), "en", "hot" if i < 2_000 else f"s{i % 40}", 1) for i in range(6_000)]
+    got = {r.doc_id: r for r in rules.quality_rules(spark.createDataFrame(made, SCHEMA), keep=["doc_id"]).collect()}
+    for i in range(2_000):
+        want = (7 * (i % 160 == 0) + 2 * (i % 60 == 0)) if i else 0
+        assert got[i].removed_words == want and (heading in got[i].kept_text) == (i % 160 == 0)
+
+
 def test_rules_are_native(docs):
     plan = rules.quality_rules(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan and "Cartesian" not in plan
