@@ -2,8 +2,9 @@
 
 Each page is cut into text nodes with their root-to-leaf tag paths. For every path text length, punctuation
 and nodes are summed; length and punctuation per node are smoothed over the page's node order, fused, and
-paths below the threshold are dropped. The element that holds most of the chosen paths' text is the article,
-and its blocks are the text. Subtrees that by tag, role or class are no content (menus, headers, footers,
+paths below the threshold are dropped. Blocks on the other paths are the text, wherever they are, with small
+gaps between them and all blocks of the articles that have such text (without any, of the element that holds
+nearly all of it). Subtrees that by tag, role or class are no content (menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, comments) never take part.
 
 Pages are independent rows: Spark deals them out, and a task holds one batch at a time.
@@ -45,6 +46,8 @@ _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "
            "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 _SCOPE = {"table", "td", "th", "caption", "button", "object", "html", "body"}
 THRESHOLD = 0.25
+#: Blocks between two blocks of text that are text too.
+GAP = 2
 KERNEL = np.exp(-0.5 * np.arange(-2, 3) ** 2)
 
 
@@ -137,7 +140,7 @@ def text_nodes(page: str) -> tuple[list[tuple[int, str, int, str]], list[int], l
 
 
 def main_text(page: str | None) -> str:
-    """Blocks of the article, in page order, joined by two line feeds; empty if there are none."""
+    """Blocks of text, in page order, joined by two line feeds; empty if there are none."""
     if not page:
         return ""
     nodes, parents, tags = text_nodes(page)
@@ -171,30 +174,37 @@ def main_text(page: str | None) -> str:
             while e >= 0:
                 weight[e] += len(text.strip())
                 e = parents[e]
-    root = _article(weight, total, parents, tags)
-    inside = {root}
+    inside = _containers(weight, total, parents, tags)
     for e in range(len(parents)):
         if parents[e] in inside:
             inside.add(e)
+    # blocks in order, and which of them are text: those in containers or on chosen paths, and small gaps between
     blocks: dict[int, list[str]] = defaultdict(list)
-    for e, _, block, text in kept:
-        if e in inside:
-            blocks[block].append(text)
-    joined = (" ".join("".join(parts).split()) for parts in blocks.values())
+    taken: dict[int, bool] = {}
+    for e, path, block, text in kept:
+        blocks[block].append(text)
+        if not text.isspace():
+            taken[block] = taken.get(block, False) or e in inside or path in chosen
+    last = None
+    for at, block in enumerate(order := list(taken)):
+        if taken[block]:
+            if last is not None and at - last <= GAP + 1:
+                taken.update(dict.fromkeys(order[last:at], True))
+            last = at
+    joined = (" ".join("".join(parts).split()) for block, parts in blocks.items() if taken.get(block))
     return "\n\n".join(x for x in joined if x)
 
 
-def _article(weight: dict[int, int], total: int, parents: list[int], tags: list[str]) -> int:
-    """The element whose blocks are the text: an <article> or <main> that holds most of the chosen text, else
-    the deepest container that holds nearly all of it."""
+def _containers(weight: dict[int, int], total: int, parents: list[int], tags: list[str]) -> set[int]:
+    """Elements whose blocks are text whether chosen or not: each <article> with chosen text, else each <main>,
+    else the deepest container that holds nearly all chosen text."""
     for name in ("article", "main"):
-        marked = [e for e, w in weight.items() if tags[e] == name and 2 * w >= total]
-        if marked:
-            return min(marked)
+        if marked := {e for e in weight if tags[e] == name}:
+            return marked
     root = max((e for e, w in weight.items() if 20 * w >= 19 * total), default=0)
     while root and tags[root] not in _CONTAINER:
         root = parents[root]
-    return root
+    return {root}
 
 
 def extract_main_text(pages: DataFrame, html_col: str = "html", keep: list[str] | None = None) -> DataFrame:

@@ -472,6 +472,17 @@ def test_main_text(page, text):
     assert html.main_text(page) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    # two articles, 60 % and 40 % of the text
+    (f"<nav>m</nav><article>{PARAGRAPH * 3}</article><article>{PARAGRAPH * 2}</article>", "\n\n".join([PARSED] * 5)),
+    (f"<article>{PARAGRAPH * 3}</article><div><h2>t</h2></div><article>{PARAGRAPH * 2}</article>", "\n\n".join([PARSED] * 3 + ["t"] + [PARSED] * 2)),
+    # an intro before the article, one of 30 paragraphs outside <div id=rest>
+    (f"<p>Ein Vorspann, der etwas sagt. Und mehr.</p><article>{PARAGRAPH * 3}</article>", "\n\n".join(["Ein Vorspann, der etwas sagt. Und mehr."] + [PARSED] * 3)),
+    (f"<div><div class=lead>{PARAGRAPH}</div><div id=rest>{PARAGRAPH * 29}</div></div>", "\n\n".join([PARSED] * 30))])
+def test_all_chosen_text_stays(page, text):
+    assert html.main_text(page) == text
+
+
 def test_main_text_frame(spark):
     made = [(1, "u", f"<article>{PARAGRAPH}</article>"), (1, "u", f"<article>{PARAGRAPH}</article>"), (None, None, None), (2, "u", "<p>" + "lang " * 100_000 + "</p>")]
     frame = spark.createDataFrame(made, "page_id long, url string, html string").withColumns({"text": F.lit("old"), "row": F.lit(1)})
