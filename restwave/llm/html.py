@@ -5,7 +5,8 @@ and nodes are summed; length and punctuation per node are smoothed over the page
 paths below the threshold are dropped. Blocks on the other paths are the text, wherever they are, with small
 gaps between them and all blocks of the articles that have such text (without any, of the element that holds
 nearly all of it). Subtrees that by tag, role or class are no content (menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, comments) never take part.
+sidebars, notices, adverts, forms, scripts, comments) never take part; a class, id or role on what wraps the
+page's text ("has-sidebar") is no such sign.
 
 Pages are independent rows: Spark deals them out, and a task holds one batch at a time.
 """
@@ -38,6 +39,8 @@ _HINTS = {"nav", "navbar", "navigation", "menu", "menubar", "breadcrumb", "bread
           "adsense", "sponsor", "sponsored", "promo", "promotion", "cookie", "cookies", "consent", "gdpr", "notice", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login",
           "comment", "comments", "disqus", "respond", "replies", "share", "sharing", "social", "related", "recommended", "widget", "toolbar", "pagination", "pager", "contentinfo",
           "complementary", "search", "alert", "alertdialog", "dialog", "form", "copyright", "skip", "toc"}
+_REPLIES = {"comment", "comments", "disqus", "respond", "replies"}
+HINT, REPLIES, SURE = 1, 2, 3
 _CONTAINER = {"div", "section", "article", "main", "body", "html", "td", "center", "blockquote", "details"}
 _TOP = {"html", "body", "main"}
 _PUNCT = re.compile(r"[.,;:!?…。，、；：！？¿¡]")
@@ -51,15 +54,17 @@ GAP = 2
 KERNEL = np.exp(-0.5 * np.arange(-2, 3) ** 2)
 
 
-def _is_noise(tag: str, attributes: str) -> bool:
+def _noise(tag: str, attributes: str) -> int:
+    """SURE, or what class, id and role hint: HINT, REPLIES (comments on the article) or 0."""
     if tag in _DROP:
-        return True
+        return SURE
     if not attributes or tag in _TOP or attributes.isspace():
-        return False
+        return 0
+    kind = 0
     for name, *values in _ATTR.findall(attributes):
         name, value = name.lower(), "".join(values).lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
+            return SURE
         if name in ("class", "id", "role"):
             for one in value.split():
                 words = set(_SPLIT.split(re.sub(r"(comment|side|nav|foot|head)(s|bar|er)?(list|section|area|box|wrap|wrapper)$", r"\1\2", one)))
@@ -67,14 +72,48 @@ def _is_noise(tag: str, attributes: str) -> bool:
                 if tag == "article":
                     hit &= {"comment", "comments", "reply", "ad", "ads", "advert", "sponsored", "promo", "related"}
                 if hit or ("header" in words or one == "banner" or "banner" in words) and not words & {"article", "post", "entry", "content", "story"}:
-                    return True
-    return False
+                    kind = max(kind, REPLIES if hit & _REPLIES else HINT)
+    return kind
+
+
+def _hinted_noise(nodes: list[tuple[int, str, int, str]], parents: list[int], tags: list[str], hints: dict[int, int]) -> set[int]:
+    """Elements that lie in a hinted one, but for hints on what wraps the page's text.
+
+    That is an element with most of the text in <article> and <main>, and more of it than there is text without
+    any hint (of comments: four times as much); in pages without such text, one with most of all text.
+    """
+    n = len(parents)
+    size, article, plain = [0] * n, [0] * n, 0
+    within, hinted = [False] * n, [False] * n  # in <article> or <main> with no hint below it; in a hinted element
+    for e in range(1, n):
+        within[e] = e not in hints and (tags[e] in ("article", "main") or within[parents[e]])
+        hinted[e] = e in hints or hinted[parents[e]]
+    for e, _, _, raw in nodes:
+        length = len(raw.strip())
+        size[e] += length
+        article[e] += length * within[e]
+        plain += length * (not hinted[e])
+    for e in range(n - 1, 0, -1):
+        size[parents[e]] += size[e]
+        article[parents[e]] += article[e]
+
+    def wraps(e: int) -> bool:
+        if article[0]:
+            return 2 * article[e] > article[0] and article[e] > plain * (4 if hints[e] == REPLIES else 1)
+        return hints[e] != REPLIES and 2 * size[e] > size[0]
+
+    out: set[int] = set()
+    for e in range(1, n):
+        if parents[e] in out or e in hints and not wraps(e):
+            out.add(e)
+    return out
 
 
 def text_nodes(page: str) -> tuple[list[tuple[int, str, int, str]], list[int], list[str]]:
     """(element, tag path, block, raw text) of every text node outside noise; parent and tag of each element."""
     nodes: list[tuple[int, str, int, str]] = []
     parents, tags, stack = [-1], [""], [(0, "", "", False)]  # stack: element, tag, path, noise
+    hints: dict[int, int] = {}
     block, at, n = 0, 0, len(page)
 
     def close(until: int) -> None:
@@ -128,14 +167,19 @@ def text_nodes(page: str) -> tuple[list[tuple[int, str, int, str]], list[int], l
             continue
         if tag == "body" and stack[-1][1] == "head":
             close(len(stack) - 1)
-        noise = stack[-1][3] or _is_noise(tag, match[3])
+        kind = _noise(tag, match[3])
         if tag in _RAW:
             done = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             at = done.end() if done else n
             continue
         parents.append(stack[-1][0])
         tags.append(tag)
-        stack.append((len(parents) - 1, tag, stack[-1][2] if tag in _INLINE_OUT else f"{stack[-1][2]}/{tag}", noise))
+        if kind in (HINT, REPLIES):
+            hints[len(parents) - 1] = kind
+        stack.append((len(parents) - 1, tag, stack[-1][2] if tag in _INLINE_OUT else f"{stack[-1][2]}/{tag}", stack[-1][3] or kind == SURE))
+    if hints:
+        out = _hinted_noise(nodes, parents, tags, hints)
+        nodes = [x for x in nodes if x[0] not in out]
     return nodes, parents, tags
 
 

@@ -483,6 +483,24 @@ def test_all_chosen_text_stays(page, text):
     assert html.main_text(page) == text
 
 
+@pytest.mark.parametrize("wrapper", ["<div class='content has-sidebar'>", "<div class=no-sidebar>", "<div class='with-ads x'>", "<div id=has-toc>",
+                                     "<section id=search-results-article>", "<div class=has-comments>"])
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_hints_on_a_wrapper_lose_nothing(wrapper, tag):
+    if "comments" in wrapper and tag == "div":
+        return  # without an <article> it can't be told from the comments
+    page = (f"<nav>m</nav>{wrapper}<{tag}>{PARAGRAPH * 3}</{tag}><div class=sidebar><p>Foo, bar, baz.</p></div><div class=comments><p>First! Great, great.</p></div>"
+            f"</{wrapper[1:].split()[0]}><div class=related><article><p>Noch, etwas.</p></article></div>")
+    if tag == "div":
+        page = page.replace("article>", "i>")
+    assert html.main_text(page) == "\n\n".join([PARSED] * 3)
+
+
+def test_longer_comments_stay_out():
+    page = f"<div id=content>{PARAGRAPH}</div><div class=comments>{PARAGRAPH * 4}</div><div class=sidebar>{PARAGRAPH * 2}</div>"
+    assert html.main_text(page) == PARSED
+
+
 def test_main_text_frame(spark):
     made = [(1, "u", f"<article>{PARAGRAPH}</article>"), (1, "u", f"<article>{PARAGRAPH}</article>"), (None, None, None), (2, "u", "<p>" + "lang " * 100_000 + "</p>")]
     frame = spark.createDataFrame(made, "page_id long, url string, html string").withColumns({"text": F.lit("old"), "row": F.lit(1)})
