@@ -20,10 +20,15 @@ NO_ID = 2**63 - 1
 
 
 def checkpoint_dir(spark) -> str:
-    """The shared folder the session names; a temporary one only where none is set (local tests)."""
+    """The shared folder the session names; a temporary one only where none is set and the session is local (tests)."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
@@ -63,9 +68,9 @@ def row_struct(df: DataFrame, keep: list[str] | None = None) -> Column:
 
 
 def with_outputs(df: DataFrame, row: str, outputs: list[str]) -> DataFrame:
-    """The columns of the struct `row` and, in place of those of the same name, the outputs."""
-    fields = df.schema[row].dataType.names
-    kept = [F.col(row).getField(f).alias(f) for f in fields if f not in outputs]
+    """The columns of the struct `row` and, in place of those of the same name (in any case), the outputs."""
+    fields, taken = df.schema[row].dataType.names, {o.lower() for o in outputs}
+    kept = [F.col(row).getField(f).alias(f) for f in fields if f.lower() not in taken]
     return df.select(*kept, *outputs)
 
 

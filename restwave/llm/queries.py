@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from restwave.llm import bpe, classifier, html, mixing, neighbours, rules, sequences, simhash, substrings, urls
+from restwave.llm import bpe, classifier, html, lexical, mixing, neighbours, rules, secrets, sequences, simhash, substrings, urls, whitening
 
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
@@ -62,6 +62,26 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"), filters, keep=["page_id"])
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["past"])), ",")
+    number = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("secrets", lambda s: s["kind"] != "random")
+    return found.select("doc_id", *map(number, secrets.KINDS), F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"),
+                        listed(F.col("secrets")).alias("spans"))
+
+
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whitened = whitening.whiten(table(spark, sf_dir, "embeddings"), keep=["vec_id"])
+    return whitened.select("vec_id", "n", "deviation", "explained", "identity_error", F.posexplode("whitened").alias("place", "value")).select(
+        "vec_id", (F.col("place") + 1).cast("int").alias("component"), "n", "deviation", F.col("value").alias("whitened"),
+        F.get("explained", F.col("place")).alias("explained"), "identity_error")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
 
@@ -70,7 +90,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_quality, op2_substrings, op3_simhash, op4_sequences, op5_line_rules, op6_bpe, op7_mixing,
-                                    op8_neighbours, op9_main_text, op10_url_filter, pipeline)}
+                                    op8_neighbours, op9_main_text, op10_url_filter, op11_secrets, op12_lexical, op13_whitening, pipeline)}
 
 
 OP2 = r"""
@@ -128,7 +148,19 @@ best AS (SELECT page_id, host, path, h || s AS rule, v,
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM best WHERE n = 1
 """
 
+OP12 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+c AS (SELECT CAST(count(*) FILTER (len(t) > 0) AS BIGINT) AS docs, CAST(sum(len(t)) AS BIGINT) AS words FROM d),
+f AS (SELECT doc_id, len(t) AS n, term, count(*) AS tf FROM (SELECT doc_id, t, unnest(t) AS term FROM d) SEMI JOIN q USING (term) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, c GROUP BY term),
+g AS (SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // words))) AS gain FROM f JOIN w USING (term), c),
+s AS (SELECT item_id, doc_id, CAST(sum(gain) AS BIGINT) AS score FROM g JOIN q USING (term) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS n FROM s WHERE score > 0)
+SELECT item_id, CAST(n AS INTEGER) AS rank, doc_id, score FROM r WHERE n <= 50
+"""
+
 
 def statements() -> dict[str, str]:
     """No SQL where a query needs a hash, tokenizer, model or parser that SQL has not; tests hold those against brute force."""
-    return {"op2_substrings": OP2, "op5_line_rules": OP5, "op8_neighbours": OP8, "op10_url_filter": OP10}
+    return {"op2_substrings": OP2, "op5_line_rules": OP5, "op8_neighbours": OP8, "op10_url_filter": OP10, "op12_lexical": OP12}
