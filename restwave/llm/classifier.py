@@ -61,32 +61,36 @@ def statistics(text: str | None) -> list[float]:
             share(float((sizes <= 3).sum()), n)]
 
 
-def with_statistics(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
-    """row (struct of `keep`) and x (array of statistics)."""
+def with_statistics(docs: DataFrame, id_col: str, text_col: str, keep: list[str] | None) -> DataFrame:
+    """row (struct of `keep`), id and x (array of statistics)."""
     ship_package(docs.sparkSession)
-    own = row_struct(docs, keep)
-    source = docs.select(own.alias("row"), F.col(text_col).cast("string").alias("text"))
+    source = docs.select(row_struct(docs, keep).alias("row"), named(docs, id_col).cast("long").alias("id"), named(docs, text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = [statistics(t) for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["row"], pa.array(x, pa.list_(pa.float64()))], ["row", "x"])
+            yield pa.RecordBatch.from_arrays([batch["row"], batch["id"], pa.array(x, pa.list_(pa.float64()))], ["row", "id", "x"])
 
-    return source.mapInArrow(run, T.StructType([T.StructField("row", source.schema["row"].dataType), T.StructField("x", T.ArrayType(T.DoubleType()))]))
+    return source.mapInArrow(run, T.StructType([source.schema["row"], source.schema["id"], T.StructField("x", T.ArrayType(T.DoubleType()))]))
 
 
 @dataclass
 class Model:
-    """Log prior odds of label 1 and, unless a class was too small to fit, mean and Cholesky factor of each."""
+    """Log prior odds of label 1 and, unless a class was too small to fit, mean and Cholesky factor of each.
+
+    The factors are inverted once, so a batch costs one product for each class.
+    """
 
     log_odds: float
     means: list[np.ndarray] | None = None
     factors: list[np.ndarray] | None = None
 
+    def __post_init__(self) -> None:
+        self.inverses = None if self.factors is None else [np.tril(np.linalg.inv(f)) for f in self.factors]
+
     def log_density(self, label: int, x: np.ndarray) -> np.ndarray:
-        factor = self.factors[label]
-        z = np.linalg.solve(factor, (x - self.means[label]).T)  # Mahalanobis distance is |z|^2
-        return -0.5 * (z**2).sum(axis=0) - np.log(np.diag(factor)).sum()
+        z = (x - self.means[label]) @ self.inverses[label].T  # Mahalanobis distance is |z|^2
+        return -0.5 * (z**2).sum(axis=1) - np.log(np.diag(self.factors[label])).sum()
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         difference = np.zeros(len(x)) if self.factors is None else self.log_density(1, x) - self.log_density(0, x)
@@ -139,18 +143,16 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     a score like any other; a null id is neither held out nor learnt from. Empty tables are fine: without labels
     of both classes every score is the prior. Input columns named like an output give way to it.
     """
-    chosen = docs.columns if keep is None else keep
-    features = durable(with_statistics(docs.select(*[named(docs, c) for c in dict.fromkeys(chosen)], F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")), "__text", [*chosen, "__id"]))
+    features = durable(with_statistics(docs, id_col, text_col, keep))
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)").groupBy("id").agg(F.min("label").alias("label"))
-    training = features.select(F.col("row.__id").alias("id"), "x").where(~held_out(F.col("id"))).join(known, "id").select("label", "x")
+    training = features.select("id", "x").where(~held_out(F.col("id"))).join(known, "id").select("label", "x")
     model = fit(training)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.array(batch["x"].flatten()).reshape(-1, len(STATISTICS))
-            yield pa.RecordBatch.from_arrays([batch["row"], pa.array(model.scores(x))], ["row", "score"])
+            yield pa.RecordBatch.from_arrays([batch["row"], batch["id"], pa.array(model.scores(x))], ["row", "id", "score"])
 
-    row_type = features.schema["row"].dataType
-    scored = features.mapInArrow(run, T.StructType([T.StructField("row", row_type), T.StructField("score", T.DoubleType())]))
-    judged = scored.select("row", held_out(F.col("row.__id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
-    return with_outputs(judged, "row", ["held_out", "score", "predicted"]).drop("__id")
+    scored = features.mapInArrow(run, T.StructType([features.schema["row"], features.schema["id"], T.StructField("score", T.DoubleType())]))
+    judged = scored.select("row", held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return with_outputs(judged, "row", ["held_out", "score", "predicted"])

@@ -115,9 +115,10 @@ lines AS (SELECT doc_id, source, t, line, lower(trim(regexp_replace(line, '[\x20
     WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY doc_id),
 hosts AS (SELECT source, count(DISTINCT t) AS all_docs FROM d GROUP BY source),
-often AS (SELECT source, norm, min(doc_id) AS first FROM lines JOIN hosts USING (source) GROUP BY source, norm
-    HAVING count(DISTINCT t) > 4 AND count(DISTINCT t) > 0.02 * any_value(all_docs)),
-gone AS (SELECT doc_id, sum(n) AS n FROM lines JOIN often USING (source, norm) WHERE doc_id <> first GROUP BY doc_id),
+often AS (SELECT lines.source, norm, min(doc_id) AS first FROM lines JOIN hosts ON lines.source IS NOT DISTINCT FROM hosts.source GROUP BY lines.source, norm
+    HAVING count(DISTINCT t) > 4 AND (min(n) > 2 OR count(DISTINCT t) > 20 OR count(DISTINCT t) > 0.02 * any_value(all_docs))),
+gone AS (SELECT doc_id, sum(n) AS n FROM lines JOIN often ON lines.source IS NOT DISTINCT FROM often.source AND lines.norm = often.norm
+    WHERE doc_id <> first GROUP BY doc_id),
 x AS (SELECT d.doc_id, len(w) AS n_words, len(array_to_string(w, '')) AS word_chars,
     len(t) - len(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
     coalesce(gone.n, 0) AS removed_words FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN gone USING (doc_id)),

@@ -248,15 +248,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     empty result. Input columns named like an output give way to it.
     """
     ship_package(docs.sparkSession)
-    source = docs.select(*[named(docs, c) for c in (docs.columns if keep is None else keep)], F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    size = source.agg(F.sum(F.octet_length("__text")), F.count(F.lit(1))).first()
+    source = docs.select(row_struct(docs, keep).alias("row"), named(docs, id_col).cast("long").alias("id"), named(docs, text_col).cast("string").alias("text"))
+    size = source.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
     total = max(int(size[0] or 0), 64 * int(size[1]))
     batches, buckets = total // BATCH_BYTES + 1, total // BUCKET_BYTES + 1
-    dealt = F.pmod(F.xxhash64("__id", F.when(F.col("__id").isNull(), F.xxhash64("__text"))), F.lit(batches))
-    carried = source.drop("__id", "__text")
-    dealt_docs = source.select(
-        row_struct(source, carried.columns).alias("row"),
-        F.coalesce(F.col("__id").cast("long"), F.lit(NO_ID)).alias("id"), F.col("__text").cast("string").alias("text"), dealt.alias("batch"))
+    dealt = F.pmod(F.xxhash64("id", "text"), F.lit(batches))
+    dealt_docs = source.select("row", F.coalesce("id", F.lit(NO_ID)).alias("id"), "text", dealt.alias("batch"))
     located_type = T.StructType([
         T.StructField("row", dealt_docs.schema["row"].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
         T.StructField("removed_spans", T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("past", T.LongType())]))),

@@ -33,7 +33,7 @@ def run(spark, name):
 def test_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     result = con.execute(queries.statements()[name])
     columns = [c[0] for c in result.description]
@@ -112,3 +112,15 @@ def test_pipeline_stage_by_stage(spark, documents, tmp_path):
 def test_searches_plan_has_no_cross_join(spark):
     plan = queries.op8_neighbours(spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan and F is not None
+
+
+def test_line_rules_sql_where_limits_bind(spark):
+    """At sf0.1 lines beyond 20 documents and beyond 4 of a small host both go."""
+    duckdb = pytest.importorskip("duckdb")
+    con, data = duckdb.connect(), "/root/testdata/sf0.1"
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
+    result = con.execute(queries.statements()["op5_line_rules"])
+    columns = [c[0] for c in result.description]
+    got = queries.op5_line_rules(spark, data).collect()
+    assert Counter(tuple(r[c] for c in columns) for r in got) == Counter(map(tuple, result.fetchall()))
+    assert sum(r.removed_words > 0 for r in got) > 1_000

@@ -239,3 +239,30 @@ def test_whitening_query(spark):
         assert r.n == n and r.deviation == deviation[place[r.vec_id]] and r.identity_error < 1e-4
         assert r.explained == pytest.approx(explained[r.component - 1], rel=1e-9)
     assert np.abs(own * np.sign((own * y).sum(axis=0)) - y).max() < 1e-7 and F is not None
+
+
+# --- names ---
+
+def test_names_in_any_case_give_way(spark, tmp_path):
+    """Input columns like internal names or, in another case, like outputs: results stay writable."""
+    from restwave.llm import bpe, classifier, html, mixing, rules, substrings, urls
+
+    rows = [(i, f"word{i % 3} " * 30, "a", "b") for i in range(6)]
+    odd = {"__id": F.lit("x"), "__text": F.lit(1), "ROW": F.lit(2), "Id": F.lit(3), "BATCH": F.lit(4)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").withColumns(odd)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, quality int")
+    page = docs.withColumns({"page_id": F.col("doc_id"), "url": F.lit("http://a.net/x"), "html": F.lit("<p>some text</p>")}).drop("text")
+    filters = spark.createDataFrame([("net", "/", "block")], "host string, path string, verdict string")
+    cases = {
+        "op1": (classifier.score_quality(docs.withColumn("Score", F.lit(1)), labels), "score"),
+        "op2": (substrings.remove_repeats(docs.withColumn("N_Words", F.lit(1))), "n_words"),
+        "op5": (rules.quality_rules(docs.withColumn("N_Words", F.lit(1))), "n_words"),
+        "op6": (bpe.encode_decode(docs.withColumn("N_Tokens", F.lit(1))), "n_tokens"),
+        "op7": (mixing.mix_plan(docs.withColumn("Taken", F.lit(1))), "taken"),
+        "op9": (html.extract_main_text(page.withColumn("N_Chars", F.lit(1))), "n_chars"),
+        "op10": (urls.filter_urls(page.withColumn("Host", F.lit(1)), filters), "host")}
+    for name, (result, output) in cases.items():
+        names = [c.lower() for c in result.columns]
+        assert len(set(names)) == len(names) and output in result.columns and {"__id", "__text", "ROW", "Id", "BATCH"} <= set(result.columns)
+        result.write.parquet(f"file:{tmp_path}/{name}")
+        assert spark.read.parquet(f"file:{tmp_path}/{name}").count() == 6
