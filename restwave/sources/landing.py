@@ -3,28 +3,36 @@
 Layout: `<root>/metric=<table>/batch=<ordinal>/<user>_<yyyy-mm-dd>.json`. The date is the
 requested day (intraday) or the first day of the requested range (daily). Replies to reload
 requests land under `metric=reload`. Rows are the columns of LANDED; a frame with the same
-columns from any other store serves just as well.
+columns from any other store serves just as well; `BodyStore` compacts files to one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import time
+import uuid
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from restwave.session import use_utc
+from restwave.sources.snapshots import ConcurrentWrite, Snapshots, new_commit
+from restwave.sources.tables import observed
 
 LANDED = "user_id string, metric string, query_date date, batch bigint, body string"
 REPLIES = "reload"
 _NAME = r"metric=([^/]+)/batch=(\d+)/([^/]+)_(\d{4}-\d{2}-\d{2})\.json$"
 
 
-def from_paths(files: DataFrame) -> DataFrame:
-    """File text plus path metadata to LANDED rows; other files are left out."""
+def from_paths(files: DataFrame, file: bool = False) -> DataFrame:
+    """File text plus path metadata to LANDED rows, on request with the file's name; other files are left out."""
     path = F.col("_metadata.file_path")
     part = lambda i: F.regexp_extract(path, _NAME, i)
     return files.where(path.rlike(_NAME)).select(
         F.try_url_decode(F.replace(part(3), F.lit("+"), F.lit("%2B"))).alias("user_id"),
         part(1).alias("metric"),
         F.to_date(part(4)).alias("query_date"), part(2).cast("bigint").alias("batch"),
-        F.col("value").alias("body"))
+        F.col("value").alias("body"), *([F.col("_metadata.file_name").alias("file")] if file else []))
 
 
 def read_landed(spark: SparkSession, root: str, metric: str, first_batch: int | None = None) -> DataFrame:
@@ -49,3 +57,105 @@ def reload_answers(landed: DataFrame) -> DataFrame:
     """(user_id, query_date, batch, status) of landed reload replies."""
     return landed.select("user_id", "query_date", "batch",
                          F.from_json("body", "struct<status: string>")["status"].alias("status"))
+
+
+class BodyStore:
+    """Landed responses compacted to bodies: a few large files for each arrival instead of one for each response.
+
+    An arrival is what one compaction or append found new; its number is the version that published it and the
+    partition of its rows. Which files were seen is read from the key columns of the bodies themselves. Older
+    batches that land late are a new arrival like any other, so a reader that remembers the last arrival it
+    has applied misses nothing and reads nothing twice.
+    """
+
+    SCHEMA = f"{LANDED}, file string, arrival bigint"
+
+    def __init__(self, spark: SparkSession, base: str):
+        self.spark, self.base = use_utc(spark), base.rstrip("/")
+
+    def snapshots(self, metric: str) -> Snapshots:
+        return Snapshots(self.spark, f"{self.base}/metric={metric}", "arrival")
+
+    def newest(self, metric: str) -> int:
+        """The number of the last arrival; 0 before the first."""
+        manifest = self.snapshots(metric).manifest()
+        return manifest.version if manifest else 0
+
+    def scan(self, metric: str, after: int = 0, until: int | None = None) -> DataFrame:
+        """Bodies with the columns of LANDED, file and arrival; arrivals outside the range are never opened."""
+        arrival = F.col("arrival")
+        bodies = self.snapshots(metric).read(T.StructType.fromDDL(self.SCHEMA), self.snapshots(metric).manifest()).where(arrival > after)
+        return bodies if until is None else bodies.where(arrival <= until)
+
+    def append(self, metric: str, landed: DataFrame, marks: dict[str, int] | None = None) -> int:
+        """Adds LANDED rows, and file where they have it, as one arrival; returns their number."""
+        snapshots, commit, seen = self.snapshots(metric), new_commit(), Observation()
+        snapshots.create()
+        base = snapshots.manifest()
+        file = F.col("file") if "file" in landed.columns else F.lit(None).cast("string").alias("file")
+        rows = landed.select(*[c for c in T.StructType.fromDDL(LANDED).names], file, F.lit(base.version + 1).cast("bigint").alias("arrival"))
+        # Rows of a day lie together, so that the footers' statistics exclude most files for a range of days.
+        snapshots.write(rows.observe(seen, F.count(F.lit(1)).alias("n")).hint("rebalance").sortWithinPartitions("query_date", "user_id"), commit)
+        count = observed(seen).get("n", 0)
+        if count or marks:
+            value = str(base.version + 1)
+            if snapshots.publish(base, commit, [value], "insert", count, marks=marks).version != base.version + 1:
+                raise ConcurrentWrite(f"another arrival of {metric} came first")
+        return count
+
+    def compact(self, root: str, metric: str, recheck: bool = False) -> int:
+        """Takes up the files that have landed under `root` since the last time; returns their number.
+
+        The metric's batch directories are listed, and only those changed since they were last read are opened (all,
+        with `recheck` or where the store keeps no times of directories). A file counts once by batch and name.
+        """
+        snapshots = self.snapshots(metric)
+        manifest = snapshots.manifest()
+        before = manifest.marks if manifest else {}
+        due = {b: (uri, at) for b, uri, at in batch_directories(self.spark, root, metric)
+               if recheck or not at or before.get(f"{SEEN}{b}") != at}
+        if not due:
+            return 0
+        files = from_paths(self.spark.read.text([uri for uri, _ in due.values()], wholetext=True), file=True)
+        seen = snapshots.read(T.StructType.fromDDL(self.SCHEMA), manifest).where(F.col("batch").isin(sorted(due))).select("batch", "file")
+        return self.append(metric, files.join(seen, ["batch", "file"], "left_anti"), {f"{SEEN}{b}": at for b, (_, at) in due.items()})
+
+
+SEEN = "seen batch "
+#: A directory changed less than this before it was listed may change again within its clock's granularity.
+SETTLED_MS = 2_000
+
+
+def batch_directories(spark: SparkSession, root: str, metric: str) -> list[tuple[int, str, int]]:
+    """(batch, uri, time of the last change, 0 if unknown or too recent) of a metric's batch directories."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/metric={metric}")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    now, out = int(time.time() * 1000), []
+    for status in fs.listStatus(path):
+        name = status.getPath().getName()
+        if status.isDirectory() and name.startswith("batch=") and name[6:].isdigit():
+            changed = status.getModificationTime()
+            out.append((int(name[6:]), status.getPath().toString(), changed if changed < now - SETTLED_MS else 0))
+    return sorted(out)
+
+
+def land(landed: DataFrame, root: str) -> int:
+    """Writes LANDED rows as landed files, one for each (metric, batch, user, date), each of which may have one row."""
+    spark = landed.sparkSession
+    draft = f"{root.rstrip('/')}/_landing-{uuid.uuid4().hex}"
+    keys = ["metric", "batch", "user_id", "query_date"]
+    landed.select(*keys, "body").repartition(*keys).write.partitionBy(*keys).text(draft)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs, found, n = path(draft).getFileSystem(spark._jsc.hadoopConfiguration()), None, 0
+    found = fs.listFiles(path(draft), True)
+    while found.hasNext():
+        source = found.next().getPath()
+        place = dict(p.split("=", 1) for p in source.toString().split("/") if "=" in p)
+        if source.getName().startswith("part-"):
+            folder = path(f"{root.rstrip('/')}/metric={place['metric']}/batch={place['batch']}")
+            fs.mkdirs(folder)
+            n += fs.rename(source, path(folder, f"{place['user_id']}_{place['query_date']}.json"))
+    fs.delete(path(draft), True)
+    return n

@@ -1,8 +1,10 @@
-"""Stored tables: partitioned parquet directories with explicit schemas.
+"""Stored tables: versioned, partitioned parquet directories with explicit schemas.
 
 A table is partitioned by a value derived from its key (month of the date or instant; hash
 bucket of the activity), so an upsert reads and rewrites only the partitions its batch touches
-and still finds every stored row of an incoming key. One writer per table at a time.
+and still finds every stored row of an incoming key. Writes are published as a whole (see
+`snapshots`): a frame that was read before a write keeps its rows, and of two writers that
+change the same partitions the later one raises `ConcurrentWrite`.
 """
 
 from __future__ import annotations
@@ -10,18 +12,29 @@ from __future__ import annotations
 from collections.abc import Mapping
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from restwave.functions import end_of_day
 from restwave.operators.clean import nulls_for_nan
 from restwave.operators.quality import require_keys
 from restwave.operators.upsert import CHANGED, VERSION, upsert
 from restwave.schemas import PART, TABLES, Table, table
 from restwave.session import use_utc
+from restwave.sources.snapshots import Manifest, Snapshots, new_commit
 
 REMOVE = "is_marker"
 
 
+def observed(metrics: Observation) -> dict[str, Any]:
+    """The metrics of a finished write; none if adaptive planning dropped an input that turned out empty."""
+    try:
+        return metrics.get
+    except Py4JJavaError:
+        return {}
+
+
 def read_jdbc(spark: SparkSession, url: str, name: str, column: str, lower: Any, upper: Any,
               partitions: int, **options: str) -> DataFrame:
     """A table of an external database, read in parallel ranges of `column`."""
@@ -39,13 +52,13 @@ class TableStore:
     def uri(self, name: str) -> str:
         return f"{self.base}/{table(name).name}"
 
-    def _staging(self, name: str, step: str) -> str:
-        return f"{self.base}/_staging/{table(name).name}/{step}"
-
     def _fs_path(self, uri: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(uri)
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
+    def snapshots(self, name: str) -> Snapshots:
+        return Snapshots(self.spark, self.uri(name), PART)
+
     def exists(self, name: str) -> bool:
         fs, path = self._fs_path(self.uri(name))
         return fs.exists(path)
@@ -56,18 +69,36 @@ class TableStore:
             self.create(name)
 
     def create(self, name: str) -> None:
-        empty = self.spark.createDataFrame([], table(name).stored_schema)
-        empty.write.mode("ignore").partitionBy(PART).parquet(self.uri(name))
+        self.snapshots(name).create()
 
-    def _stored(self, name: str) -> DataFrame:
-        t = table(name)
-        return (self.spark.read.schema(t.stored_schema)
-                .option("basePath", self.uri(name)).parquet(self.uri(name)))
+    def _manifest(self, name: str, version: int | None = None) -> Manifest:
+        manifest = self.snapshots(name).manifest(version)
+        if manifest is None:
+            raise ValueError(f"{table(name).name} was not created")
+        return manifest
+
+    def version(self, name: str) -> int:
+        """The number of the newest version; every write makes one."""
+        return self._manifest(name).version
+
+    def marks(self, name: str) -> dict[str, int]:
+        """Positions that loads have published together with their rows."""
+        return self._manifest(name).marks
+
+    def history(self, name: str) -> list[Manifest]:
+        """The manifests of all versions that are kept."""
+        return [self._manifest(name, v) for v in self.snapshots(name).versions()]
+
+    def expire(self, name: str, keep: int = 2, grace_seconds: float = 86_400.0) -> int:
+        return self.snapshots(name).expire(keep, grace_seconds)
+
+    def _stored(self, name: str, manifest: Manifest | None = None, parts: list[str] | None = None) -> DataFrame:
+        return self.snapshots(name).read(table(name).stored_schema, manifest or self._manifest(name), parts)
 
-    def df(self, name: str) -> DataFrame:
-        """Lazy scan of a table. NaN was made null when the rows were written."""
+    def df(self, name: str, version: int | None = None) -> DataFrame:
+        """Lazy scan of a table, of the newest or a given version. NaN was made null when the rows were written."""
         shown = F.col("_hidden").isNull() | ~F.col("_hidden")
-        return self._stored(name).where(shown).select(*table(name).schema.names)
+        return self._stored(name, self._manifest(name, version)).where(shown).select(*table(name).schema.names)
 
     records = df
 
@@ -75,6 +106,14 @@ class TableStore:
         """Keys and versions of all stored rows, hidden ones included."""
         return self._stored(name).select(*table(name).keys, *VERSION, "_hidden")
 
+    def day_outcomes(self, name: str, months: list[str]) -> DataFrame:
+        """user_id, query_date, pull_status of the intraday days with an outcome in the given months.
+
+        Every such day has one row at its last microsecond, so this reads no data rows of a day to decide.
+        """
+        return (self._stored(name, parts=months).where(F.col("date_time_utc") == end_of_day("query_date"))
+                .select("user_id", "query_date", "pull_status"))
+
     def drop(self, name: str) -> bool:
         fs, path = self._fs_path(self.uri(name))
         return fs.delete(path, True)
@@ -89,16 +128,27 @@ class TableStore:
             full = full.withColumn("detailsPulled", F.coalesce("detailsPulled", F.lit(False)))
         surrogate = t.keys if t.unique else [c for c in full.columns if c != "id"]
         full = full.withColumn("id", F.coalesce("id", F.xxhash64(*surrogate)))
-        full = self._with_version(nulls_for_nan(full))
-        staged, count = self._stage(name, full.withColumn(PART, t.part()), "new")
-        require_keys(staged, t.keys, t.not_null, t.unique)
-        if t.unique:
-            parts = self._parts(staged)
-            clash = staged.join(self._stored(name).where(F.col(PART).isin(parts)).select(*t.keys),
-                                list(t.keys), "left_semi")
-            if not clash.isEmpty():
-                raise ValueError(f"key already stored in {t.name}")
-        staged.hint("rebalance", PART).write.mode("append").partitionBy(PART).parquet(self.uri(name))
+        full = self._with_version(nulls_for_nan(full)).withColumn(PART, t.part())
+        snapshots, base, commit = self.snapshots(name), self._manifest(name), new_commit()
+        # Written once, then checked where it lies; what breaks a constraint is never published.
+        seen = Observation()
+        counted = full.observe(seen, F.count(F.lit(1)).alias("n"), F.collect_set(PART).alias("parts"), F.count_if(F.col(PART).isNull()).alias("lost"))
+        snapshots.write(counted.hint("rebalance", PART), commit)
+        found = observed(seen)
+        parts, count = found.get("parts", []), found.get("n", 0)
+        try:
+            staged = snapshots.read_commit(t.stored_schema, commit, parts)
+            if found.get("lost"):
+                raise ValueError(f"null in required columns {list(t.not_null)}")
+            require_keys(staged, t.keys, t.not_null, t.unique)
+            if t.unique:
+                clash = staged.join(self._stored(name, base, parts).select(*t.keys), list(t.keys), "left_semi")
+                if not clash.isEmpty():
+                    raise ValueError(f"key already stored in {t.name}")
+            snapshots.publish(base, commit, parts, "insert" if t.unique else "append", count, replace=False)
+        except Exception:
+            snapshots.discard(commit, [*parts, "__HIVE_DEFAULT_PARTITION__"])
+            raise
         return count
 
     @staticmethod
@@ -122,60 +172,49 @@ class TableStore:
         return self.spark.createDataFrame([tuple(values.values())],
                                           type(schema)([schema[c] for c in values]))
 
-    def _stage(self, name: str, df: DataFrame, step: str) -> tuple[DataFrame, int]:
-        """Write a batch once to the shared store, as its plan would otherwise run per use."""
-        seen = Observation()
-        uri = self._staging(name, step)
-        df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(uri)
-        return self.spark.read.schema(df.schema).parquet(uri), seen.get["n"]
-
     @staticmethod
     def _parts(staged: DataFrame) -> list[str]:
         """The partitions of a batch: at most its months, or the fixed number of hash buckets."""
         return [r[0] for r in staged.select(PART).distinct().collect()]
 
-    def upsert(self, name: str, batch: DataFrame) -> int:
+    def upsert(self, name: str, batch: DataFrame, marks: Mapping[str, int] | None = None) -> int:
         """Insert or overwrite by key; returns the number of rows that this inserts or changes.
 
         Rows with the VERSION columns only overwrite what has no greater version. Rows without
         them always overwrite. A true `_hidden` column stores a row that readers don't see and
         that isn't counted; a true `is_marker` column removes a stored row instead of writing one.
-        The merged partitions are complete in staging before any of them replaces a stored one.
+        The merged partitions and `marks` become visible together, as one version.
         """
         t = table(name)
         if not t.unique:
             raise ValueError(f"{t.name} has no unique key")
+        snapshots, base, commit = self.snapshots(name), self._manifest(name), new_commit()
         marked, versioned = REMOVE in batch.columns, VERSION[0] in batch.columns
-        batch = self._with_version(nulls_for_nan(batch))
-        staged, count = self._stage(name, batch.withColumn(PART, t.part()), "batch")
-        if count == 0:
-            return 0
-        require_keys(staged.drop(PART), t.keys, t.keys)
-        parts = self._parts(staged)
-        stored = self._stored(name).where(F.col(PART).isin(parts))
-        if marked:
-            stored = stored.withColumn(REMOVE, F.lit(False))
-        merged = upsert(stored, staged, (*t.keys, PART), order=VERSION if versioned else (), changed=True)
-        if marked:
-            merged = merged.where(~F.col(REMOVE)).drop(REMOVE)
-        merge_uri = self._staging(name, "merged")
-        seen = Observation()
-        shown = F.col(CHANGED) & ~F.coalesce("_hidden", F.lit(False))
-        # Rebalancing splits a hot partition over several files and joins small ones.
-        (merged.observe(seen, F.count_if(shown).alias("n")).drop(CHANGED).hint("rebalance", PART)
-         .write.mode("overwrite").partitionBy(PART).parquet(merge_uri))
-        self._publish(name, merge_uri, parts)
-        return count if marked else seen.get["n"]
-
-    def _publish(self, name: str, merge_uri: str, parts: list[str]) -> None:
-        """Replace the touched partitions by the staged ones. Repeatable after a failure."""
-        t = table(name)
-        merged = (self.spark.read.schema(t.stored_schema).option("basePath", merge_uri)
-                  .parquet(merge_uri))
-        (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy(PART).parquet(self.uri(name)))
-        fs, _ = self._fs_path(merge_uri)
-        for part in parts:
-            staged = self._fs_path(f"{merge_uri}/{PART}={part}")[1]
-            if not fs.exists(staged):  # every row of the partition was removed
-                fs.delete(self._fs_path(f"{self.uri(name)}/{PART}={part}")[1], True)
+        batch = self._with_version(nulls_for_nan(batch)).withColumn(PART, t.part())
+        # The batch is kept once, as its plan would otherwise run for each use.
+        seen, staging = Observation(), f"{self.base}/_staging/{commit}"
+        batch.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(staging)
+        fs, path = self._fs_path(staging)
+        try:
+            staged, count = self.spark.read.schema(batch.schema).parquet(staging), observed(seen).get("n", 0)
+            if count == 0:
+                if marks:
+                    snapshots.publish(base, commit, [], "mark", marks=marks)
+                return 0
+            require_keys(staged.drop(PART), t.keys, t.keys)
+            parts = self._parts(staged)
+            stored = self._stored(name, base, parts)
+            if marked:
+                stored = stored.withColumn(REMOVE, F.lit(False))
+            merged = upsert(stored, staged, (*t.keys, PART), order=VERSION if versioned else (), changed=True)
+            if marked:
+                merged = merged.where(~F.col(REMOVE)).drop(REMOVE)
+            written = Observation()
+            shown = F.col(CHANGED) & ~F.coalesce("_hidden", F.lit(False))
+            # Rebalancing splits a hot partition over several files and joins small ones.
+            snapshots.write(merged.observe(written, F.count_if(shown).alias("n"), F.count(F.lit(1)).alias("rows")).drop(CHANGED).hint("rebalance", PART), commit)
+            done = observed(written)
+            snapshots.publish(base, commit, parts, "upsert", done.get("rows", 0), marks=marks)
+        finally:
+            fs.delete(path, True)
+        return count if marked else done.get("n", 0)
