@@ -110,24 +110,29 @@ def ahead(store: TableStore, due: DataFrame, name: str) -> DataFrame:
 
 
 def load_new(store: TableStore, bodies: BodyStore, name: str, run_date: dt.date, start: dt.date = FIRST_DATE,
-             answers: DataFrame | None = None, hook: Hook | None = None, restart: bool = False) -> int:
+             answers: DataFrame | None = None, hook: Hook | None = None, restart: bool = False, keep_lost: bool = True) -> int:
     """Load what has arrived since the last call; returns the number of inserted or changed rows.
 
     The last applied arrival is published in the same version of the table as its rows, so an arrival is applied
     once, whatever fails in between, and arrivals up to it are not opened again. Batches that arrive late are
     applied by their version. Of an intraday table only days without an outcome are loaded; of a daily one, with
-    `restart`, only ranges that reach the user's last stored date.
+    `restart`, only ranges that reach the user's last stored date. What can't be read goes to `store.lost`, once
+    as well, unless `keep_lost` is off.
     """
     t = table(name)
-    after, newest = store.marks(t.name).get(ARRIVAL, 0), bodies.newest(t.name)
-    if newest <= after:
-        return 0
-    due, marks = bodies.scan(t.name, after, newest), {ARRIVAL: newest}
-    if t.kind == "daily":
-        return load_daily(store, ahead(store, due, t.name) if restart else due, t.name, run_date, start, hook, marks=marks)
-    if t.kind == "intraday":
-        return load_intraday(store, unsettled(store, due, t.name), t.name, run_date, start, answers, hook, marks=marks)
-    raise ValueError(f"no loader for {name!r}")
+    if t.kind not in ("daily", "intraday"):
+        raise ValueError(f"no loader for {name!r}")
+    after, newest, changed = store.marks(t.name).get(ARRIVAL, 0), bodies.newest(t.name), 0
+    if newest > after:
+        due, marks = bodies.scan(t.name, after, newest), {ARRIVAL: newest}
+        if t.kind == "daily":
+            changed = load_daily(store, ahead(store, due, t.name) if restart else due, t.name, run_date, start, hook, marks=marks)
+        else:
+            changed = load_intraday(store, unsettled(store, due, t.name), t.name, run_date, start, answers, hook, marks=marks)
+    lost = f"{ARRIVAL} {t.name}"
+    if keep_lost and newest > store.lost_marks().get(lost, 0):
+        store.add_lost(t.name, quarantined(bodies.scan(t.name, store.lost_marks().get(lost, 0), newest), t.name), {lost: newest})
+    return changed
 
 
 def update_new(store: TableStore, bodies: BodyStore, run_date: dt.date, start: dt.date = FIRST_DATE,

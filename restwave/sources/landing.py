@@ -28,8 +28,10 @@ def from_paths(files: DataFrame, file: bool = False) -> DataFrame:
     """File text plus path metadata to LANDED rows, on request with the file's name; other files are left out."""
     path = F.col("_metadata.file_path")
     part = lambda i: F.regexp_extract(path, _NAME, i)
+    decoded = lambda c: F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+    name = decoded(part(3))  # paths are encoded; besides, `land` writes a user's reserved characters in that form
     return files.where(path.rlike(_NAME)).select(
-        F.try_url_decode(F.replace(part(3), F.lit("+"), F.lit("%2B"))).alias("user_id"),
+        F.coalesce(decoded(name), name).alias("user_id"),
         part(1).alias("metric"),
         F.to_date(part(4)).alias("query_date"), part(2).cast("bigint").alias("batch"),
         F.col("value").alias("body"), *([F.col("_metadata.file_name").alias("file")] if file else []))
@@ -93,7 +95,7 @@ class BodyStore:
         snapshots.create()
         base = snapshots.manifest()
         file = F.col("file") if "file" in landed.columns else F.lit(None).cast("string").alias("file")
-        rows = landed.select(*[c for c in T.StructType.fromDDL(LANDED).names], file, F.lit(base.version + 1).cast("bigint").alias("arrival"))
+        rows = landed.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(LANDED)], file, F.lit(base.version + 1).cast("bigint").alias("arrival"))
         # Rows of a day lie together, so that the footers' statistics exclude most files for a range of days.
         snapshots.write(rows.observe(seen, F.count(F.lit(1)).alias("n")).hint("rebalance").sortWithinPartitions("query_date", "user_id"), commit)
         count = observed(seen).get("n", 0)

@@ -15,6 +15,7 @@ from typing import Any
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from restwave.functions import end_of_day
 from restwave.operators.clean import nulls_for_nan
@@ -25,6 +26,7 @@ from restwave.session import use_utc
 from restwave.sources.snapshots import Manifest, Snapshots, new_commit
 
 REMOVE = "is_marker"
+LOST = "user_id string, query_date date, batch bigint, place int, reason string, metric string"
 
 
 def observed(metrics: Observation) -> dict[str, Any]:
@@ -151,6 +153,30 @@ class TableStore:
             raise
         return count
 
+    # --- what loads could not read ---
+
+    def _lost(self) -> Snapshots:
+        return Snapshots(self.spark, f"{self.base}/_lost", "metric")
+
+    def lost(self, name: str | None = None) -> DataFrame:
+        """Places of landed responses that loads and streams could not read, with reasons, of one or all tables."""
+        names = None if name is None else [table(name).name]
+        return self._lost().read(T.StructType.fromDDL(LOST), self._lost().manifest(), names)
+
+    def lost_marks(self) -> dict[str, int]:
+        manifest = self._lost().manifest()
+        return manifest.marks if manifest else {}
+
+    def add_lost(self, name: str, rows: DataFrame, marks: Mapping[str, int]) -> int:
+        """Adds rows of `decode.quarantined`, published together with the marks; returns their number."""
+        snapshots, commit, seen = self._lost(), new_commit(), Observation()
+        snapshots.create()
+        base = snapshots.manifest()
+        snapshots.write(rows.observe(seen, F.count(F.lit(1)).alias("n")).withColumn("metric", F.lit(table(name).name)), commit)
+        count = observed(seen).get("n", 0)
+        snapshots.publish(base, commit, [table(name).name], "append", count, replace=False, marks=marks)
+        return count
+
     @staticmethod
     def _with_version(rows: DataFrame) -> DataFrame:
         kinds = {"_asked": "date", "_batch": "bigint", "_hidden": "boolean"}

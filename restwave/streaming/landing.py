@@ -7,24 +7,46 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from restwave.plans.load import FIRST_DATE, update
+from restwave.operators.decode import quarantined
+from restwave.plans.load import FIRST_DATE, load_daily, load_intraday
 from restwave.schemas import table
 from restwave.sources.landing import stream_landed
 from restwave.sources.tables import TableStore
 
 
+def apply_batch(store: TableStore, batch: DataFrame, epoch: int, name: str, stream: str, run_date: dt.date,
+                start: dt.date = FIRST_DATE, answers: DataFrame | None = None) -> int:
+    """One micro-batch into both sinks: rows into the table, what can't be read into the quarantine.
+
+    Each sink publishes the number of the micro-batch together with its rows and leaves out one it has already,
+    so a batch that is repeated after a failure in either adds what is missing, once. Returns the number of
+    inserted or changed rows.
+    """
+    t, mark, changed = table(name), f"stream {stream}", 0
+    if store.marks(t.name).get(mark, -1) < epoch:
+        if t.kind == "daily":
+            changed = load_daily(store, batch, t.name, run_date, start, marks={mark: epoch})
+        elif t.kind == "intraday":
+            changed = load_intraday(store, batch, t.name, run_date, start, answers, marks={mark: epoch})
+        else:
+            raise ValueError(f"no loader for {name!r}")
+    if store.lost_marks().get(f"{mark} {t.name}", -1) < epoch:
+        store.add_lost(t.name, quarantined(batch, t.name), {f"{mark} {t.name}": epoch})
+    return changed
+
+
 def load_available(store: TableStore, root: str, name: str, checkpoint: str, run_date: dt.date,
                    start: dt.date = FIRST_DATE, answers: DataFrame | None = None,
                    files_per_trigger: int = 10_000) -> StreamingQuery:
     """Load everything that has landed since the last call, then stop.
 
-    Every micro-batch is the ordinary load, whose upsert repeats without effect, so a batch that
-    runs again after a failure leaves the same table, and so does any cut into micro-batches.
+    Every micro-batch goes through `apply_batch` under the name of its checkpoint. The upsert repeats without
+    effect besides, so any cut into micro-batches leaves the same table.
     """
     t = table(name)
 
-    def write(batch: DataFrame, _: int) -> None:
-        update(store, lambda _name: batch, t.name, run_date, start, answers)
+    def write(batch: DataFrame, epoch: int) -> None:
+        apply_batch(store, batch, epoch, t.name, checkpoint, run_date, start, answers)
 
     return (stream_landed(store.spark, root, t.name, files_per_trigger).writeStream.foreachBatch(write)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

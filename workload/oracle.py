@@ -161,6 +161,9 @@ st AS (SELECT user_id, query_date, last, top, CASE
 DAY_STATES = f"""{EVENT_DAYS}, ds AS (SELECT user_id, query_date, CASE WHEN purchase THEN 'fetched'
   WHEN error THEN 'denied' WHEN click THEN 'no_data' ELSE 'pending' END AS status FROM ed)"""
 END_OF_DAY = "CAST(query_date AS TIMESTAMP) + INTERVAL 1 DAY - INTERVAL 1 MICROSECOND"
+LAST_STEPS = """WITH last AS (SELECT user_id, CAST(ts AS DATE) AS date, arg_max(value, event_id) AS v FROM events GROUP BY ALL)
+SELECT CAST(user_id AS VARCHAR) AS user_id, date, round(v + 3.31237e-9, 6) AS step_goal, round(v + 1 + 3.31237e-9, 6) AS total_steps,
+  round(v + 2 + 3.31237e-9, 6) AS total_distance, DATE '2024-01-31' AS date_pulled{} FROM last"""
 CALENDAR = """cal AS (SELECT user_id, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS date
   FROM (SELECT DISTINCT user_id FROM events), (SELECT min(CAST(ts AS DATE)) AS a, max(CAST(ts AS DATE)) AS b FROM events))"""
 ORDER_COLUMNS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, CAST(o_orderdate AS DATE) AS date, o_orderpriority"
@@ -263,13 +266,26 @@ n AS (SELECT * FROM r WHERE rn = 1 AND ts >= TIMESTAMP '2024-01-15')
 SELECT coalesce(n.user_id, e.user_id) AS user_id, coalesce(n.ts, e.ts) AS date_time_utc,
   round(CASE WHEN n.ts IS NOT NULL THEN n.value * 2.0 ELSE e.value END + 3.31237e-9, 6) AS value, e.event_type AS event_type
 FROM e FULL JOIN n ON e.user_id = n.user_id AND e.ts = n.ts""",
-        "load_daily": """WITH last AS (SELECT user_id, CAST(ts AS DATE) AS date, arg_max(value, event_id) AS v FROM events GROUP BY ALL)
-SELECT CAST(user_id AS VARCHAR) AS user_id, date, round(v + 3.31237e-9, 6) AS step_goal, round(v + 1 + 3.31237e-9, 6) AS total_steps,
-  round(v + 2 + 3.31237e-9, 6) AS total_distance, DATE '2024-01-31' AS date_pulled FROM last""",
+        "load_daily": LAST_STEPS.format(""),
         "load_weight_calendar": _ingest_daily("health_stats").replace("SELECT user_id, date, round", "SELECT CAST(user_id AS VARCHAR) AS user_id, date, round"),
         "load_intraday": f"""WITH {LOAD_STATUS}, out AS (SELECT *, CASE WHEN pull_status IN ('fetched', 'denied') THEN pull_status ELSE 'no_data' END AS s FROM st)
 SELECT CAST(user_id AS VARCHAR) AS user_id, query_date, CASE WHEN s = 'fetched' THEN date_trunc('millisecond', last) ELSE {END_OF_DAY} END AS date_time_utc,
   CASE WHEN s = 'fetched' THEN round(top + 3.31237e-9, 6) END AS hr, s AS pull_status FROM out""",
+        "load_incremental": LAST_STEPS.format(""),
+        "stream_load": LAST_STEPS.format(", CAST(0 AS BIGINT) AS n_lost"),
+        "load_incremental_days": f"""WITH {LOAD_STATUS}
+SELECT CAST(user_id AS VARCHAR) AS user_id, query_date, CASE WHEN pull_status = 'no_data' THEN {END_OF_DAY} ELSE date_trunc('millisecond', last) END AS date_time_utc,
+  CASE pull_status WHEN 'no_data' THEN NULL WHEN 'fetched' THEN round(top + 3.31237e-9, 6) ELSE round(top + 1000.0 + 3.31237e-9, 6) END AS hr,
+  CASE WHEN pull_status = 'no_data' THEN 'no_data' ELSE 'fetched' END AS pull_status FROM st""",
+        "landed_files": """WITH e AS (SELECT user_id, CAST(ts AS DATE) AS date, least((day(ts) - 1) // 10, 2) AS third FROM events),
+f AS (SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(date_trunc('month', date) AS DATE) + CAST(third * 10 AS INTEGER) AS query_date, third, count(*) AS n FROM e GROUP BY ALL)
+SELECT user_id, 'steps' AS metric, query_date, CAST(third + 1 AS BIGINT) AS batch, CAST(CASE WHEN third < 2 THEN 1 ELSE 2 END AS BIGINT) AS arrival,
+  user_id || '_' || CAST(query_date AS VARCHAR) || '.json' AS file, CAST(n AS INTEGER) AS n_entries FROM f""",
+        "table_snapshots": """WITH o AS (SELECT CAST(o_custkey AS VARCHAR) AS user_id, CAST(o_orderkey AS VARCHAR) AS activityId, CAST(o_orderdate AS DATE) AS date,
+  o_orderkey % 2 = 0 AS twice, o_totalprice AS price FROM orders)
+SELECT 1 AS version, user_id, activityId, date, round(price + 3.31237e-9, 6) AS distance FROM o WHERE date < DATE '1999-01-01'
+UNION ALL SELECT 2, user_id, activityId, date, round(price + 3.31237e-9, 6) FROM o
+UNION ALL SELECT 3, user_id, activityId, date, round(CASE WHEN twice THEN price * 2.0 ELSE price END + 3.31237e-9, 6) FROM o""",
         "quarantined_rows": """SELECT user_id, CAST(ts AS DATE) AS query_date, event_id AS batch,
   CASE WHEN event_type <> 'error' THEN 1 END AS place, CASE WHEN event_type = 'error' THEN 'body' ELSE 'instant' END AS reason FROM events""",
         "table_append_update": """SELECT CAST(o_custkey AS VARCHAR) AS user_id, CAST(o_orderkey AS VARCHAR) AS activityId, CAST(o_orderdate AS DATE) AS date,

@@ -21,7 +21,9 @@ from restwave.schemas import BANDWIDTHS, DAILY_PAYLOADS, INTRADAY_PAYLOADS, SERI
 from restwave.plans import load as loads
 from restwave.session import scratch_uri, use_utc
 from restwave.sources.files import FrameStore
+from restwave.sources.landing import BodyStore, land, read_landed
 from restwave.sources.tables import TableStore
+from restwave.streaming.landing import apply_batch, load_available
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -309,15 +311,18 @@ def _refusals(spark, sf) -> DataFrame:
         F.when(F.col("value") > 100, "DENIED").otherwise("OK").alias("status"))
 
 
-def _descriptor_days(spark, sf) -> DataFrame:
+def _descriptor_days(spark, sf, again: bool = False) -> DataFrame:
+    """A response for each day; `again`: of a later batch, with data on every day and other values."""
     p = INTRADAY_PAYLOADS["heart_rate_detailed"]
+    days, batch = _event_days(spark, sf), 1
+    if again:
+        days, batch = days.withColumns({"view": F.lit(True), "purchase": F.lit(True), "click": F.lit(True), "top": F.col("top") + 1000.0}), 2
     described = F.array(F.struct(F.lit("timestamp").alias("key"), F.lit(0).alias("index")),
                         F.struct(F.lit("heartrate").alias("key"), F.lit(1).alias("index")))
     body = F.struct(F.when(F.col("view"), F.col("top")).alias(p.available),
                     F.when(F.col("purchase"), described).alias(p.descriptors),
                     F.when(F.col("purchase") & F.col("click"), F.array(F.array("ms", "top"))).alias(p.values))
-    return _event_days(spark, sf).select("user_id", "query_date", F.lit(1).cast("bigint").alias("batch"),
-                                         F.to_json(body).alias("body"))
+    return days.select("user_id", "query_date", F.lit(batch).cast("bigint").alias("batch"), F.to_json(body).alias("body"))
 
 
 def load_status(spark, sf):
@@ -464,6 +469,77 @@ def quarantined_rows(spark, sf):
     return decode.quarantined(landed, "steps_detailed")
 
 
+def _chunk_bodies(spark, sf) -> DataFrame:
+    """Steps responses of ten days of a month of a user, an entry for each event in order; batch 1 is the first third."""
+    p = DAILY_PAYLOADS["steps"]
+    entry = F.struct(F.date_format("date", "yyyy-MM-dd").alias(p.date_field),
+                     F.struct(*[(F.col("value") + i).alias(k) for i, k in enumerate(p.mapping)]).alias(p.values_field))
+    third = F.least(F.floor((F.dayofmonth("date") - 1) / 10), F.lit(2))
+    groups = readings(spark, sf).groupBy("user_id", F.date_add(F.trunc("date", "MM"), (third * 10).cast("int")).alias("query_date"),
+                                         (third + 1).alias("batch"))
+    bodies = groups.agg(F.array_sort(F.collect_list(F.struct("event_id", entry.alias("e")))).alias("all"))
+    return bodies.select(F.col("user_id").cast("string").alias("user_id"), F.lit("steps").alias("metric"), "query_date", "batch",
+                         F.to_json(F.struct(F.transform("all", lambda x: x["e"]).alias(p.path))).alias("body"))
+
+
+def load_incremental(spark, sf):
+    """Three arrivals of bodies, each loaded as it comes: the last third of the month, the first two, and again the
+    first with other values under an older batch, late, which displaces nothing."""
+    store, bodies = _store(spark, "steps"), BodyStore(spark, scratch_uri(spark, "bodies"))
+    landed, batch = _chunk_bodies(spark, sf), F.col("batch")
+    late = landed.where(batch == 1).withColumns({"batch": F.lit(0).cast("bigint"), "body": F.regexp_replace("body", r"([0-9])\.", "9$1.")})
+    for arrival in (landed.where(batch == 3), landed.where(batch < 3), late):
+        bodies.append("steps", arrival)
+        loads.load_new(store, bodies, "steps", RUN_DATE)
+    return rounded(store.df("steps").drop("id"))
+
+
+def load_incremental_days(spark, sf):
+    """Two arrivals of intraday days: of the second, only days without an outcome are loaded."""
+    store, bodies, name = _store(spark, "heart_rate_detailed"), BodyStore(spark, scratch_uri(spark, "bodies")), "heart_rate_detailed"
+    for again in (False, True):
+        bodies.append(name, _descriptor_days(spark, sf, again).withColumn("metric", F.lit(name)))
+        loads.load_new(store, bodies, name, RUN_DATE, answers=_refusals(spark, sf))
+    return rounded(store.df(name).select("user_id", "query_date", "date_time_utc", "hr", "pull_status"))
+
+
+def landed_files(spark, sf):
+    """Response files of two thirds of the month are compacted, then those of the last third beside the old ones."""
+    root, bodies = scratch_uri(spark, "landing"), BodyStore(spark, scratch_uri(spark, "bodies"))
+    for part in (F.col("batch") < 3, F.col("batch") == 3):
+        land(_chunk_bodies(spark, sf).where(part), root)
+        bodies.compact(root, "steps")
+    entries = F.json_array_length(F.get_json_object("body", f"$.{DAILY_PAYLOADS['steps'].path}"))
+    return bodies.scan("steps").select("user_id", "metric", "query_date", "batch", "arrival", "file", entries.alias("n_entries"))
+
+
+def stream_load(spark, sf):
+    """The same files as a stream of several triggers, whose last micro-batch is then applied once more."""
+    root, store = scratch_uri(spark, "landing"), _store(spark, "steps")
+    land(_chunk_bodies(spark, sf), root)
+    checkpoint = scratch_uri(spark, "stream")
+    query = load_available(store, root, "steps", checkpoint, RUN_DATE, files_per_trigger=1_000)
+    query.awaitTermination()
+    last = query.lastProgress.batchId
+    apply_batch(store, read_landed(spark, root, "steps").withColumn("body", F.lit('{"broken')), last, "steps", checkpoint, RUN_DATE)
+    return rounded(store.df("steps").drop("id").withColumn("n_lost", F.lit(store.lost("steps").count())))
+
+
+def table_snapshots(spark, sf):
+    """Orders stored in three writes, the last over half of the first: what a reader from before the last write has,
+    and the newest version."""
+    store = _store(spark, "activities")
+    key = {"user_id": F.col("o_custkey").cast("string"), "activityId": F.col("o_orderkey").cast("string")}
+    rows = load(spark, sf, "orders").withColumns(key).withColumn("date", F.to_date("o_orderdate"))
+    old = F.col("date") < F.lit(INCOMING_FROM).cast("date")
+    store.add_records("activities", rows.where(old).select(*key, "date", F.col("o_totalprice").alias("distance")))
+    store.upsert("activities", rows.where(~old).select(*key, "date", F.col("o_totalprice").alias("distance")))
+    held = store.df("activities")
+    store.upsert("activities", rows.where("o_orderkey % 2 = 0").select(*key, (F.col("o_totalprice") * 2.0).alias("distance")))
+    label = lambda df, version: df.select(F.lit(version).alias("version"), "user_id", "activityId", "date", "distance")
+    return rounded(label(store.df("activities", 1), 1).unionByName(label(held, 2)).unionByName(label(store.df("activities"), store.version("activities"))))
+
+
 def table_append_update(spark, sf):
     """Orders as activities: appended, then their prices and the newest orders upserted."""
     store = _store(spark, "activities")
@@ -600,7 +676,8 @@ def registry() -> dict[str, Query]:
         zero_to_null_units, sleep_clock_hours, workout_agg, workout_agg_by, json_fields, load_status,
         load_rows, load_status_flat, all_zero_days, status_lookup, status_tally, empty_dates,
         placeholders, watermark, missing_dates, last_write_wins, upsert_daily, upsert_intraday,
-        load_daily, load_weight_calendar, load_intraday, quarantined_rows, table_append_update, stored_row_means,
+        load_daily, load_weight_calendar, load_intraday, load_incremental, load_incremental_days, landed_files, stream_load,
+        quarantined_rows, table_append_update, table_snapshots, stored_row_means,
         topk_recent, activity_list, strength_sets, type_split, dq_unique, dq_not_null,
         unreadable_bodies, io_roundtrip_parquet, io_roundtrip_csv, io_union,
     )
