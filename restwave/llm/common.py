@@ -57,6 +57,36 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def forget(df: DataFrame) -> None:
+    """Deletes the files of a `durable` frame that nothing reads any more."""
+    plan = df._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() == "LogicalRDD":
+        file = plan.rdd().getCheckpointFile()
+        if file.isDefined():
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def tidy(spark) -> None:
+    """From now on the shuffle files of a finished action go at once: for jobs whose steps are all written or `durable`.
+
+    (A lost executor is no matter, as what is left of a step lies in the shared folder.)
+    """
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
+#: Rows of keys that are sent to all executors at most; with a few longs each, tens of MB.
+BROADCAST_ROWS = 250_000
+
+
+def if_small(keys: DataFrame) -> DataFrame:
+    """keys (durable, a few longs a row), marked for a broadcast if their number is within BROADCAST_ROWS.
+
+    So a join with few keys doesn't move texts; with more it sorts and merges as usual.
+    """
+    return F.broadcast(keys) if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else keys
+
+
 def named(df: DataFrame, name: str) -> Column:
     return df["`" + name.replace("`", "``") + "`"]
 

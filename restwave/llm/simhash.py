@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from restwave.llm.common import durable, mix, named, row_struct, ship_package
+from restwave.llm.common import durable, forget, if_small, mix, named, row_struct, ship_package
 
 BITS, BLOCKS, DISTANCE, SHINGLE, SEED = 64, 6, 2, 3, 42
 #: Buckets up to this size compare all their fingerprints; beyond it each looks up its neighbours.
@@ -143,7 +143,8 @@ def components(links: DataFrame) -> DataFrame:
     Large-star and small-star steps by turns: each keeps components whole and never raises the number of
     links by more than the nodes, so that no row count depends on a group's squared size. A star step needs
     the least neighbour of a node (aggregated on the map side) and sends it to the others. Each round is
-    written to the shared folder; it ends when nothing moves, after about log2 of the longest path rounds.
+    written to the shared folder, and the round before it deleted; it ends when nothing moves, after about log2
+    of the longest path rounds.
     """
     edges = durable(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = None
@@ -155,8 +156,9 @@ def components(links: DataFrame) -> DataFrame:
         # small star: a node and its lesser neighbours hang on the least of them
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_least, "u")
-        edges = durable(small.select(F.col("u"), F.col("m").alias("v"))
-                        .unionByName(small.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct())
+        last, edges = edges, durable(small.select(F.col("u"), F.col("m").alias("v"))
+                                     .unionByName(small.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct())
+        forget(last)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
@@ -245,18 +247,21 @@ def _long_fingerprint(text: str | None, shingle: int) -> tuple[int, list[int], l
     return digest, _pack(2 * counts > n).ravel().tolist(), keys, hashes.tolist() if n <= SMALL else None
 
 
-def similar_documents(marked: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """id, hash, root of every row of (id, hash, text): rows of one root are linked by word shingles.
+
+
+def similar_documents(marked: DataFrame, shingle: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """Which of the rows of (id, hash, text) are linked by word shingles: keys (id, hash, digest of the shingles) of
+    every row, and for every digest its least row and its root (digest, rank, root). Both are durable.
 
     SimHash of one short word can't tell a similarity of 0.8 by two bits, so documents have a long fingerprint:
     their distinct shingles are dealt to classes by hash, each class has a fingerprint of its own, and these
     are the blocks. Texts that differ in fewer shingles than there are classes agree in a whole block; a class
     holds about 2 to 8 shingles (two levels, by powers of two of the shingle count), so of texts of similarity
     0.8 each block agrees with a chance of 0.4 and one of 12 to 24 with over 99 %. In a block each text first
-    meets the first and the one before it in order, which connects most; then any two texts of a block that
-    are not connected meet. Met pairs within the Hamming distance of 256 bits that the similarity allows are
-    confirmed on the texts' whole shingle sets; small sets need no distance or a wider one. Texts of equal
-    shingles are one node throughout.
+    meets the least one, which connects most; then any two texts of a block that are not connected meet. Met
+    pairs within the Hamming distance of 256 bits that the similarity allows are confirmed on the texts' whole
+    shingle sets; small sets need no distance or a wider one. Texts of equal shingles are one node throughout:
+    rows are combined to nodes before any join, so copies of one text never gather in a task.
     """
     ship_package(marked.sparkSession)
     words = [f"f{i}" for i in range(WORDS)]
@@ -275,11 +280,11 @@ def similar_documents(marked: DataFrame, shingle: int = 5, similarity: float = 0
 
     prints = durable(marked.select("id", "hash", "text").mapInArrow(
         run, f"id long, hash long, digest long, {', '.join(w + ' long' for w in words)}, keys array<long>, small array<long>"))
-    nodes = prints.select("digest", *words, "keys", "small").dropDuplicates(["digest"])
-    met = Window.partitionBy("key").orderBy("digest")
-    pairs = (nodes.select("digest", F.explode("keys").alias("key"))
-             .select(F.col("digest").alias("b"), F.array_distinct(F.array(F.first("digest").over(met), F.lag("digest").over(met))).alias("others"))
-             .select("b", F.explode("others").alias("a")).where("a <> b").distinct())
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "hash")
+    nodes = durable(prints.groupBy("digest").agg(F.min(rank).alias("rank"), *[F.first(c).alias(c) for c in (*words, "keys", "small")]))
+    keyed = nodes.select("digest", F.explode(F.array_distinct("keys")).alias("key"))
+    least = keyed.groupBy("key").agg(F.min("digest").alias("a"), F.max("digest").alias("most")).where("a < most").select("key", "a")
+    pairs = keyed.join(least, "key").select("a", F.col("digest").alias("b")).where("a <> b").distinct()
     side = lambda x: nodes.select(F.col("digest").alias(x), F.struct(*words, "small").alias(f"{x}_"))
     bits = sum((F.bit_count(F.col(f"a_.{w}").bitwiseXOR(F.col(f"b_.{w}"))) for w in words[1:]), F.bit_count(F.col(f"a_.{words[0]}").bitwiseXOR(F.col(f"b_.{words[0]}"))))
     shared = F.size(F.array_intersect("a_.small", "b_.small"))
@@ -289,16 +294,21 @@ def similar_documents(marked: DataFrame, shingle: int = 5, similarity: float = 0
     # whole sets of the texts in close pairs, one row of each text
     unsure = close.where("not sure").select("a", "b")
     needed = unsure.select(F.col("a").alias("digest")).unionByName(unsure.select(F.col("b").alias("digest"))).distinct()
-    sets = _whole_sets(needed, prints, marked, shingle)
+    sets = durable(_whole_sets(needed, nodes, marked, shingle))
     both = unsure.join(sets.select(F.col("digest").alias("a"), F.col("shingles").alias("x")), "a").join(
         sets.select(F.col("digest").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     confirmed = both.where(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common)).select("a", "b")
     links = close.where("sure").select("a", "b").unionByName(confirmed)
     rooted = durable(_with_root(nodes, "digest", components(links)))
-    late = _late_links(rooted, prints, marked, shingle, similarity)
-    roots = _with_root(rooted.select("digest", F.col("root").alias("early")), "early", components(late)).select("digest", "root")
-    return prints.join(roots, "digest").select("id", "hash", "root")
+    forget(sets)
+    forget(nodes)
+    late = _late_links(rooted, marked, shingle, similarity)
+    roots = durable(_with_root(rooted.select("digest", "rank", F.col("root").alias("early")), "early", components(late)).select("digest", "rank", "root"))
+    forget(rooted)
+    keys = durable(prints.select("id", "hash", "digest"))
+    forget(prints)
+    return keys, roots
 
 
 def _with_root(frame: DataFrame, of: str, roots: DataFrame) -> DataFrame:
@@ -306,12 +316,17 @@ def _with_root(frame: DataFrame, of: str, roots: DataFrame) -> DataFrame:
     return frame.join(roots, frame[of] == roots["node"], "left").drop("node").withColumn("root", F.coalesce("root", of))
 
 
-def _late_links(rooted: DataFrame, prints: DataFrame, marked: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Confirmed links (a, b) between roots, enough to connect all that share a block and are similar."""
+def _late_links(rooted: DataFrame, marked: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Confirmed links (a, b) between roots, enough to connect all that share a block and are similar.
+
+    Most blocks have one root, and in others most texts are of one: those meet the rest, not one another.
+    """
     words = [f"f{i}" for i in range(WORDS)]
     keyed = rooted.select("digest", "root", *words, F.col("small").isNotNull().alias("small"), F.explode(F.array_distinct("keys")).alias("group"))
-    several = keyed.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select(
-        "group", F.ceil(F.col("n") / CELL).cast("int").alias("parts"))
+    parts = lambda n: F.ceil(n / F.lit(CELL)).cast("int")
+    several = (keyed.groupBy("group", "root").agg(F.count(F.lit(1)).alias("n"))
+               .groupBy("group").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("root", F.struct("n", "root")).alias("main"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+               .where("lo < hi").select("group", "main", parts(F.col("n") - F.col("most")).alias("parts"), parts(F.col("most")).alias("main_parts")))
     limits = np.array([long_limit(similarity), _short_limit(similarity)])
 
     def near(table: pa.Table) -> list[tuple[int, int]]:
@@ -327,9 +342,10 @@ def _late_links(rooted: DataFrame, prints: DataFrame, marked: DataFrame, shingle
 
     # all pairs of different roots that are near lie in one cluster, so a shingle set is sent once, not for each block
     clusters = durable(components(_in_cells(keyed.join(several, "group"), near)).select(F.col("node").alias("digest"), F.col("root").alias("group")))
-    sets = durable(_whole_sets(clusters, prints, marked, shingle).join(clusters, "digest").join(rooted.select("digest", "root"), "digest"))
+    sets = durable(_whole_sets(clusters, rooted, marked, shingle).join(clusters, "digest").join(rooted.select("digest", "root"), "digest"))
     sizes = sets.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("shingles")).alias("total")).select(
-        "group", F.greatest(F.ceil(F.col("n") / CELL), F.ceil(F.col("total") / CELL_SHINGLES)).cast("int").alias("parts"))
+        "group", F.greatest(F.ceil(F.col("n") / CELL), F.ceil(F.col("total") / CELL_SHINGLES)).cast("int").alias("parts")).withColumns(
+        {"main": F.lit(None).cast("long"), "main_parts": F.lit(0)})
 
     def exact(table: pa.Table) -> list[tuple[int, int]]:
         roots, shingles = table["root"].to_numpy(), table["shingles"].combine_chunks()
@@ -374,10 +390,17 @@ def forest(labels: np.ndarray, similar) -> list[tuple[int, int]]:
 
 def _in_cells(members: DataFrame, links_of) -> DataFrame:
     """The links (a, b) that links_of gives for the rows of each group. A group of several `parts` is dealt into
-    cells of two parts, so that any two of its rows meet in a cell and no task needs the whole group."""
-    parts, part = F.col("parts"), F.pmod(F.xxhash64("digest", F.lit(CELL)), F.col("parts")).cast("int")
-    others = F.filter(F.sequence(F.lit(0), parts - 1), lambda q: (q != part) | (parts == 1))
-    cells = F.transform(others, lambda q: F.least(q, part).cast("long") * parts + F.greatest(q, part))
+    cells of two parts, so that any two of its rows meet in a cell and no task needs the whole group. Rows of the
+    root `main`, which need not meet one another, have `main_parts` of their own, each of which meets every part
+    of the others."""
+    parts, mains = F.col("parts"), F.col("main_parts")
+    part = F.pmod(F.xxhash64("digest", F.lit(CELL)), parts).cast("int")
+    main_part = F.pmod(F.xxhash64("digest", F.lit(CELL)), mains).cast("int")
+    everyone = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    pair = lambda x, y: x.cast("long") * (parts + mains) + y
+    others = F.filter(everyone(parts), lambda q: (q != part) | (parts == 1))
+    cells = F.when(F.col("root").eqNullSafe(F.col("main")), F.transform(everyone(parts), lambda q: pair(q, parts + main_part))).otherwise(F.concat(
+        F.transform(others, lambda q: pair(F.least(q, part), F.greatest(q, part))), F.transform(everyone(mains), lambda q: pair(part, parts + q))))
     dealt = members.withColumn("cell", F.explode(cells)).repartition("group", "cell").sortWithinPartitions("group", "cell")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -403,11 +426,11 @@ def _in_cells(members: DataFrame, links_of) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def _whole_sets(needed: DataFrame, prints: DataFrame, marked: DataFrame, shingle: int) -> DataFrame:
+def _whole_sets(needed: DataFrame, nodes: DataFrame, marked: DataFrame, shingle: int) -> DataFrame:
     """digest and all shingle hashes of the texts whose digests are needed, one row of each text."""
-    one = prints.join(needed, "digest", "left_semi").groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("r"))
-    texts = (marked.select("id", "hash", "text").join(one.select("digest", F.col("r.id").alias("one_id"), F.col("r.hash").alias("one_hash")),
-                                                      F.col("id").eqNullSafe(F.col("one_id")) & (F.col("hash") == F.col("one_hash"))).select("digest", "text"))
+    one = durable(nodes.join(needed, "digest", "left_semi").select("digest", F.col("rank.id").alias("one_id"), F.col("rank.hash").alias("one_hash")))
+    texts = marked.select("id", "hash", "text").join(
+        if_small(one), F.col("id").eqNullSafe(F.col("one_id")) & (F.col("hash") == F.col("one_hash"))).select("digest", "text")
 
     def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -421,12 +444,19 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     """The rows of docs that stay when one row of each near-duplicate group does, with the columns of docs.
 
     The row of the least id stays (an id before none); rows that share it are told apart by a hash of all
-    their columns, and of wholly equal rows one stays. Null, empty and blank texts form one group.
+    their columns, and of wholly equal rows one stays. Null, empty and blank texts form one group. An empty table gives an
+    empty result. Only keys are joined to find the rows that go; where these are few, no text is moved at all.
     """
-    marked = docs.select(row_struct(docs).alias("row"), docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"),
+    marked = docs.select(row_struct(docs).alias("row"), named(docs, id_col).cast("long").alias("id"), named(docs, text_col).cast("string").alias("text"),
                          F.xxhash64(*[named(docs, c) for c in docs.columns]).alias("hash"))
-    rank = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("hash").alias("hash"))
-    stays = (similar_documents(marked, shingle, similarity).groupBy("root").agg(F.min(rank).alias("r"))
-             .select(F.col("r.id").alias("stay_id"), F.col("r.hash").alias("stay_hash")))
-    kept = marked.join(stays, F.col("id").eqNullSafe(F.col("stay_id")) & (F.col("hash") == F.col("stay_hash")), "left_semi")
-    return kept.dropDuplicates(["id", "hash"]).select("row.*")
+    keys, roots = similar_documents(marked, shingle, similarity)
+    stays = roots.groupBy("root").agg(F.min("rank").alias("r")).select(F.col("r.id").alias("stay_id"), F.col("r.hash").alias("stay_hash"))
+    # wholly equal rows have one key, of which one row must stay
+    times = keys.groupBy("id", "hash").agg(F.count(F.lit(1)).alias("times"))
+    judged = times.join(stays, F.col("id").eqNullSafe(F.col("stay_id")) & (F.col("hash") == F.col("stay_hash")), "left").select(
+        F.col("id").alias("key_id"), F.col("hash").alias("key_hash"), F.col("stay_hash").isNotNull().alias("stays"), "times")
+    apart = durable(judged.where("not stays or times > 1"))
+    found = marked.join(if_small(apart), F.col("id").eqNullSafe(F.col("key_id")) & (F.col("hash") == F.col("key_hash")), "left")
+    once = found.where("stays is null").select("row", "id", "hash")
+    repeated = found.where("stays").select("row", "id", "hash").dropDuplicates(["id", "hash"])
+    return once.unionByName(repeated).select("row.*")
