@@ -8,30 +8,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from restwave.llm import bpe, mixing, rules, simhash, substrings
-from restwave.llm.common import checkpoint_dir
+from restwave.llm.common import checkpoint_dir, tidy
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; frequent lines go from the others."""
+    tidy(spark)
     judged = rules.quality_rules(docs).where("kept")
     return _documents(judged.withColumn("text", F.col("kept_text")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays."""
+    tidy(spark)
     return simhash.keep_one(docs, shingle=5)
 
 
 def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document has go; a document without any keeps its text as it is."""
+    tidy(spark)
     cut = substrings.remove_repeats(docs)
     return _documents(cut.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights; a document that is taken twice is there twice."""
+    tidy(spark)
     return mixing.mix(docs)
 
 

@@ -182,7 +182,7 @@ def test_settled_days_are_left_out_by_key(spark, store, tmp_path):
     due = bodies.scan(name, store.marks(name)[load.ARRIVAL])
     kept = load.unsettled(store, due, name)
     assert sorted((r.user_id, r.query_date.day) for r in kept.collect()) == [("a", 3), ("a", 4), ("b", 1), ("b", 2), ("b", 3), ("b", 4)]
-    lines = kept._jdf.queryExecution().executedPlan().toString().split("\n")
+    lines = load.unsettled(store, due, name)._jdf.queryExecution().executedPlan().toString().split("\n")
     anti = next(i for i, line in enumerate(lines) if "LeftAnti" in line)
     scans = [line.split("FileScan parquet ")[1].split("]")[0] for line in lines[anti:] if "FileScan parquet" in line]
     assert len(scans) == 2 and not any("body#" in s for s in scans)  # only keys meet the settled days
