@@ -10,8 +10,8 @@ with a smaller id. Three passes over documents dealt into batches of bounded byt
    document that has them; a bucket confirms those that an earlier document has as well.
 3. Phrases. Each batch cuts its confirmed passages into phrases of `PHRASE` words such that every confirmed
    window holds a whole one, compiles them into sharded Aho-Corasick automata over words, and streams all its
-   documents through them. At each occurrence of a phrase the windows around it are compared word by word
-   with the confirmed window of their hash, which locates every occurrence of every window.
+   documents through them. Each occurrence of a phrase proposes the windows around it; a proposed window whose
+   hash is a confirmed one's is compared with it word by word. A place that no automaton proposes is never looked at.
 
 A batch sends a key once, however many of its documents hold it, and an answer is one bit for each key, so
 a passage in a third of all documents costs each batch one entry. Nothing is capped or sampled.
@@ -77,17 +77,20 @@ class _Batch:
         place = np.searchsorted(recurring, self.anchors)
         place[place == len(recurring)] = 0
         at = self.at[recurring[place] == self.anchors] if len(recurring) else self.at[:0]
-        h1 = WordHash(0).runs_at(self.word_keys, at, self.width)
-        second = WordHash(1)
-        h2 = second.runs_at(second.words(self.bytes, self.starts, self.ends), at, self.width) if len(at) else h1
+        h1, h2 = self.hashes_at(at)
         ids = self.ids[self.row[at]]
         order = np.lexsort((ids, h2, h1))
         at, h1, h2, ids = at[order], h1[order], h2[order], ids[order]
         new = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]) if len(at) else np.zeros(0, bool)
         first = np.flatnonzero(new)
         more = np.maximum.reduceat(ids, first) > ids[first] if len(first) else np.zeros(0, bool)
-        return {"h1": h1[first], "h2": h2[first], "least": ids[first], "at": at[first], "more": more,
-                "all_at": at, "of": np.cumsum(new) - 1}
+        return {"h1": h1[first], "h2": h2[first], "least": ids[first], "at": at[first], "more": more}
+
+    def hashes_at(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The 128-bit hashes of the windows that begin at the given words."""
+        second = WordHash(1)
+        return (WordHash(0).runs_at(self.word_keys, at, self.width),
+                second.runs_at(second.words(self.bytes, self.starts, self.ends), at, self.width) if len(at) else np.zeros(0, np.uint64))
 
     def word_codes(self) -> np.ndarray:
         """A number for each word; equal exactly if the words' bytes are."""
@@ -166,11 +169,21 @@ def _covered(batch: _Batch, found: dict[str, np.ndarray], earlier: np.ndarray) -
     confirmed = earlier | found["more"]
     if confirmed.any():
         width, codes = batch.width, batch.word_codes()
-        near = _near_phrases(batch, codes, found["at"][confirmed])
-        # the window of a place's hash: equal word by word, or no occurrence
-        at, of = found["all_at"], found["of"]
-        mine = near[at] & confirmed[of]
-        at, of = at[mine], of[mine]
+        near = np.flatnonzero(_near_phrases(batch, codes, found["at"][confirmed]))
+        at = near[near + width <= len(batch.row)]
+        at = at[batch.row[at] == batch.row[at + width - 1]]
+        # which confirmed window a proposed one may be, by hash; equal word by word, or no occurrence
+        own = np.flatnonzero(confirmed)
+        (h1, h2), known = batch.hashes_at(at), found["h1"][own]
+        of = np.searchsorted(known, h1)
+        open_ = np.arange(len(at))
+        while len(open_):  # steps on only among windows equal in the first half of the hash
+            open_ = open_[of[open_] < len(own)]
+            open_ = open_[(known[of[open_]] == h1[open_]) & (found["h2"][own[of[open_]]] != h2[open_])]
+            of[open_] += 1
+        mine = of < len(own)
+        mine[mine] = (known[of[mine]] == h1[mine]) & (found["h2"][own[of[mine]]] == h2[mine])
+        at, of = at[mine], own[of[mine]]
         rep = found["at"][of]
         equal = np.ones(len(at), bool)
         for j in range(width):

@@ -130,6 +130,25 @@ def test_repeats_go(docs, rows, monkeypatch, shard):
         assert sum(s.past - s.first for s in r.removed_spans) == r.n_removed
 
 
+def test_repeats_are_found_by_the_automata(spark, monkeypatch):
+    """Batches in this process: with empty automata nothing goes."""
+    passage = prose(1, 40)
+    rows = [(i, f"{prose(10 + i, 5)} {passage} {prose(20 + i, 5)}") for i in range(3)]
+    table = pa.table({"id": pa.array([r[0] for r in rows], pa.int64()), "text": [r[1] for r in rows]})
+    batch = substrings._Batch(table, 13)
+    found = batch.windows(np.unique(batch.anchors))
+    none = np.zeros(len(found["at"]), bool)
+    want = [n for _, _, n, _ in remove_brute([(*r, None) for r in rows])]
+    gone = substrings._covered(batch, found, none)
+    assert want == [0, 40, 40] == np.bincount(batch.row, gone, 3).tolist()
+
+    class Empty:
+        add_word, make_automaton, iter = (lambda *a: None), (lambda *a: None), (lambda *a: iter(()))
+
+    monkeypatch.setattr(substrings.ahocorasick, "Automaton", lambda *a: Empty())
+    assert not substrings._covered(batch, found, none).any()
+
+
 def test_repeats_over_many_batches_and_buckets(spark, monkeypatch):
     monkeypatch.setattr(substrings, "BATCH_BYTES", 2_000)
     monkeypatch.setattr(substrings, "BUCKET_BYTES", 3_000)
