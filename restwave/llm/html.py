@@ -1,12 +1,14 @@
 """Main text of web pages by tag-path ratios.
 
 Each page is cut into text nodes with their root-to-leaf tag paths. For every path text length, punctuation
-and nodes are summed; length and punctuation per node are smoothed over the page's node order, fused, and
-paths below the threshold are dropped. Blocks on the other paths are the text, wherever they are, with small
-gaps between them and all blocks of the articles that have such text (without any, of the element that holds
-nearly all of it). Subtrees that by tag, role or class are no content (menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, comments) never take part; a class, id or role on what wraps the
-page's text ("has-sidebar") is no such sign.
+and nodes are summed; length and punctuation per node are smoothed over the page's node order and fused to a
+score of the path, the mean over its nodes. Paths that lie in an element which by tag, class, id or role is a
+menu, header, footer, sidebar, notice, advert, form or reader comment are paths of their own, whose score is
+lowered; a class, id or role on what wraps the page's text ("has-sidebar") is no such sign. Paths with a score
+of at least THRESHOLD of the page's best are content. Between them, small gaps of unmarked blocks are content
+too, and inside an element that holds content (each article, else main, else the one that holds nearly all of
+it) unmarked paths that come near by their own unsmoothed ratio. Only what is never shown (scripts, styles,
+hidden elements) takes no part.
 
 Pages are independent rows: Spark deals them out, and a task holds one batch at a time.
 """
@@ -26,11 +28,13 @@ from pyspark.sql import types as T
 
 from restwave.llm.common import row_struct, ship_package, with_outputs
 
-_TOKEN = re.compile(r"<!--(?:>|->|.*?(?:-->|--!>|\Z))|<(/?)([a-zA-Z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>?|</[^>a-zA-Z][^>]*>?", re.S)
+_TOKEN = re.compile(r"<!--(?:>|->|.*?(?:-->|--!>|\Z))|<(/?)([a-zA-Z][^\s/<>\x00]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>?|</[^>a-zA-Z][^>]*>?"
+                    r"|<(/?)([a-zA-Z][^\s/<>\x00]*)([^<>\"']*[\"'][^<>]*)(?:>|(?=<)|\Z)", re.S)  # the last: a quote that never closes ends with the tag
 _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-_DROP = _RAW | {"head", "nav", "header", "footer", "aside", "form", "button", "select", "option", "label", "fieldset", "dialog", "menu", "svg", "math", "object", "canvas", "audio", "video", "map", "applet"}
+_UNSEEN = _RAW | {"head", "svg", "math", "object", "canvas", "audio", "video", "map", "applet", "select", "option", "dialog"}
+_MARKED = {"nav", "header", "footer", "aside", "button", "label", "fieldset", "menu"}
 _BLOCK = {"address", "article", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form",
           "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "li", "main", "nav", "ol", "p", "pre", "section", "aside", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "hgroup", "search", "dialog", "menu"}
 _INLINE_OUT = {"a", "abbr", "b", "big", "cite", "code", "em", "font", "i", "mark", "q", "s", "small", "span", "strike", "strong", "sub", "sup", "tt", "u", "ins", "del", "kbd", "samp", "var", "time"}
@@ -40,7 +44,7 @@ _HINTS = {"nav", "navbar", "navigation", "menu", "menubar", "breadcrumb", "bread
           "comment", "comments", "disqus", "respond", "replies", "share", "sharing", "social", "related", "recommended", "widget", "toolbar", "pagination", "pager", "contentinfo",
           "complementary", "search", "alert", "alertdialog", "dialog", "form", "copyright", "skip", "toc"}
 _REPLIES = {"comment", "comments", "disqus", "respond", "replies"}
-HINT, REPLIES, SURE = 1, 2, 3
+HINT, REPLIES, MARK, SURE = 1, 2, 3, 4
 _CONTAINER = {"div", "section", "article", "main", "body", "html", "td", "center", "blockquote", "details"}
 _TOP = {"html", "body", "main"}
 _PUNCT = re.compile(r"[.,;:!?…。，、；：！？¿¡]")
@@ -48,19 +52,22 @@ _SPLIT = re.compile(r"[^a-z]+")
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
            "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 _SCOPE = {"table", "td", "th", "caption", "button", "object", "html", "body"}
-THRESHOLD = 0.25
+#: Parts of the best path's score: of content, of what comes near inside its container; and what is left of a marked path's score.
+THRESHOLD, NEAR, LOWERED = 0.04, 0.003, 0.001
 #: Blocks between two blocks of text that are text too.
 GAP = 2
 KERNEL = np.exp(-0.5 * np.arange(-2, 3) ** 2)
 
 
 def _noise(tag: str, attributes: str) -> int:
-    """SURE, or what class, id and role hint: HINT, REPLIES (comments on the article) or 0."""
-    if tag in _DROP:
+    """SURE of what is never shown, MARK of tags that name no content, or what class, id and role hint: HINT,
+    REPLIES (comments on the article) or 0."""
+    if tag in _UNSEEN:
         return SURE
+    mark = MARK if tag in _MARKED else HINT if tag == "form" else 0  # a form may wrap the page
     if not attributes or tag in _TOP or attributes.isspace():
-        return 0
-    kind = 0
+        return mark
+    kind = mark
     for name, *values in _ATTR.findall(attributes):
         name, value = name.lower(), "".join(values).lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
@@ -109,33 +116,42 @@ def _hinted_noise(nodes: list[tuple[int, str, int, str]], parents: list[int], ta
     return out
 
 
-def text_nodes(page: str) -> tuple[list[tuple[int, str, int, str]], list[int], list[str]]:
-    """(element, tag path, block, raw text) of every text node outside noise; parent and tag of each element."""
-    nodes: list[tuple[int, str, int, str]] = []
-    parents, tags, stack = [-1], [""], [(0, "", "", False)]  # stack: element, tag, path, noise
+def text_nodes(page: str) -> tuple[list[tuple[int, int, int, str, bool]], list[int], list[str]]:
+    """(element, tag path, block, raw text, marked) of every text node that is shown; parent and tag of each element.
+
+    Tag paths are numbers: those of a tree of (path above, tag). A marked node lies in an element that names no content.
+    """
+    nodes: list[tuple[int, int, int, str]] = []
+    parents, tags, stack = [-1], [""], [(0, "", 0, 0)]  # stack: element, tag, path, kind
+    paths: dict[tuple[int, str], int] = {}
     hints: dict[int, int] = {}
+    marks: set[int] = set()
+    opened: dict[str, int] = defaultdict(int)
     block, at, n = 0, 0, len(page)
 
     def close(until: int) -> None:
+        for x in stack[until:]:
+            opened[x[1]] -= 1
         del stack[until:]
 
     while at < n:
         match = _TOKEN.search(page, at)
         end = match.start() if match else n
-        if end > at and not stack[-1][3]:
+        if end > at and stack[-1][3] != SURE:
             nodes.append((stack[-1][0], stack[-1][2], block, page[at:end]))
         if not match:
             break
         at = match.end()
-        tag = (match[2] or "").lower()
+        ending, tag, attributes = (match[i] or match[i + 3] or "" for i in (1, 2, 3))
+        tag = tag.lower()
         if not tag:
             continue
-        if match[1]:
-            if tag == "p" and not any(x[1] == "p" for x in stack):
+        if ending:
+            if tag == "p" and not opened["p"]:
                 block += 1
                 continue
             block += tag in _BLOCK
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1 if opened[tag] else 0, 0, -1):
                 if stack[i][1] == tag:
                     close(i)
                     break
@@ -144,7 +160,7 @@ def text_nodes(page: str) -> tuple[list[tuple[int, str, int, str]], list[int], l
             continue
         if tag in _BLOCK:
             block += 1
-            for i in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
+            for i in range(len(stack) - 1 if opened["p"] else 0, 0, -1):  # a block ends an open paragraph
                 if stack[i][1] == "p":
                     close(i)
                     break
@@ -152,7 +168,7 @@ def text_nodes(page: str) -> tuple[list[tuple[int, str, int, str]], list[int], l
                     break
         if tag in _CLOSES:
             ended, limits = _CLOSES[tag]
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1 if any(opened[x] for x in ended) else 0, 0, -1):
                 if stack[i][1] in limits:
                     break
                 if stack[i][1] in ended:
@@ -160,14 +176,14 @@ def text_nodes(page: str) -> tuple[list[tuple[int, str, int, str]], list[int], l
                     if tag != "tr" or stack[-1][1] not in ended:
                         break
         if tag in _VOID:
-            if tag == "br" and not stack[-1][3]:
+            if tag == "br" and stack[-1][3] != SURE:
                 nodes.append((stack[-1][0], stack[-1][2], block, " "))
             continue
-        if tag in ("body", "html") and any(x[1] == tag for x in stack):
+        if tag in ("body", "html") and opened[tag]:
             continue
         if tag == "body" and stack[-1][1] == "head":
             close(len(stack) - 1)
-        kind = _noise(tag, match[3])
+        kind = _noise(tag, attributes)
         if tag in _RAW:
             done = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             at = done.end() if done else n
@@ -176,71 +192,96 @@ def text_nodes(page: str) -> tuple[list[tuple[int, str, int, str]], list[int], l
         tags.append(tag)
         if kind in (HINT, REPLIES):
             hints[len(parents) - 1] = kind
-        stack.append((len(parents) - 1, tag, stack[-1][2] if tag in _INLINE_OUT else f"{stack[-1][2]}/{tag}", stack[-1][3] or kind == SURE))
+        elif kind == MARK:
+            marks.add(len(parents) - 1)
+        path = stack[-1][2] if tag in _INLINE_OUT else paths.setdefault((stack[-1][2], tag), len(paths) + 1)
+        opened[tag] += 1
+        stack.append((len(parents) - 1, tag, path, max(stack[-1][3], kind)))
+    for e in range(1, len(parents)):  # parents come first
+        if parents[e] in marks:
+            marks.add(e)
     if hints:
-        out = _hinted_noise(nodes, parents, tags, hints)
-        nodes = [x for x in nodes if x[0] not in out]
-    return nodes, parents, tags
+        marks |= _hinted_noise([x for x in nodes if x[0] not in marks], parents, tags, hints)
+    return [(*x, x[0] in marks) for x in nodes], parents, tags
 
 
-def main_text(page: str | None) -> str:
-    """Blocks of text, in page order, joined by two line feeds; empty if there are none."""
-    if not page:
-        return ""
-    nodes, parents, tags = text_nodes(page)
-    kept = [(e, path, block, html.unescape(raw)) for e, path, block, raw in nodes]
-    full = [x for x in kept if not x[3].isspace()]
-    if not full:
-        return ""
-    # per path: length and punctuation for each node
-    sums: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0])
-    for _, path, _, text in full:
+def path_scores(nodes: list[tuple[tuple[int, bool], str]]) -> tuple[dict, dict]:
+    """Of nodes (path with its mark, text) in page order: the score of each path, and the fused ratio of the path by itself.
+
+    A path's ratios are its characters and its punctuation marks for each node. Both are smoothed over the nodes,
+    length times one plus punctuation is a node's fused value, and a path's score the mean over its nodes; a
+    marked path keeps LOWERED of it.
+    """
+    sums: dict = defaultdict(lambda: [0.0, 0.0, 0.0])
+    for path, text in nodes:
         s = sums[path]
         s[0] += len(text.strip())
         s[1] += len(_PUNCT.findall(text))
         s[2] += 1
-    ratio = np.array([[sums[p][0] / sums[p][2], sums[p][1] / sums[p][2]] for _, p, _, _ in full])
+    own = {p: (s[0] / s[2]) * (1 + s[1] / s[2]) * (LOWERED if p[1] else 1) for p, s in sums.items()}
+    ratio = np.array([[sums[p][0] / sums[p][2], sums[p][1] / sums[p][2]] for p, _ in nodes])
     kernel = KERNEL / KERNEL.sum()
     padded = np.pad(ratio, ((2, 2), (0, 0)), mode="edge")
     smooth = sum(kernel[j] * padded[j:j + len(ratio)] for j in range(5))
-    fused = smooth[:, 0] * (1 + smooth[:, 1])
-    score: dict[str, list[float]] = defaultdict(list)
-    for (_, path, _, _), x in zip(full, fused.tolist()):
-        score[path].append(x)
-    level = {p: sum(x) / len(x) for p, x in score.items()}
-    chosen = {p for p, x in level.items() if x >= THRESHOLD * max(level.values())}
+    score: dict = defaultdict(float)
+    for (path, _), x in zip(nodes, (smooth[:, 0] * (1 + smooth[:, 1])).tolist()):
+        score[path] += x / sums[path][2] * (LOWERED if path[1] else 1)
+    return dict(score), own
+
+
+def main_text(page: str | None, threshold: float = THRESHOLD, near: float = NEAR) -> str:
+    """Blocks of text, in page order, joined by two line feeds; empty if there are none."""
+    if not page:
+        return ""
+    nodes, parents, tags = text_nodes(page)
+    kept = [(e, (path, marked), block, html.unescape(raw)) for e, path, block, raw, marked in nodes]
+    full = [x for x in kept if not x[3].isspace()]
+    if not full:
+        return ""
+    score, own = path_scores([(path, text) for _, path, _, text in full])
+    best = max(score.values())
+    chosen = {p for p, x in score.items() if x >= threshold * best}
+    if all(p[1] for p in chosen):  # nothing but menus, notices and the like
+        return ""
     # how much of the chosen text each element holds
     weight: dict[int, int] = defaultdict(int)
-    total = 0
     for e, path, _, text in full:
         if path in chosen:
-            total += len(text.strip())
-            while e >= 0:
-                weight[e] += len(text.strip())
-                e = parents[e]
-    inside = _containers(weight, total, parents, tags)
-    for e in range(len(parents)):
+            weight[e] += len(text.strip())
+    for e in range(len(parents) - 1, 0, -1):
+        if e in weight:
+            weight[parents[e]] += weight[e]
+    inside = _containers(weight, weight[0], parents, tags)
+    for e in range(1, len(parents)):
         if parents[e] in inside:
             inside.add(e)
-    # blocks in order, and which of them are text: those in containers or on chosen paths, and small gaps between
+    # blocks in order, and which of them are text
     blocks: dict[int, list[str]] = defaultdict(list)
     taken: dict[int, bool] = {}
+    marked: set[int] = set()
+    ratio: dict[int, float] = defaultdict(float)  # the best own ratio in a block
     for e, path, block, text in kept:
+        if path[1] and path not in chosen:
+            if not text.isspace():
+                marked.add(block)
+                taken.setdefault(block, False)
+            continue
         blocks[block].append(text)
         if not text.isspace():
-            taken[block] = taken.get(block, False) or e in inside or path in chosen
+            ratio[block] = max(ratio[block], own[path])
+            taken[block] = taken.get(block, False) or path in chosen or e in inside and own[path] >= near * best
     last = None
     for at, block in enumerate(order := list(taken)):
         if taken[block]:
-            if last is not None and at - last <= GAP + 1:
-                taken.update(dict.fromkeys(order[last:at], True))
+            if last is not None and at - last <= GAP + 1 and not marked.intersection(order[last:at]):
+                taken.update((b, True) for b in order[last:at] if ratio[b] >= near * best)
             last = at
     joined = (" ".join("".join(parts).split()) for block, parts in blocks.items() if taken.get(block))
     return "\n\n".join(x for x in joined if x)
 
 
 def _containers(weight: dict[int, int], total: int, parents: list[int], tags: list[str]) -> set[int]:
-    """Elements whose blocks are text whether chosen or not: each <article> with chosen text, else each <main>,
+    """Elements within which paths that come near are text: each <article> with chosen text, else each <main>,
     else the deepest container that holds nearly all chosen text."""
     for name in ("article", "main"):
         if marked := {e for e in weight if tags[e] == name}:
@@ -254,7 +295,8 @@ def _containers(weight: dict[int, int], total: int, parents: list[int], tags: li
 def extract_main_text(pages: DataFrame, html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of pages (all, if None) and text, n_chars (code points) for every page.
 
-    Null or empty html, and pages without content: empty text, 0. Broken markup is read as far as it goes.
+    Null or empty html, and pages without content: empty text, 0. Broken markup is read as far as it goes; a quote
+    that never closes ends with its tag, at the next > or <.
     Repeated rows count one by one; an empty table gives an empty result. Input columns named text or n_chars
     give way to the outputs.
     """

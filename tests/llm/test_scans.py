@@ -266,3 +266,64 @@ def test_names_in_any_case_give_way(spark, tmp_path):
         assert len(set(names)) == len(names) and output in result.columns and {"__id", "__text", "ROW", "Id", "BATCH"} <= set(result.columns)
         result.write.parquet(f"file:{tmp_path}/{name}")
         assert spark.read.parquet(f"file:{tmp_path}/{name}").count() == 6
+
+
+# --- main text by tag-path ratios ---
+
+def scores_brute(nodes):
+    """Sums, smoothing and fusing written out for each node."""
+    from restwave.llm import html
+
+    mine = {}
+    for path, text in nodes:
+        mine.setdefault(path, []).append(text)
+    ratio = {p: (sum(len(t.strip()) for t in ts) / len(ts), sum(len(re.findall(r"[.,;:!?…。，、；：！？¿¡]", t)) for t in ts) / len(ts)) for p, ts in mine.items()}
+    weights = [math.exp(-0.5 * k * k) for k in range(-2, 3)]
+    fused = {}
+    for i, (path, _) in enumerate(nodes):
+        near = [nodes[min(max(i + k, 0), len(nodes) - 1)][0] for k in range(-2, 3)]
+        length, marks = (sum(w * ratio[p][j] for w, p in zip(weights, near)) / sum(weights) for j in (0, 1))
+        fused.setdefault(path, []).append(length * (1 + marks))
+    low = lambda p: html.LOWERED if p[1] else 1
+    return ({p: sum(x) / len(x) * low(p) for p, x in fused.items()}, {p: a * (1 + b) * low(p) for p, (a, b) in ratio.items()})
+
+
+def test_path_scores_against_brute_force():
+    from restwave.llm import html
+
+    r = random.Random(4)
+    for n in (1, 2, 3, 40):
+        nodes = [((r.randrange(5), r.random() < 0.3), " " + "ab, c. " * r.randrange(1, 30)) for _ in range(n)]
+        nodes = [((p, p == 3), t) for (p, _), t in nodes]
+        for got, want in zip(html.path_scores(nodes), scores_brute(nodes)):
+            assert got == pytest.approx(want)
+
+
+def test_the_threshold_decides_what_is_text():
+    from restwave.llm import html
+
+    para = "Some words of a longer sentence, which goes on; and on. Then another one follows, with a mark! " * 4
+    short = "".join(f"<div><a href=x>{w}</a></div>" for w in ("Mail", "Print", "Save", "Next", "Top", "More"))
+    page = f"<body><nav><a>Home</a></nav><article><h1>Title</h1><p>{para}</p><p>{para}</p><ul><li>A point of the list, here</li><li>Another point of it, too</li></ul>{short}<p>{para}</p></article><footer>Foot, note.</footer>"
+    body = " ".join(para.split())
+    want = "\n\n".join(["Title", body, body, "A point of the list, here", "Another point of it, too", body])
+    assert html.main_text(page) == want  # the links have no telling name, and stand in the article
+    assert {"Mail", "Home", "Foot, note."} <= set(html.main_text(page, 0.0, 0.0).split("\n\n"))
+    assert html.main_text(page, 0.9, 0.9) == "\n\n".join([body] * 3)
+    # no article, and text before it
+    assert html.main_text(page.replace("article", "div")) == want
+    assert html.main_text(f"<body><p>{para}</p><article><p>{para}</p></article>") == f"{body}\n\n{body}"
+    # a form around the whole page is no form of the page; one beside the text is
+    assert html.main_text(f"<body><form id=all><p>{para}</p><form>x</form></form>").startswith(body)
+    assert html.main_text(f"<body><p>{para}</p><p>{para}</p><form><p>Your name, please:</p><p>{para}</p></form>") == f"{body}\n\n{body}"
+    assert html.main_text("<nav><a>Home</a></nav><footer>Foot</footer>") == ""
+
+
+def test_broken_quotes_and_deep_nesting_leave_no_markup():
+    from restwave.llm import html
+
+    assert html.main_text('<p title="x>Hello there, this is text.</p><p>And more of it, here.</p>') == "Hello there, this is text.\n\nAnd more of it, here."
+    assert html.main_text("<p class='a<b>Bold text, here.</b> rest of it.") == "Bold text, here. rest of it."
+    assert html.main_text('<p>Some text, first.</p><a href="x') == "Some text, first."
+    deep = "<div>" * 20_000 + "Text at the bottom, here." + "</div>" * 20_000
+    assert html.main_text(deep) == "Text at the bottom, here."
