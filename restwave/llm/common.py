@@ -68,11 +68,13 @@ def forget(df: DataFrame) -> None:
 
 
 def tidy(spark) -> None:
-    """From now on the shuffle files of a finished action go at once: for jobs whose steps are all written or `durable`.
+    """Settings for jobs whose steps are all written or `durable`, one after the other in one session.
 
-    (A lost executor is no matter, as what is left of a step lies in the shared folder.)
+    The shuffle files of a finished action go at once (what is left of a step lies in the shared folder, so a lost
+    executor is no matter), and Python workers get texts in small batches, as they keep the memory of their largest.
     """
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
 #: Rows of keys that are sent to all executors at most; with a few longs each, tens of MB.

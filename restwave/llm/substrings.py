@@ -49,7 +49,7 @@ class _Batch:
         self.bytes, offsets = text_buffers(table["text"])
         self.starts, self.ends, self.row = word_runs(self.bytes, offsets)
         self.ids = table["id"].to_numpy()
-        self.word_keys = WordHash(0).words(self.bytes, self.starts, self.ends)
+        self.word_keys, self.second_keys = WordHash(0).words(self.bytes, self.starts, self.ends), None
         n = max(0, len(self.row) - width + 1)
         #: First words of windows.
         self.at = np.flatnonzero(self.row[:n] == self.row[width - 1:]) if n else np.zeros(0, np.int64)
@@ -88,9 +88,12 @@ class _Batch:
 
     def hashes_at(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The 128-bit hashes of the windows that begin at the given words."""
+        if not len(at):
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         second = WordHash(1)
-        return (WordHash(0).runs_at(self.word_keys, at, self.width),
-                second.runs_at(second.words(self.bytes, self.starts, self.ends), at, self.width) if len(at) else np.zeros(0, np.uint64))
+        if self.second_keys is None:  # once for a batch, as it needs several arrays of the texts' length
+            self.second_keys = second.words(self.bytes, self.starts, self.ends)
+        return WordHash(0).runs_at(self.word_keys, at, self.width), second.runs_at(self.second_keys, at, self.width)
 
     def word_codes(self) -> np.ndarray:
         """A number for each word; equal exactly if the words' bytes are."""
