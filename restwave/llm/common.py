@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 SPACE = " \t\n\x0b\x0c\r"
 IS_WORD_BYTE = np.ones(256, bool)
 IS_WORD_BYTE[list(SPACE.encode())] = False
+#: Bytes that a word hash works on at a time.
+PIECE = 1 << 19
 #: A row without an id counts as later than every row that has one.
 NO_ID = 2**63 - 1
 
@@ -157,12 +159,21 @@ class WordHash:
         self.inverse = np.array([pow(int(self.base[0]), -1, 2**64)], np.uint64)
 
     def words(self, bytes_: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        n = len(bytes_)
-        powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.repeat(self.base, n)]))
-        unpower = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.repeat(self.inverse, n)]))
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.table[bytes_] * powers[:n], out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * unpower[starts])
+        """A hash of each word. Works on about PIECE bytes at a time, as it needs several long arrays of them."""
+        out = np.empty(len(starts), np.uint64)
+        lo = 0
+        while lo < len(starts):
+            hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + PIECE)))
+            first, past = int(starts[lo]), int(ends[hi - 1])
+            n = past - first
+            powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.repeat(self.base, n)]))
+            unpower = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.repeat(self.inverse, n)]))
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(self.table[bytes_[first:past]] * powers[:n], out=sums[1:])
+            at = starts[lo:hi] - first
+            out[lo:hi] = mix((sums[ends[lo:hi] - first] - sums[at]) * unpower[at])
+            lo = hi
+        return out
 
     def runs(self, words: np.ndarray, k: int) -> np.ndarray:
         """A hash of each k consecutive words."""

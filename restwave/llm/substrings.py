@@ -57,7 +57,7 @@ class _Batch:
         grams = WordHash(0).runs(self.word_keys, k)
         if len(self.at):
             spans = np.lib.stride_tricks.sliding_window_view(grams, width - k + 1)
-            first = np.concatenate([spans[p].argmin(axis=1) + p for p in np.array_split(self.at, len(self.at) // 500_000 + 1)])
+            first = np.concatenate([spans[p].argmin(axis=1) + p for p in np.array_split(self.at, len(self.at) // 100_000 + 1)])
         else:
             first = np.zeros(0, np.int64)
         self.anchors = grams[first]
