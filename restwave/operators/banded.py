@@ -23,7 +23,7 @@ many tasks. Readings that repeat very often within a day are better averaged fir
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from math import exp, floor
 
@@ -179,24 +179,26 @@ def _group_starts(table: pa.Table, keys: Sequence[str]) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(change) + 1])
 
 
-def _block_means(kernels: Sequence[Kernel], kept: Sequence[str], keys: Sequence[str]):
+def _block_means(kernels: Sequence[Kernel], kept: Sequence[str], keys: Sequence[str], values: Sequence[str]):
     """The task-side helper over batches sorted by `keys`, whole blocks at a time.
 
+    Each output row gets one list: the means of the first value by kernel, then those of the next.
     Rows of the last block of a batch wait for the next one, so at most one block is held.
     """
     bands = [(k.lo, k.hi, np.array([k.weight(o) for o in range(k.lo, k.hi + 1)])) for k in kernels]
 
     def smooth(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
-        pos, y, home = (table.column(c).to_numpy() for c in ("_pos", "_y", "_home"))
+        pos, home = (table.column(c).to_numpy() for c in ("_pos", "_home"))
+        ys = [table.column(c).to_numpy() for c in values]
         parts = []
         with np.errstate(invalid="ignore", divide="ignore"):
             for a, b in zip(starts, [*starts[1:], table.num_rows]):
                 mine = home[a:b]
                 if mine.any():
-                    parts.append(_block_mean(bands, pos[a:b], y[a:b], pos[a:b][mine]))
+                    parts.append(np.hstack([_block_mean(bands, pos[a:b], y[a:b], pos[a:b][mine]) for y in ys]))
         flat = np.concatenate([p.ravel() for p in parts]) if parts else np.empty(0)
         rows = table.select([*kept, "_pos"]).filter(table.column("_home"))
-        ends = np.arange(rows.num_rows + 1, dtype=np.int32) * len(bands)
+        ends = np.arange(rows.num_rows + 1, dtype=np.int32) * (len(bands) * len(ys))
         means = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
         return pa.RecordBatch.from_arrays(
             [*[c.combine_chunks() for c in rows.columns], means], [*rows.column_names, "_means"])
@@ -217,31 +219,52 @@ def _block_means(kernels: Sequence[Kernel], kept: Sequence[str], keys: Sequence[
     return run
 
 
-def _with_blocks(df: DataFrame, keys: Sequence[str], pos: str, value: str,
-                 kernels: Sequence[Kernel], carry: Sequence[str]) -> DataFrame:
+def _listed_means(df: DataFrame, keys: Sequence[str], pos: str, values: Sequence[str],
+                  kernels: Sequence[Kernel], carry: Sequence[str]) -> DataFrame:
+    """keys, carry, pos and the list `_means` (values by kernels, NaN where there is none), by one exchange."""
     lo, hi = min(k.lo for k in kernels), max(k.hi for k in kernels)
     block = max(MIN_BLOCK, hi - lo)
-    p = F.col(pos).cast("bigint")
-    spread = df.select(*keys, *carry, p.alias("_pos"), F.col(value).alias("_y"), F.explode(F.sequence(
-        F.floor((p - F.lit(hi)) / F.lit(block)),
-        F.floor((p - F.lit(lo)) / F.lit(block)))).alias("_block"))
+    p, ys = F.col(pos).cast("bigint"), [f"_y{i}" for i in range(len(values))]
+    spread = df.select(*keys, *carry, p.alias("_pos"), *[F.col(v).alias(y) for v, y in zip(values, ys)],
+                       F.explode(F.sequence(F.floor((p - F.lit(hi)) / F.lit(block)),
+                                            F.floor((p - F.lit(lo)) / F.lit(block)))).alias("_block"))
     spread = spread.withColumn("_home", F.floor(F.col("_pos") / F.lit(block)) == F.col("_block"))
-    # A null in a halo is neither an output nor a source.
-    spread = spread.where(F.col("_home") | F.col("_y").isNotNull())
+    # A row without values in a halo is neither an output nor a source.
+    spread = spread.where(F.col("_home") | F.coalesce(*ys).isNotNull())
     kept = [*keys, *carry]
     schema = T.StructType([df.schema[c] for c in kept]
                           + [T.StructField("_pos", T.LongType()),
                              T.StructField("_means", T.ArrayType(T.DoubleType()))])
     blocks = _spread_out(spread, [*keys, "_block"]).sortWithinPartitions(*keys, "_block")
-    means = blocks.mapInArrow(_block_means(kernels, kept, [*keys, "_block"]), schema)
+    means = blocks.mapInArrow(_block_means(kernels, kept, [*keys, "_block"], ys), schema)
+    return means.select(*kept, F.col("_pos").cast(df.schema[pos].dataType).alias(pos), "_means")
+
+
+def _with_blocks(df: DataFrame, keys: Sequence[str], pos: str, value: str,
+                 kernels: Sequence[Kernel], carry: Sequence[str]) -> DataFrame:
+    means = _listed_means(df, keys, pos, [value], kernels, carry)
     names = F.array(*[F.lit(k.name) for k in kernels])
     widths = F.array(*[F.lit(k.width) for k in kernels])
-    return (means.select(*kept, F.col("_pos").cast(df.schema[pos].dataType).alias(pos),
-                         F.posexplode("_means").alias("_j", "_v"))
+    return (means.select(*keys, pos, *carry, F.posexplode("_means").alias("_j", "_v"))
             .select(*keys, pos, *carry, F.get(names, "_j").alias("kernel"),
                     F.get(widths, "_j").alias("bandwidth"), nan_to_null("_v").alias("value")))
 
 
+def banded_columns(df: DataFrame, keys: Sequence[str], pos: str, values: Sequence[str],
+                   kernels: Sequence[Kernel], name: Callable[[str, str, int], str]) -> DataFrame:
+    """Wide frame: keys, pos and a column `name(value, kernel, bandwidth)` for each value and kernel.
+
+    All values of a row travel together, so there is one exchange, no long form and no pivot. Every
+    input row gives one row; readings at one position count one by one.
+    """
+    if not kernels or not values:
+        raise ValueError("no kernels or no values")
+    clean = df.select(*keys, pos, *[nan_to_null(F.col(v).cast("double")).alias(v) for v in values])
+    cells = [name(v, k.name, k.width) for v in values for k in kernels]
+    return _listed_means(clean, keys, pos, values, kernels, ()).select(
+        *keys, pos, *[nan_to_null(F.get("_means", F.lit(i))).alias(c) for i, c in enumerate(cells)])
+
+
 def banded_means(df: DataFrame, keys: Sequence[str], pos: str, value: str,
                  kernels: Sequence[Kernel], how: str = "auto",
                  carry: Sequence[str] = ()) -> DataFrame:

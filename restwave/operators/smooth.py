@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from restwave.functions import nan_to_null, parse_smooth_name, smooth_name
-from restwave.operators.banded import REACH, WINDOW_BUDGET, banded_means, boxcar_distance, gaussian_distance
+from restwave.operators.banded import REACH, WINDOW_BUDGET, Kernel, banded_columns, banded_means, boxcar_distance, gaussian_distance
 from restwave.schemas import BANDWIDTHS, KERNELS, SMOOTHED_COLUMNS
 
 SERIES_KEYS = ("user_id", "metric", "series")
@@ -24,6 +24,13 @@ def kernel_names(kernels: Sequence[str]) -> list[str]:
     return list(dict.fromkeys(names))
 
 
+def date_kernels(kernels: Sequence[str] = KERNELS, bandwidths: Sequence[int] = BANDWIDTHS,
+                 reach: float = REACH) -> list[Kernel]:
+    """Kernels over day distances, by name and then by bandwidth."""
+    return [gaussian_distance(b, reach) if k == "gaussian" else boxcar_distance(b)
+            for k in kernel_names(kernels) for b in bandwidths]
+
+
 def boxcar_means(df: DataFrame, bandwidths: Sequence[int], keys: Sequence[str] = SERIES_KEYS,
                  date: str = "date", value: str = "value") -> DataFrame:
     """Plain mean of the values at most half a bandwidth of days away."""
@@ -107,6 +114,18 @@ def wide(smoothed: DataFrame, columns: Sequence[str], kernels: Sequence[str] = K
             .groupBy(*keys, date).pivot("_name", names).agg(F.first("value")))
 
 
+def smooth_wide(df: DataFrame, columns: Sequence[str], kernels: Sequence[str] = KERNELS,
+                bandwidths: Sequence[int] = BANDWIDTHS, keys: Sequence[str] = ("user_id",),
+                date: str = "date", reach: float = REACH) -> DataFrame:
+    """Wide export of a wide table: a column per (series, kernel, bandwidth), a row per input row.
+
+    The same values as `wide` of `kernel_smooth`, without the long rows and the pivot between them.
+    """
+    dated = df.select(*keys, F.unix_date(date).alias("_day"), *columns)
+    out = banded_columns(dated, keys, "_day", columns, date_kernels(kernels, bandwidths, reach), smooth_name)
+    return out.select(*keys, F.date_from_unix_date("_day").alias(date), *out.columns[len(keys) + 1:])
+
+
 def trim_bandwidths(smoothed: DataFrame, low: int, high: int) -> DataFrame:
     """Keep bandwidths within an inclusive range, long form."""
     return smoothed.where(F.col("bandwidth").between(low, high))

@@ -12,6 +12,30 @@ ROW_WIDTHS = (*BANDWIDTHS, 154, 161, 168, 175)
 ZERO_IS_MISSING = ("body_fat", "bmi", "fat_mass")
 SLEEP_DURATIONS = ("total_sleep_time", "rem_time", "deep_time", "light_time", "awake_time")
 STRESS_DURATIONS = ("high_stress_duration", "low_stress_duration", "rest_stress_duration")
+SMOOTHED = {
+    "health_stats": ("weight", "bmi", "body_fat", "body_water", "bone_mass", "muscle_mass", "fat_mass"),
+    "sleep": ("resting_hr", "sleep_score", "total_sleep_time", "rem_time", "deep_time", "light_time", "awake_time",
+              "sleep_start_time", "sleep_end_time", "hrv_7d_average"),
+    "steps": ("step_goal", "total_steps", "total_distance"),
+    "stress": ("high_stress_duration", "low_stress_duration", "overall_stress_level", "rest_stress_duration"),
+    "heart_rate": ("resting_hr", "wellness_max_avg_hr", "wellness_min_avg_hr"),
+    "body_battery": ("low_body_battery", "high_body_battery"),
+}
+# metric, series, axis, axis label, legend
+VIEWS = (
+    ("health_stats", "weight", "default", "Weight (lb)", "Weight"),
+    ("health_stats", "body_fat", "body_fat", "Body Fat %", "Body Fat"),
+    ("heart_rate", "resting_hr", "default", "Heart Rate (bpm)", "Resting HR"),
+    ("sleep", "deep_time", "default", "Time (hours)", "Deep Sleep"),
+    ("sleep", "rem_time", "default", "Time (hours)", "REM Sleep"),
+    ("sleep", "light_time", "default", "Time (hours)", "Light Sleep"),
+    ("sleep", "awake_time", "default", "Time (hours)", "Awake Time"),
+    ("sleep", "total_sleep_time", "default", "Time (hours)", "Total Sleep Time"),
+    ("sleep", "sleep_score", "sleep_score", "Sleep Score", "Sleep Score"),
+    ("steps", "total_steps", "default", "Total Steps", "Total Steps"),
+    ("steps", "step_goal", "default", "Total Steps", "Step Goal"),
+    ("steps", "total_distance", "distance", "Total Distance (m)", "Total Distance"),
+)
 SLEEP_COLUMNS = ("date", "resting_hr", "sleep_score", *SLEEP_DURATIONS, "sleep_start_time", "sleep_end_time", "hrv_7d_average")
 EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 FEW = (1, 7, 14)
@@ -84,7 +108,11 @@ def _stored(name: str) -> str:
     return ", ".join(f"{e} AS {c}" for c, e in cells.items())
 
 
-def _clean(name: str) -> str:
+def _clean(name: str, exact: bool = False) -> str:
+    """The cleaned table; `exact` leaves out the rounding for comparison."""
+    def shown_value(e: str) -> str:
+        return e if exact else f"round({e} + 3.31237e-9, 6)"
+
     base = f"stored AS (SELECT user_id, date, value AS v, {_stored(name)} FROM ({DAYS}))"
     columns = list(DAILY_PAYLOADS[name].mapping.values())
     if name == "health_stats":
@@ -94,17 +122,51 @@ def _clean(name: str) -> str:
         if name == "health_stats" and c in ZERO_IS_MISSING:
             return f"nullif({c}, 0.0) AS {c}"
         if (name == "sleep" and c in SLEEP_DURATIONS) or (name == "stress" and c in STRESS_DURATIONS):
-            return f"round({c} / 3600.0 + 3.31237e-9, 6) AS {c}"
+            return f"{shown_value(f'{c} / 3600.0')} AS {c}"
         if c == "sleep_start_time":
-            return f"round(24.0 - floor(v) / 60.0 + 3.31237e-9, 6) AS {c}"
+            return f"{shown_value('24.0 - floor(v) / 60.0')} AS {c}"
         if c == "sleep_end_time":
-            return f"round(floor(v) / 60.0 + 3.31237e-9, 6) AS {c}"
+            return f"{shown_value('floor(v) / 60.0')} AS {c}"
         return c
 
     shown = SLEEP_COLUMNS[1:] if name == "sleep" else columns
     return f"WITH {base} SELECT user_id, date, {', '.join(cell(c) for c in shown)} FROM stored"
 
 
+def _cleaned_series(names) -> str:
+    """CTE `raw`: metric, user_id, date, series, value of (metric, column) pairs."""
+    tables = ", ".join(f"c_{m} AS ({_clean(m, exact=True)})" for m in dict.fromkeys(m for m, _ in names))
+    rows = " UNION ALL ".join(f"SELECT '{m}' AS metric, user_id, date, '{c}' AS series, {c}::DOUBLE AS value FROM c_{m}" for m, c in names)
+    return f"{tables}, raw AS ({rows})"
+
+
+def _process_all() -> str:
+    def cells(kernel: str) -> str:
+        out = []
+        for b in BANDWIDTHS:
+            w = f"exp(-0.5 * power(d / {b}::DOUBLE, 2))" if kernel == "gaussian" else f"CASE WHEN abs(d) <= {b // 2} THEN 1.0::DOUBLE END"
+            out.append(f"round(sum({w} * y) / nullif(sum({w}), 0) + 3.31237e-9, 6) AS b{b}")
+        return ", ".join(out)
+
+    parts = " UNION ALL ".join(f"SELECT user_id, metric, series, date, '{k}' AS kernel, {cells(k)} FROM p GROUP BY user_id, metric, series, date"
+                               for k in ("gaussian", "boxcar"))
+    return f"""WITH {_cleaned_series([(m, c) for m, cs in SMOOTHED.items() for c in cs])},
+p AS (SELECT a.user_id, a.metric, a.series, a.date, b.date - a.date AS d, b.value AS y FROM raw a LEFT JOIN raw b
+  ON a.user_id = b.user_id AND a.metric = b.metric AND a.series = b.series AND b.value IS NOT NULL)
+{parts}"""
+
+
+def _publish_series() -> str:
+    labels = ", ".join("(" + ", ".join(f"'{x}'" for x in v) + ")" for v in VIEWS)
+    kernels = " UNION ALL ".join(_kernel("early", "user_id, metric, series", k, (7, 14)) for k in ("gaussian", "boxcar"))
+    return f"""WITH {_cleaned_series([v[:2] for v in VIEWS])},
+early AS (SELECT * FROM raw WHERE date < DATE '2024-01-25'), s AS ({kernels}),
+labels(metric, series, axis, axis_label, legend) AS (VALUES {labels})
+SELECT raw.user_id, metric, series, raw.date, round(raw.value + 3.31237e-9, 6) AS value, axis, axis_label, legend,
+  s.kernel, s.bandwidth, round(s.value + 3.31237e-9, 6) AS smooth, coalesce(s.kernel = 'gaussian' AND s.bandwidth = 14, false) AS is_default
+FROM raw JOIN labels USING (metric, series) LEFT JOIN s USING (user_id, metric, series, date)"""
+
+
 def _workout(by: str = "") -> str:
     lead = f"{by}, " if by else ""
     return f"""WITH s AS (SELECT l_suppkey, CASE WHEN l_returnflag = 'R' THEN 'BENCH_PRESS' ELSE l_returnflag END AS ex,
@@ -293,6 +355,11 @@ UNION ALL SELECT 3, user_id, activityId, date, round(CASE WHEN twice THEN price
   CASE WHEN o_orderdate >= DATE '1998-10-03' THEN round(o_totalprice * 2.0 + 3.31237e-9, 6) END AS calories,
   CASE WHEN o_orderdate < DATE '1999-01-01' THEN false END AS detailsPulled FROM orders""",
         "stored_row_means": f"""SELECT *, 'value' AS series FROM ({_row_frames((7, 14))}) UNION ALL SELECT *, 'value' FROM ({_row_gaussian((7, 14))})""",
+        "process_all": _process_all(),
+        "publish_series": _publish_series(),
+        "smooth_incremental": f"""WITH {TYPE_DAYS}, s AS ({_kernel('tdays', 'user_id, series', 'boxcar', FEW)} UNION ALL
+{_kernel('tdays', 'user_id, series', 'gaussian', (1,))})
+SELECT user_id, 'events' AS metric, series, date, kernel, bandwidth, round(value + 3.31237e-9, 6) AS value FROM s""",
         "topk_recent": """SELECT o_orderkey, CAST(o_orderdate AS DATE) AS date, round(o_totalprice + 3.31237e-9, 6) AS o_totalprice
 FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50""",
         "activity_list": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id

@@ -9,16 +9,19 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from restwave.functions import grams_to_pounds, seconds_to_hours, zero_to_null
+from restwave.functions import grams_to_pounds, seconds_to_hours, smooth_name, zero_to_null
 from restwave.operators import activities, calendar, clean, decode, quality, series, smooth, status, windows, workout
 from restwave.operators.banded import band_join
 from restwave.operators.upsert import last_write, upsert
-from restwave.schemas import BANDWIDTHS, DAILY_PAYLOADS, INTRADAY_PAYLOADS, SERIES_VIEWS, FlatPayload
+from restwave.schemas import BANDWIDTHS, DAILY_PAYLOADS, INTRADAY_PAYLOADS, KERNELS, SERIES_VIEWS, SMOOTHED_COLUMNS, FlatPayload
 from restwave.plans import load as loads
+from restwave.plans import publish
+from restwave.plans.smooths import SmoothStore
 from restwave.session import scratch_uri, use_utc
 from restwave.sources.files import FrameStore
 from restwave.sources.landing import BodyStore, land, read_landed
@@ -635,6 +638,51 @@ def series_query(metric: str) -> Query:
     return run
 
 
+# --- processing and publishing ---------------------------------------------------------------
+
+def process_all(spark, sf):
+    """The wide exports of all six metrics, read back with a row per series and kernel."""
+    files = FrameStore(spark, scratch_uri(spark, "process"))
+    publish.process_frames({n: _stored_days(spark, sf, n) for n in clean.CLEANERS}, files)
+    parts = []
+    for metric, columns in SMOOTHED_COLUMNS.items():
+        rows = [F.struct(F.lit(c).alias("series"), F.lit(k).alias("kernel"),
+                         *[F.col(smooth_name(c, k, b)).alias(f"b{b}") for b in BANDWIDTHS]) for c in columns for k in KERNELS]
+        parts.append(files.read(f"moving_averages/{metric}.parquet")
+                     .select("user_id", F.lit(metric).alias("metric"), "date", F.inline(F.array(*rows))))
+    return rounded(reduce(DataFrame.unionByName, parts))
+
+
+def publish_series(spark, sf):
+    """The marts after a second refresh, by when days were added and some smooths are not there yet."""
+    files = FrameStore(spark, scratch_uri(spark, "publish"))
+    stored = {n: _stored_days(spark, sf, n) for n in clean.CLEANERS}
+
+    def refresh(raw_until: str, smoothed_until: str) -> None:
+        files.write_each({n: c.where(F.col("date") < raw_until) for n, c in clean.clean_all(stored).items()}, "processed")
+        cleaned = {n: files.read(f"processed/{n}.parquet").where(F.col("date") < smoothed_until) for n in SERIES_VIEWS}
+        files.write(smooth.smooth_all(cleaned, bandwidths=FEW), publish.SMOOTHED, partition_by=("metric",))
+        publish.refresh_series(files, 2, 150)
+
+    refresh("2024-01-15", "2024-01-15")
+    refresh("9999-01-01", "2024-01-25")
+    marts = [publish.read_series(files, m).withColumn("metric", F.lit(m)) for m in SERIES_VIEWS]
+    return rounded(reduce(DataFrame.unionByName, marts))
+
+
+def smooth_incremental(spark, sf):
+    """Stored smooths after a refresh over days that came, went and changed since the first one."""
+    days = type_days(spark, sf)
+    kernels = smooth.date_kernels(["boxcar"], FEW) + smooth.date_kernels(["gaussian"], (1,), 9.0)
+    store = SmoothStore(spark, scratch_uri(spark, "smooths"), kernels, step=7)
+    other = F.when(F.col("user_id") % 5 == 0, F.col("value") * 2).otherwise(F.col("value"))
+    early = days.where((F.col("date") < "2024-01-24") | (F.col("user_id") % 2 == 0))
+    gone = days.where(F.col("date") >= "2024-01-29").withColumn("date", F.date_add("date", 40))
+    store.refresh(early.withColumn("value", other).unionByName(gone))
+    store.refresh(days)
+    return rounded(store.read("user_id bigint, metric string, series string"))
+
+
 # --- stored files ----------------------------------------------------------------------------
 
 def _order_frame(spark, sf) -> DataFrame:
@@ -677,7 +725,7 @@ def registry() -> dict[str, Query]:
         load_rows, load_status_flat, all_zero_days, status_lookup, status_tally, empty_dates,
         placeholders, watermark, missing_dates, last_write_wins, upsert_daily, upsert_intraday,
         load_daily, load_weight_calendar, load_intraday, load_incremental, load_incremental_days, landed_files, stream_load,
-        quarantined_rows, table_append_update, table_snapshots, stored_row_means,
+        quarantined_rows, table_append_update, table_snapshots, stored_row_means, process_all, publish_series, smooth_incremental,
         topk_recent, activity_list, strength_sets, type_split, dq_unique, dq_not_null,
         unreadable_bodies, io_roundtrip_parquet, io_roundtrip_csv, io_union,
     )
