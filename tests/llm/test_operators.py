@@ -449,6 +449,32 @@ def test_mixing(spark, docs, rows, empty):
     assert mixing.mix_plan(docs).count() == len(rows) and mixing.mix(empty).count() == 0 and mixing.mix_plan(empty).count() == 0
 
 
+def test_mixing_shards_and_edges(spark, monkeypatch):
+    rows = [(i, prose(i, 3 + i % 40), "en", "ab"[i % 3 == 0], 0) for i in range(900)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    for stride, words_of_block in ((4_096, 2_000), (3, 50)):
+        monkeypatch.setattr(mixing, "STRIDE", stride)
+        monkeypatch.setattr(mixing, "BLOCK_WORDS", words_of_block)
+        monkeypatch.setattr(mixing, "SHARD_BLOCKS", 1_000)
+        plan = mixing.mix_plan(frame, shards=7).collect()
+        taken = Counter()
+        for r in plan:
+            taken[r.source] += r.taken
+        # a last row is taken when its middle fits, so the words are within half the longest row
+        assert all(abs(taken[r.source] - r.target) <= 21 for r in plan)
+        placed = sorted((d.shard, d.place, r.doc_id) for r in plan for d in r.draws)
+        parts = mixing.mix(frame, shards=7).rdd.glom().collect()
+        assert [[r.doc_id for r in part] for part in parts] == [[i for s, _, i in placed if s == n] for n in range(7)]
+    # a table of one row many times: the edge runs through equal rows
+    same = spark.createDataFrame([(1, "one two three four", "en", s, 0) for s in ["a"] * 300 + ["b"] * 100], SCHEMA)
+    plan = mixing.mix_plan(same, shards=3).collect()
+    taken = Counter()
+    for r in plan:
+        taken[r.source] += r.taken
+    goals = {r.source: r.target for r in plan}
+    assert len(plan) == 400 and all(abs(taken[s] - goals[s]) <= 2 for s in "ab")
+
+
 # --- nearest neighbours ---
 
 def test_neighbours(spark):
