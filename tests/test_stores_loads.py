@@ -52,6 +52,32 @@ def frame(spark, metric, *rows):
 
 # --- files ---
 
+def test_sorted_export(spark, tmp_path, make):
+    files = FrameStore(spark, base_uri(local_dir=str(tmp_path)))
+    rows = [(None, 0), (None, 1)] + [(i // 3, i) for i in range(40)]
+    df = make("k int, n int", *rows[::-1]).repartition(3)
+    files.write_sorted(df, "t", ("k", "n"), rows_per_file=5)
+    files.write_sorted(df, "t", ("k", "n"), rows_per_file=5)  # replaces
+    got = sorted(files.read_sorted("t").collect(), key=lambda r: r.row)
+    assert [(r.k, r.n) for r in got] == rows and [r.row for r in got] == list(range(42))
+    assert [r.file for r in got] == sorted(r.file for r in got) and max(r.file for r in got) >= 8
+    listed = files.manifest("t").orderBy("file").collect()
+    for m in listed:
+        own = [(r.k, r.n) for r in got if r.file == m.file]
+        assert (tuple(m.low), tuple(m.high), m.rows, m.first_row) == (own[0], own[-1], len(own), rows.index(own[0]))
+    for low, high in ((4, 5), (None, 2), (12, None), (0, 0), (50, None), (7, 3)):
+        part = files.read_sorted("t", low, high)
+        want = [(k, n, rows.index((k, n))) for k, n in rows if k is not None and (low is None or k >= low) and (high is None or k <= high)]
+        assert sorted((r.k, r.n, r.row) for r in part.collect()) == want
+    between = files.read_sorted("t", 4, 5)
+    assert len(between.inputFiles()) <= 4 < len(listed)  # manifest included
+    files.write_sorted(df.where("n < 0"), "none", ("k",))
+    assert files.read_sorted("none").collect() == [] and files.manifest("none").collect() == []
+    for call in (lambda: files.write_sorted(df, "t", ()), lambda: (files.write_sorted(df.withColumnRenamed("n", "Row"), "u", ("k",)), files.read_sorted("u"))):
+        with pytest.raises(ValueError):
+            call()
+
+
 def test_frame_store(spark, tmp_path, make):
     files = FrameStore(spark, base_uri(local_dir=str(tmp_path)))
     df = make("a int, b string, d date, x double", (1, "x,\"y\"", D(2024, 1, 1), 0.1), (2, None, None, None))

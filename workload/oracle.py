@@ -384,6 +384,10 @@ UNION ALL SELECT 'documents', doc_id FROM documents WHERE NOT json_valid(text)""
         "io_roundtrip_csv": f"SELECT {ORDER_COLUMNS} FROM orders",
         "io_union": f"""SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, CAST(o_orderdate AS DATE) AS date,
   CASE WHEN o_orderdate < DATE '{INCOMING_FROM}' THEN o_orderpriority END AS o_orderpriority FROM orders""",
+        "sorted_export": f"""WITH x AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS date,
+  row_number() OVER (ORDER BY CAST(o_orderdate AS DATE) NULLS FIRST, o_orderkey NULLS FIRST) - 1 AS row FROM orders)
+SELECT *, true AS in_bounds, 'all' AS part FROM x
+UNION ALL SELECT *, true, 'between' FROM x WHERE date BETWEEN DATE '{INCOMING_FROM}' AND DATE '{STORED_UNTIL}'""",
     }
     out |= {f"clean_{n}": _clean(n) for n in DAILY_PAYLOADS}
     out |= {f"ingest_{n}": _ingest_daily(n) for n in DAILY_PAYLOADS}

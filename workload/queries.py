@@ -716,6 +716,20 @@ def io_union(spark, sf):
     return rounded(store.read("old.parquet").unionByName(store.read("new.parquet"), allowMissingColumns=True))
 
 
+def sorted_export(spark, sf):
+    """A sorted export with the place of each row, and what a read between two dates gives."""
+    orders = _order_frame(spark, sf)
+    store = FrameStore(spark, scratch_uri(spark, "sorted"))
+    store.write_sorted(orders, "orders.parquet", ("date", "o_orderkey"), rows_per_file=5_000)
+    bounds = store.manifest("orders.parquet").select("file", "low", "high")
+    key = F.struct("date", "o_orderkey")
+    every = store.read_sorted("orders.parquet").join(bounds, "file").withColumn("in_bounds", key.between(F.col("low"), F.col("high")))
+    some = store.read_sorted("orders.parquet", *(dt.date.fromisoformat(d) for d in (INCOMING_FROM, STORED_UNTIL)))
+    columns = ["o_orderkey", "date", "row", "in_bounds", "part"]
+    return every.withColumn("part", F.lit("all")).select(*columns).unionByName(
+        some.withColumns({"in_bounds": F.lit(True), "part": F.lit("between")}).select(*columns))
+
+
 def registry() -> dict[str, Query]:
     plain = (
         daily_mean_calendar, distinct_dates, date_calendar, range_chunks, sma_centered, sma_all_widths,
@@ -727,7 +741,7 @@ def registry() -> dict[str, Query]:
         load_daily, load_weight_calendar, load_intraday, load_incremental, load_incremental_days, landed_files, stream_load,
         quarantined_rows, table_append_update, table_snapshots, stored_row_means, process_all, publish_series, smooth_incremental,
         topk_recent, activity_list, strength_sets, type_split, dq_unique, dq_not_null,
-        unreadable_bodies, io_roundtrip_parquet, io_roundtrip_csv, io_union,
+        unreadable_bodies, io_roundtrip_parquet, io_roundtrip_csv, io_union, sorted_export,
     )
     out: dict[str, Query] = {f.__name__: f for f in plain}
     out |= {f"clean_{n}": clean_query(n) for n in clean.CLEANERS}
