@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +16,8 @@ from restwave.sources.snapshots import Manifest, Snapshots, new_commit
 
 PARTITION = "part"
 ROWS, UNITS = "rows", "units"
+#: Units of a list up to which Spark may send it to all executors; files of repeated keys look far smaller than they are.
+BROADCAST_UNITS = 100_000
 
 
 class SmoothStore:
@@ -74,6 +76,11 @@ class SmoothStore:
     def _same(self, df: DataFrame, other: DataFrame) -> list[Column]:
         return [df[k].eqNullSafe(other[f"_o_{k}"]) for k in self.keys] + [df["_block"] == other["_o__block"]]
 
+    @staticmethod
+    def _listed(units: DataFrame, count: int) -> DataFrame:
+        """A list of about `count` units as a side of a join: a long one is sorted and merged, not gathered on the driver."""
+        return units if count <= BROADCAST_UNITS else units.hint("merge")
+
     @staticmethod
     def _renamed(df: DataFrame) -> DataFrame:
         return df.select(*[F.col(c).alias(f"_o_{c}") for c in df.columns])
@@ -92,7 +99,7 @@ class SmoothStore:
                               units["_sum"].isNull().alias("_gone"))
         start, end = F.col("_block") * self.step, (F.col("_block") + 1) * self.step - 1
         reached = changed.select(*self.keys, self._blocks(start - self.hi, end - self.lo).alias("_block")).distinct()
-        here = self._renamed(units.select(*self.keys, "_block"))
+        here = self._renamed(units.select(*self.keys, "_block")).hint("merge")
         # What a change reaches and still has source rows, and what has none any more.
         return (reached.join(here, self._same(reached, here), "left_semi").withColumn("_gone", F.lit(False))
                 .unionByName(changed.where("_gone")))
@@ -123,7 +130,7 @@ class SmoothStore:
             touched = {r[0]: r[1] for r in stale.groupBy("_block").count().collect()}
             if not touched:
                 return 0
-            self._write(source, units, stale, base, commit, fields, sorted(touched))
+            self._write(source, units, stale, base, commit, fields, touched)
             values = self._values(base, ROWS, touched) + self._values(base, UNITS, touched)
             self.files.publish(base, commit, values, "refresh", sum(touched.values()))
             return sum(touched.values())
@@ -131,18 +138,21 @@ class SmoothStore:
             fs.delete(path, True)
 
     def _write(self, source: DataFrame, units: DataFrame, stale: DataFrame, base: Manifest, commit: str,
-               fields: Sequence[T.StructField], blocks: list[int]) -> None:
-        """The touched blocks as they are now: kept units as stored, stale ones computed with their halos."""
+               fields: Sequence[T.StructField], touched: Mapping[int, int]) -> None:
+        """The touched blocks (with their numbers of stale units) as they are now: kept units as stored, stale ones
+        computed with their halos."""
+        blocks, count = sorted(touched), sum(touched.values())
         start, end = F.col("_block") * self.step, (F.col("_block") + 1) * self.step - 1
         live = stale.where(~F.col("_gone"))
         halo = live.select(*self.keys, F.col("_block").alias("_home"), self._blocks(start + self.lo, end + self.hi).alias("_block"))
-        needed = self._renamed(halo.groupBy(*self.keys, "_block").agg(F.max(F.col("_home") == F.col("_block")).alias("_mine")))
+        reach = (self.hi - self.lo) // self.step + 2
+        needed = self._listed(self._renamed(halo.groupBy(*self.keys, "_block").agg(F.max(F.col("_home") == F.col("_block")).alias("_mine"))), count * reach)
         taken = source.join(needed, self._same(source, needed)).select(*self.keys, "_day", "_y", F.col("_o__mine").alias("_mine"))
         means = banded_means(taken, self.keys, "_day", "_y", self.kernels, carry=["_mine"]).where("_mine")
         fresh = means.select(*self.keys, F.date_from_unix_date("_day").alias(self.date), "kernel", "bandwidth",
                              "value", F.floor(F.col("_day") / F.lit(self.step)).alias("_block"))
         stored = self.files.read(self._row_schema(fields), base, self._values(base, ROWS, blocks))
-        other = self._renamed(stale.select(*self.keys, "_block"))
+        other = self._listed(self._renamed(stale.select(*self.keys, "_block")), count)
         rows = stored.join(other, self._same(stored, other), "left_anti").unionByName(fresh)
         part = F.col("_block").cast("string")
         self.files.write(rows.withColumn(PARTITION, F.concat(F.lit(f"{ROWS}_"), part)).hint("rebalance", PARTITION), commit)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from restwave.operators import smooth
 from restwave.operators.clean import CLEANERS
 from restwave.plans import publish
+from restwave.plans import smooths as stored_smooths
 from restwave.plans.smooths import SmoothStore
 from restwave.schemas import SERIES_VIEWS, table
 from restwave.sources.files import FrameStore
@@ -141,3 +142,19 @@ def test_marts_rewrite_changed_months_only(spark, make, tmp_path):
     assert publish.refresh_series(files, 1, 6)["steps"] == ["none"]
     with pytest.raises(ValueError):
         publish.read_series(files, "nothing")
+
+
+def test_long_lists_of_units_are_not_broadcast(smooths, make, monkeypatch):
+    monkeypatch.setattr(stored_smooths, "BROADCAST_UNITS", 3, raising=False)
+    plans, write, stale = [], smooths.files.write, smooths._stale
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin"))
+    monkeypatch.setattr(smooths.files, "write", lambda rows, commit: (plan(rows), write(rows, commit)))
+    monkeypatch.setattr(smooths, "_stale", lambda *a: (df := stale(*a), plan(df))[0])
+    rows = [(u, "m", None, day(i), float(i % 7)) for u in ("a", None) for i in range(40)]
+    assert smooths.refresh(make(LONG, *rows)) == 10 and sum(plans) == 0
+    changed = [*rows[:-1], (None, "m", None, day(39), 50.0)]
+    assert smooths.refresh(make(LONG, *changed)) == 2 and cells(smooths.read(KEYS)) == fresh(make(LONG, *changed))
+    changed = [(*r[:4], r[4] + 1) for r in changed if r[0] is None]
+    plans.clear()
+    assert smooths.refresh(make(LONG, *changed)) == 10 and sum(plans) == 0
+    assert cells(smooths.read(KEYS)) == fresh(make(LONG, *changed))
