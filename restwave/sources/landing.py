@@ -8,9 +8,15 @@ columns from any other store serves just as well; `BodyStore` compacts files to
 
 from __future__ import annotations
 
+import contextlib
+import os
+import sys
 import time
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +25,9 @@ from restwave.session import use_utc
 from restwave.sources.snapshots import ConcurrentWrite, Snapshots, new_commit
 from restwave.sources.tables import observed
 
+# The task-side helper travels with its job: executors need pyarrow, not this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 LANDED = "user_id string, metric string, query_date date, batch bigint, body string"
 REPLIES = "reload"
 _NAME = r"metric=([^/]+)/batch=(\d+)/([^/]+)_(\d{4}-\d{2}-\d{2})\.json$"
@@ -144,20 +153,64 @@ def batch_directories(spark: SparkSession, root: str, metric: str) -> list[tuple
 
 
 def land(landed: DataFrame, root: str) -> int:
-    """Writes LANDED rows as landed files, one for each (metric, batch, user, date), each of which may have one row."""
-    spark = landed.sparkSession
-    draft = f"{root.rstrip('/')}/_landing-{uuid.uuid4().hex}"
-    keys = ["metric", "batch", "user_id", "query_date"]
-    landed.select(*keys, "body").repartition(*keys).write.partitionBy(*keys).text(draft)
+    """Writes LANDED rows as landed files, one for each (metric, batch, user, date), each of which may have one row.
+
+    Into a folder that all executors share, the tasks write the files themselves. In any other store Spark's writer
+    does, to a draft whose files the driver then moves one by one: as many calls of the store as there are files.
+    """
+    spark, keys = landed.sparkSession, ["metric", "batch", "user_id", "query_date"]
     path = spark._jvm.org.apache.hadoop.fs.Path
-    fs, found, n = path(draft).getFileSystem(spark._jsc.hadoopConfiguration()), None, 0
-    found = fs.listFiles(path(draft), True)
+    fs, base = path(root).getFileSystem(spark._jsc.hadoopConfiguration()), path(root)
+    if fs.getUri().getScheme() == "file":
+        parts = landed.select(*[F.col(k).cast("string") for k in keys], F.col("body").cast("string")).repartition(*keys).sortWithinPartitions(*keys)
+        return parts.mapInArrow(_files_in(base.toUri().getPath()), "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    draft = path(base, f"_landing-{uuid.uuid4().hex}")
+    landed.select(*keys, "body").repartition(*keys).write.partitionBy(*keys).text(draft.toString())
+    found, n = fs.listFiles(draft, True), 0
     while found.hasNext():
         source = found.next().getPath()
         place = dict(p.split("=", 1) for p in source.toString().split("/") if "=" in p)
         if source.getName().startswith("part-"):
-            folder = path(f"{root.rstrip('/')}/metric={place['metric']}/batch={place['batch']}")
+            folder = path(base, f"metric={place['metric']}/batch={place['batch']}")
             fs.mkdirs(folder)
             n += fs.rename(source, path(folder, f"{place['user_id']}_{place['query_date']}.json"))
-    fs.delete(path(draft), True)
+    fs.delete(draft, True)
     return n
+
+
+def _files_in(root: str):
+    """The task-side helper over rows sorted by their file; gives the number of files of each batch of rows.
+
+    Names are those of Spark's partition directories. A file appears whole, by a rename, and a repeated task
+    replaces it. The rows of the last file of a batch wait for the next one.
+    """
+    escaped = {ord(c): f"%{ord(c):02X}" for c in (*map(chr, range(1, 32)), *"\"#%'*/:=?\\\x7f{[]^")}
+    name = lambda v: v.translate(escaped) if v else "__HIVE_DEFAULT_PARTITION__"
+
+    def write(place: tuple, bodies: list[str | None]) -> None:
+        metric, batch, user, date = map(name, place)
+        folder = os.path.join(root, f"metric={metric}", f"batch={batch}")
+        os.makedirs(folder, exist_ok=True)
+        draft = os.path.join(folder, f".{uuid.uuid4().hex}")
+        with open(draft, "wb") as out:
+            out.writelines((b or "").encode() + b"\n" for b in bodies)
+        with contextlib.suppress(FileNotFoundError):  # the checksum of a file that is replaced
+            os.remove(os.path.join(folder, f".{user}_{date}.json.crc"))
+        os.replace(draft, os.path.join(folder, f"{user}_{date}.json"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, bodies = None, []
+        for batch in batches:
+            n = 0
+            for *here, body in zip(*[c.to_pylist() for c in batch.columns]):
+                if bodies and here != place:
+                    write(place, bodies)
+                    n, bodies = n + 1, []
+                place = here
+                bodies.append(body)
+            yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+        if bodies:
+            write(place, bodies)
+            yield pa.RecordBatch.from_pydict({"n": pa.array([1], pa.int64())})
+
+    return run

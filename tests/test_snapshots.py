@@ -6,6 +6,7 @@ import re
 import time
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from restwave.plans import load
@@ -142,6 +143,22 @@ def test_landing_writes_what_reading_gives(spark, tmp_path):
     assert sorted(trimmed.collect()) == sorted(rows.collect()) and os.listdir(tmp_path) == ["metric=steps"]
 
 
+def test_tasks_write_landed_files_to_a_shared_folder(spark, tmp_path, monkeypatch):
+    calls = []
+    text = DataFrameWriter.text
+    monkeypatch.setattr(DataFrameWriter, "text", lambda *a, **k: (calls.append(a), text(*a, **k)))
+    (tmp_path / "metric=steps" / "batch=1").mkdir(parents=True)
+    (tmp_path / "metric=steps" / "batch=1" / ".b_2024-01-01.json.crc").write_bytes(b"stale")
+    rows = [("b", D(2024, 1, 1), 1, "{}"), ("b", D(2024, 1, 1), 1, "{}"), (None, D(2024, 1, 2), 1, None), ("x:%*[]", D(2024, 1, 2), 2, "ü\n")]
+    landed = spark.createDataFrame([(u, "steps", d, b, x) for u, d, b, x in rows], LANDED)
+    assert land(landed, f"file:{tmp_path}") == 3 and land(landed.limit(0), f"file:{tmp_path}") == 0
+    assert land(landed.where("batch = 2"), f"file:{tmp_path}") == 1  # once more replaces it
+    assert not calls  # no draft that the driver moves file by file
+    got = {(r.user_id, r.query_date.day, r.batch, r.body) for r in read_landed(spark, f"file:{tmp_path}", "steps").collect()}
+    assert got == {("b", 1, 1, "{}\n{}\n"), ("x:%*[]", 2, 2, "ü\n\n")}
+    assert sorted(os.listdir(tmp_path / "metric=steps" / "batch=1")) == ["__HIVE_DEFAULT_PARTITION___2024-01-02.json", "b_2024-01-01.json"]
+
+
 # --- loads of what is new ---
 
 def test_arrivals_are_opened_once(spark, store, tmp_path):
