@@ -15,6 +15,7 @@ from restwave.sources import tables
 from restwave.sources.landing import LANDED, BodyStore, land, read_landed
 from restwave.sources.snapshots import ConcurrentWrite, Manifest, Snapshots, new_commit
 from restwave.sources.tables import TableStore
+from restwave.streaming import landing as streams
 from restwave.streaming.landing import apply_batch
 from test_stores_loads import at, drop_file, frame, hr_body, steps_body
 
@@ -208,6 +209,21 @@ def test_settled_days_are_left_out_by_key(spark, store, tmp_path):
         ("a", 1, 60.0, "fetched"), ("a", 3, 93.0, "fetched"), ("a", 4, 94.0, "fetched"), *[("b", i, 90.0 + i, "fetched") for i in (1, 2, 3, 4)]]
 
 
+def test_a_micro_batch_is_read_once_for_both_sinks(spark, store, tmp_path, monkeypatch):
+    days = [("a", D(2024, 1, i), i, steps_body((i, i))) for i in range(1, 5)] + [("b", D(2024, 1, 1), 1, "{broken")]
+    land(frame(spark, "steps", *days), f"file:{tmp_path}/landing")
+    held, key = [], "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    monkeypatch.setattr(streams, "apply_batch", lambda store, batch, epoch, *a: (
+        held.append((batch.storageLevel.useMemory, batch.sparkSession.conf.get(key))), apply_batch(store, batch, epoch, *a)))
+    query = streams.load_available(store, f"file:{tmp_path}/landing", "steps", f"file:{tmp_path}/check", D(2024, 1, 9), files_per_trigger=3)
+    query.awaitTermination(120)
+    assert query.exception() is None and held == [(True, spark.conf.get("spark.sql.shuffle.partitions"))] * 2
+    assert spark.conf.get(key) == before and spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
+    assert sorted(r.total_steps for r in store.df("steps").collect()) == [1.0, 2.0, 3.0, 4.0]
+    assert [(r.user_id, r.reason) for r in store.lost("steps").collect()] == [("b", "body")]
+
+
 def test_a_repeated_micro_batch_changes_neither_sink(spark, store, monkeypatch):
     good = frame(spark, "steps", ("a", D(2024, 1, 1), 1, steps_body((1, 1))), ("b", D(2024, 1, 1), 1, "{broken"))
     run = lambda epoch, rows: apply_batch(store, rows, epoch, "steps", "s", D(2024, 1, 9))
