@@ -34,6 +34,8 @@ ANCHOR = 5
 PHRASE = (WIDTH + 1) // 2
 BATCH_BYTES = 4 << 20
 BUCKET_BYTES = 32 << 20
+#: Keys that a bucket compares at a time; about 8 MB.
+RANGE = 65_536
 #: Phrases of one automaton; about 100 MB.
 SHARD = 131_072
 
@@ -127,32 +129,57 @@ def _answers(table: pa.Table, kind: int, of: dict[int, np.ndarray], bucket: int)
         "bits": pa.array([np.packbits(x).tobytes() for x in of.values()], pa.binary())})
 
 
-def _split(values: np.ndarray, sizes: list[int], batches: list[int]) -> dict[int, np.ndarray]:
-    return dict(zip(batches, np.split(values, np.cumsum(sizes)[:-1])))
+def _arrays(column: pa.ChunkedArray, kind: type) -> list[np.ndarray]:
+    """The values of binary cells, where they lie."""
+    return [np.frombuffer(x.as_buffer(), kind) for x in column]
+
+
+def _ranges(keys: list[np.ndarray]) -> list[list[slice]]:
+    """The places of ranges of the hash in several arrays of sorted keys, of about RANGE keys in all each."""
+    first, last = min(int(k[0]) for k in keys), max(int(k[-1]) for k in keys)
+    n = sum(map(len, keys)) // RANGE + 1
+    edges = np.array([first + (last - first + 1) * i // n for i in range(1, n)], np.uint64)
+    cuts = [[0, *np.searchsorted(k, edges).tolist(), len(k)] for k in keys]
+    return [[slice(c[i], c[i + 1]) for c in cuts] for i in range(n)]
 
 
 def _recurring_anchors(table: pa.Table) -> pa.Table:
     """One bucket: an anchor recurs if two batches or two documents of one batch have it."""
-    keys = [np.frombuffer(x, np.uint64) for x in table["keys"].to_pylist()]
-    several = np.concatenate([np.frombuffer(x, bool) for x in table["docs"].to_pylist()])
-    _, back, count = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-    hit = count > 1
-    hit[back[several]] = True
-    return _answers(table, 1, _split(hit[back], [len(k) for k in keys], table["batch"].to_pylist()), table["bucket"][0].as_py())
+    keys, several = _arrays(table["keys"], np.uint64), _arrays(table["docs"], bool)
+    hits = [np.zeros(len(k), bool) for k in keys]
+    for spans in _ranges(keys):
+        _, back, count = np.unique(np.concatenate([k[s] for k, s in zip(keys, spans)]), return_inverse=True, return_counts=True)
+        hit = count > 1
+        hit[back[np.concatenate([x[s] for x, s in zip(several, spans)])]] = True
+        _put(hits, spans, hit[back])
+    return _answers(table, 1, dict(zip(table["batch"].to_pylist(), hits)), table["bucket"][0].as_py())
 
 
 def _earlier_windows(table: pa.Table) -> pa.Table:
     """One bucket: whether a document before the batch's first one has the window."""
-    keys = [np.frombuffer(x, np.uint64).reshape(2, -1) for x in table["keys"].to_pylist()]
-    least = np.concatenate([np.frombuffer(x, np.int64) for x in table["docs"].to_pylist()])
-    h1, h2 = np.concatenate(keys, axis=1)
-    order = np.lexsort((least, h2, h1))
-    s1, s2 = h1[order], h2[order]
-    new = np.concatenate([[True], (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1])])
-    group = np.cumsum(new) - 1
-    earlier = np.empty(len(order), bool)
-    earlier[order] = least[order][np.flatnonzero(new)][group] < least[order]
-    return _answers(table, 2, _split(earlier, [k.shape[1] for k in keys], table["batch"].to_pylist()), table["bucket"][0].as_py())
+    keys, docs = [k.reshape(2, -1) for k in _arrays(table["keys"], np.uint64)], _arrays(table["docs"], np.int64)
+    found = [np.zeros(k.shape[1], bool) for k in keys]
+    for spans in _ranges([k[0] for k in keys]):
+        h1, h2 = np.concatenate([k[:, s] for k, s in zip(keys, spans)], axis=1)
+        if not len(h1):
+            continue
+        least = np.concatenate([x[s] for x, s in zip(docs, spans)])
+        order = np.lexsort((least, h2, h1))
+        s1, s2 = h1[order], h2[order]
+        new = np.concatenate([[True], (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1])])
+        group = np.cumsum(new) - 1
+        earlier = np.empty(len(order), bool)
+        earlier[order] = least[order][np.flatnonzero(new)][group] < least[order]
+        _put(found, spans, earlier)
+    return _answers(table, 2, dict(zip(table["batch"].to_pylist(), found)), table["bucket"][0].as_py())
+
+
+def _put(arrays: list[np.ndarray], spans: list[slice], values: np.ndarray) -> None:
+    at = 0
+    for array, span in zip(arrays, spans):
+        past = at + span.stop - span.start
+        array[span] = values[at:past]
+        at = past
 
 
 def _bits(answers: pa.Table, kind: int, keys: np.ndarray, buckets: int) -> np.ndarray:

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -130,6 +131,33 @@ def test_repeats_go(docs, rows, monkeypatch, shard):
         assert sum(s.past - s.first for s in r.removed_spans) == r.n_removed
 
 
+def test_buckets_are_compared_by_ranges(monkeypatch):
+    rng = np.random.default_rng(1)
+    keys = [np.sort(rng.integers(0, 2**64 - 1, 20_000, dtype=np.uint64, endpoint=True)) for _ in range(16)]
+    keys[1][5_000:5_100] = keys[0][5_000:5_100]
+    keys[1].sort()
+    ids = [np.full(20_000, 10 - i, np.int64) for i in range(16)]
+
+    def asked(cells, docs):
+        return pa.table({"bucket": pa.array([4] * 16), "batch": pa.array(range(16)), "keys": pa.array([c.tobytes() for c in cells], pa.binary()),
+                         "docs": pa.array([d.tobytes() for d in docs], pa.binary())})
+
+    tables = [(substrings._recurring_anchors, asked(keys, [np.arange(20_000) < 3] * 16)),
+              (substrings._earlier_windows, asked([np.stack([k, k]) for k in keys], ids))]
+    want = [{x for x in keys[1] if x in set(keys[0])} | {x for k in keys for x in k[:3]}, {x for x in keys[0] if x in set(keys[1])}]
+    for (f, table), hits in zip(tables, want):
+        tracemalloc.start()
+        got = f(table)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 2 * 16 * 20_000 * 16  # a few arrays of a range, not of the bucket
+        bits = [np.unpackbits(np.frombuffer(b, np.uint8), count=20_000).astype(bool) for b in got["bits"].to_pylist()]
+        assert {x for k, b in zip(keys, bits) for x in k[b]} == hits
+        monkeypatch.setattr(substrings, "RANGE", 500)
+        assert f(table).equals(got)
+        monkeypatch.undo()
+
+
 def test_repeats_are_found_by_the_automata(spark, monkeypatch):
     """Batches in this process: with empty automata nothing goes."""
     passage = prose(1, 40)
