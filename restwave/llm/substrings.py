@@ -36,8 +36,8 @@ BATCH_BYTES = 4 << 20
 BUCKET_BYTES = 32 << 20
 #: Keys that a bucket compares at a time; about 8 MB.
 RANGE = 65_536
-#: Phrases of one automaton; about 100 MB.
-SHARD = 131_072
+#: Phrases of one automaton; about 25 MB.
+SHARD = 32_768
 
 _ASKED = "bucket long, batch long, keys binary, docs binary"
 _ANSWERED = "batch long, bucket long, kind int, bits binary"
@@ -260,23 +260,23 @@ def _near_phrases(batch: _Batch, codes: np.ndarray, windows: np.ndarray) -> np.n
     return np.cumsum(near[:-1]) > 0
 
 
-def _result(table: pa.Table, batch: _Batch, gone: np.ndarray) -> pa.Table:
-    data = batch.bytes.tobytes()
+def _result(table: pa.Table, batch: _Batch, gone: np.ndarray, carried: list[str]) -> pa.Table:
+    data = memoryview(batch.bytes)
     bounds = np.searchsorted(batch.row, np.arange(batch.rows + 1))
     removed = np.add.reduceat(np.concatenate([gone, [False]]).astype(np.int64), bounds[:-1]) if batch.rows else np.zeros(0, np.int64)
     n_words = np.diff(bounds)
     removed[n_words == 0] = 0
     texts, spans = [], []
-    starts, ends = batch.starts.tolist(), batch.ends.tolist()
     for r in range(batch.rows):
         a, b = int(bounds[r]), int(bounds[r + 1])
         out = gone[a:b]
-        keep = (np.flatnonzero(~out) + a).tolist()
-        texts.append(b" ".join([data[starts[i]:ends[i]] for i in keep]))
+        # lists of one document's words only: as Python numbers they take several times their arrays
+        starts, ends = batch.starts[a:b][~out].tolist(), batch.ends[a:b][~out].tolist()
+        texts.append(b" ".join([data[i:j] for i, j in zip(starts, ends)]))
         turn = np.flatnonzero(np.diff(np.concatenate([[0], out.astype(np.int8), [0]]))).reshape(-1, 2)
         spans.append([{"first": x, "past": y} for x, y in turn.tolist()])
     return pa.table({
-        "row": table["row"], "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(removed, pa.int64()),
+        **{c: table[c] for c in carried}, "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(removed, pa.int64()),
         "removed_spans": pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("past", pa.int64())]))),
         "kept_text": pa.array(texts, pa.binary()).cast(pa.string())})
 
@@ -291,14 +291,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     empty result. Input columns named like an output give way to it.
     """
     ship_package(docs.sparkSession)
-    source = docs.select(row_struct(docs, keep).alias("row"), named(docs, id_col).cast("long").alias("id"), named(docs, text_col).cast("string").alias("text"))
+    chosen = docs.columns if keep is None else keep
+    # a text that is returned as well travels once, beside the row
+    once = text_col in chosen and docs.select(named(docs, text_col)).schema[0].dataType == T.StringType()
+    carried = ["row", "text"] if once else ["row"]
+    row = row_struct(docs, [c for c in chosen if c != text_col] if once else keep)
+    source = docs.select(row.alias("row"), named(docs, id_col).cast("long").alias("id"), named(docs, text_col).cast("string").alias("text"))
     size = source.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
     total = max(int(size[0] or 0), 64 * int(size[1]))
     batches, buckets = total // BATCH_BYTES + 1, total // BUCKET_BYTES + 1
     dealt = F.pmod(F.xxhash64("id", "text"), F.lit(batches))
     dealt_docs = source.select("row", F.coalesce("id", F.lit(NO_ID)).alias("id"), "text", dealt.alias("batch"))
     located_type = T.StructType([
-        T.StructField("row", dealt_docs.schema["row"].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
+        *[dealt_docs.schema[c] for c in carried], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
         T.StructField("removed_spans", T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("past", T.LongType())]))),
         T.StructField("kept_text", T.StringType())])
 
@@ -320,10 +325,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def locate(table: pa.Table, answers: pa.Table) -> pa.Table:
         batch = _Batch(table, width)
         found = batch.windows(recurring(batch, answers))
-        return _result(table, batch, _covered(batch, found, _bits(answers, 2, found["h1"], buckets)))
+        gone = _covered(batch, found, _bits(answers, 2, found["h1"], buckets))
+        del found
+        pa.default_memory_pool().release_unused()  # else the worker keeps it through later stages
+        return _result(table, batch, gone, carried)
 
     anchors = dealt_docs.groupBy("batch").applyInArrow(ask_anchors, _ASKED).groupBy("bucket").applyInArrow(_recurring_anchors, _ANSWERED)
     windows = (dealt_docs.groupBy("batch").cogroup(anchors.groupBy("batch")).applyInArrow(ask_windows, _ASKED)
                .groupBy("bucket").applyInArrow(_earlier_windows, _ANSWERED))
     located = dealt_docs.groupBy("batch").cogroup(anchors.unionByName(windows).groupBy("batch")).applyInArrow(locate, located_type)
+    if once:
+        located = located.withColumn("row", F.struct(*[(F.col("text") if c == text_col else F.col("row").getField(c)).alias(c) for c in chosen]))
     return with_outputs(located, "row", ["n_words", "n_removed", "removed_spans", "kept_text"])

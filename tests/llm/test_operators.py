@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 
 import public_tokenizers
 from restwave.llm import bpe, classifier, html, mixing, neighbours, rules, sequences, simhash, substrings, urls
-from restwave.llm.common import text_buffers, word_runs
+from restwave.llm.common import row_struct, text_buffers, word_runs
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -195,6 +195,30 @@ def test_repeats_over_many_batches_and_buckets(spark, monkeypatch):
         assert multiset((x.doc_id, x.n_words, x.n_removed, x.kept_text) for x in got) == multiset(remove_brute(made, width))
 
 
+def test_repeats_send_a_returned_text_once(docs, monkeypatch):
+    sent = []
+    monkeypatch.setattr(substrings, "row_struct", lambda df, keep: (sent.append(keep), row_struct(df, keep))[1])
+    for keep in (None, ["text", "doc_id"], ["text"]):
+        out = substrings.remove_repeats(docs, keep=keep)
+        assert "text" not in sent.pop() and out.columns[:len(keep or docs.columns)] == (keep or docs.columns)
+        assert multiset(out.select(*(keep or docs.columns)).collect()) == multiset(docs.select(*(keep or docs.columns)).collect())
+    raw = docs.withColumn("text", F.col("text").cast("binary"))  # not the text that is scanned, so it comes back as it was
+    hexed = F.hex("text")
+    assert multiset(substrings.remove_repeats(raw).select(hexed).collect()) == multiset(raw.select(hexed).collect())
+
+
+def test_repeats_hold_lists_of_one_document_only():
+    texts = [prose(i, 2_000) for i in range(40)]
+    table = pa.table({"row": pa.array(range(40)), "id": pa.array(range(40), pa.int64()), "text": texts})
+    batch = substrings._Batch(table, 13)
+    tracemalloc.start()
+    out = substrings._result(table, batch, np.arange(len(batch.row)) % 200 >= 100, ["row"])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out["kept_text"].to_pylist() == [" ".join(w for i, w in enumerate(words(t)) if i % 200 < 100) for t in texts]
+    assert peak < 40 * len(batch.row)  # a Python number takes 40 bytes, and a word has two
+
+
 def test_repeats_clashing_names_and_empty(docs, empty):
     clash = docs.withColumns({"id": F.lit(1), "batch": F.lit("b"), "row": F.lit(2.0), "n_words": F.lit("old"), "odd name`": F.lit(3)})
     out = substrings.remove_repeats(clash)
