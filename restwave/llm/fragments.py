@@ -5,6 +5,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
+#: Texts that a tokenizer encodes in one call.
+AT_ONCE = 2_000
+
 
 class FragmentCache:
     """Token ids of fragments, all in one array. When it holds `most` fragments, those that only one batch
@@ -50,10 +53,13 @@ class FragmentCache:
 
 
 def flat_ids(tokenizer, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts in one array, and their numbers."""
-    ids = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-    return np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum())), sizes
+    """Ids of all texts in one array, and their numbers. Few texts at a time, as an encoding takes many times its ids."""
+    ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+    for lo in range(0, len(texts), AT_ONCE):
+        found = [e.ids for e in tokenizer.encode_batch_fast(texts[lo:lo + AT_ONCE], add_special_tokens=False)]
+        sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+        ids.append(np.fromiter((i for x in found for i in x), np.uint32, int(sizes[-1].sum())))
+    return np.concatenate(ids), np.concatenate(sizes)
 
 
 def encode_cut(data: np.ndarray, cuts: np.ndarray, cache: FragmentCache) -> tuple[np.ndarray, np.ndarray]:

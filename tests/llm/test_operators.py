@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import public_tokenizers
-from restwave.llm import bpe, classifier, html, mixing, neighbours, rules, sequences, simhash, substrings, urls
+from restwave.llm import bpe, classifier, fragments, html, mixing, neighbours, rules, sequences, simhash, substrings, urls
 from restwave.llm.common import row_struct, text_buffers, word_runs
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -226,6 +226,24 @@ def test_repeats_clashing_names_and_empty(docs, empty):
     assert substrings.remove_repeats(empty).count() == 0
 
 
+# --- fragments ---
+
+def test_texts_are_encoded_few_at_a_time():
+    real, calls = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            calls.append(len(texts))
+            return real.encode_batch_fast(texts, **options)
+
+    texts = [prose(i, i % 4) for i in range(5_000)]
+    ids, sizes = fragments.flat_ids(Counted(), texts)
+    want = [real.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sum(calls) == 5_000 and max(calls) <= 2_000
+    assert sizes.tolist() == [len(x) for x in want] and ids.dtype == np.uint32 and ids.tolist() == [i for x in want for i in x]
+    assert [x.tolist() for x in fragments.flat_ids(Counted(), [])] == [[], []]
+
+
 # --- SimHash ---
 
 def simhash_brute(text, size):
