@@ -34,12 +34,13 @@ def _range(landed: DataFrame, date: str, run_date: dt.date, start: dt.date, end:
 
 def load_daily(store: TableStore, landed: DataFrame, name: str, run_date: dt.date,
                start: dt.date = FIRST_DATE, hook: Hook | None = None, end: dt.date | None = None,
-               dates: Collection[dt.date] | None = None, marks: Mapping[str, int] | None = None) -> int:
+               dates: Collection[dt.date] | None = None, marks: Mapping[str, int] | None = None, defer: bool = False) -> int:
     """Upsert the landed entries of the range; returns the number of inserted or changed rows.
 
     A stored row keeps the version it came from and only gives way to a greater one, so any cut
     of the same responses into loads, in any order, leaves the same table. `hook` is an optional
-    DataFrame transformation of the batch.
+    DataFrame transformation of the batch. `defer` as in `TableStore.upsert`; a hook's batch is
+    never deferred.
     """
     name = metric_table(name, "daily").name
     rows = _range(decode_daily(landed, name), "date", run_date, start, end, dates)
@@ -48,7 +49,7 @@ def load_daily(store: TableStore, landed: DataFrame, name: str, run_date: dt.dat
         batch = _bridged(batch, store.df(name))
     if hook:
         batch = batch.transform(hook)
-    return store.upsert(name, batch.withColumn("date_pulled", F.lit(run_date)), marks)
+    return store.upsert(name, batch.withColumn("date_pulled", F.lit(run_date)), marks, defer and not hook)
 
 
 def _bridged(batch: DataFrame, stored: DataFrame) -> DataFrame:
@@ -64,7 +65,7 @@ def _bridged(batch: DataFrame, stored: DataFrame) -> DataFrame:
 def load_intraday(store: TableStore, landed: DataFrame, name: str, run_date: dt.date,
                   start: dt.date = FIRST_DATE, answers: DataFrame | None = None,
                   hook: Hook | None = None, end: dt.date | None = None,
-                  dates: Collection[dt.date] | None = None, marks: Mapping[str, int] | None = None) -> int:
+                  dates: Collection[dt.date] | None = None, marks: Mapping[str, int] | None = None, defer: bool = False) -> int:
     """Upsert the landed days of the range; returns the number of inserted or changed rows.
 
     As with `load_daily` the stored versions decide, and a day has one outcome (`intraday_batch`).
@@ -74,7 +75,7 @@ def load_intraday(store: TableStore, landed: DataFrame, name: str, run_date: dt.
     batch = intraday_batch(decode_intraday(due, name, answers)).withColumn("date_pulled", F.lit(run_date))
     if hook:
         batch = batch.transform(hook)
-    return store.upsert(name, batch, marks)
+    return store.upsert(name, batch, marks, defer and not hook)
 
 
 def newest_batch(store: TableStore, name: str) -> int | None:

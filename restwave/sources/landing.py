@@ -30,16 +30,17 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LANDED = "user_id string, metric string, query_date date, batch bigint, body string"
 REPLIES = "reload"
-_NAME = r"metric=([^/]+)/batch=(\d+)/([^/]+)_(\d{4}-\d{2}-\d{2})\.json$"
+_NAME = r"metric=([^/]+)/batch=(\d+)/([^/]+)_(\d{4}-\d{2}-\d{2})\.json\z"
 
 
-def from_paths(files: DataFrame, file: bool = False) -> DataFrame:
-    """File text plus path metadata to LANDED rows, on request with the file's name; other files are left out."""
-    path = F.col("_metadata.file_path")
-    part = lambda i: F.regexp_extract(path, _NAME, i)
+def from_paths(files: DataFrame, file: bool = False, path: str | None = None) -> DataFrame:
+    """File text plus path metadata (or a column of plain paths) to LANDED rows, on request with the file's name; other files are left out."""
+    at = F.col(path or "_metadata.file_path")
+    part = lambda i: F.regexp_extract(at, _NAME, i)
     decoded = lambda c: F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
-    name = decoded(part(3))  # paths are encoded; besides, `land` writes a user's reserved characters in that form
-    return files.where(path.rlike(_NAME)).select(
+    # The paths of the metadata are encoded; besides, `land` writes a user's reserved characters in that form.
+    name = part(3) if path else decoded(part(3))
+    return files.where(at.rlike(_NAME)).select(
         F.coalesce(decoded(name), name).alias("user_id"),
         part(1).alias("metric"),
         F.to_date(part(4)).alias("query_date"), part(2).cast("bigint").alias("batch"),
@@ -47,15 +48,68 @@ def from_paths(files: DataFrame, file: bool = False) -> DataFrame:
 
 
 def read_landed(spark: SparkSession, root: str, metric: str, first_batch: int | None = None) -> DataFrame:
-    """Landed responses of one metric; only its own directory is listed. None yet is no rows."""
+    """Landed responses of one metric; only its own directory is listed. None yet is no rows.
+
+    In a folder that all executors share, a task lists the files when the rows are asked for and tasks read them. In any
+    other store Spark's reader does; its list of all files lies in the driver's memory.
+    """
     uri = f"{root.rstrip('/')}/metric={metric}"
     path = spark._jvm.org.apache.hadoop.fs.Path(uri)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
         return spark.createDataFrame([], LANDED)
-    landed = from_paths(spark.read.text(uri, wholetext=True, recursiveFileLookup=True))
+    if fs.getUri().getScheme() == "file":
+        names = spark.range(1, numPartitions=1).mapInArrow(_paths_under(path.toUri().getPath()), "path string")
+        dealt = names.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
+        texts = dealt.mapInArrow(_texts, "path string, value binary").withColumn("value", F.col("value").cast("string"))
+        landed = from_paths(texts, path="path")
+    else:
+        landed = from_paths(spark.read.text(uri, wholetext=True, recursiveFileLookup=True))
     return landed if first_batch is None else landed.where(F.col("batch") >= first_batch)
 
 
+#: Files and bytes of a batch of rows that a task reads.
+_FILES, _BYTES = 1_000, 4 << 20
+
+
+def _paths_under(root: str):
+    """The task-side helper that gives the paths of all files under a folder that Spark's reader would open."""
+    shown = lambda n: not (n.startswith(".") or n.startswith("_") and "=" not in n or n.endswith("._COPYING_"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            pass
+        for folder, inner, names in os.walk(root, followlinks=True, onerror=_raised):
+            inner[:] = filter(shown, inner)
+            paths = [os.path.join(folder, n) for n in names if shown(n)]
+            for i in range(0, len(paths), 10 * _FILES):
+                yield pa.RecordBatch.from_pydict({"path": pa.array(paths[i:i + 10 * _FILES], pa.string())})
+
+    return run
+
+
+def _raised(error: OSError) -> None:
+    raise error
+
+
+def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The task-side helper that reads whole files; empty ones give no rows, as with Spark's reader."""
+    rows = lambda found: pa.RecordBatch.from_pydict({
+        "path": pa.array([p for p, _ in found], pa.string()), "value": pa.array([b for _, b in found], pa.binary())})
+    for batch in batches:
+        found, size = [], 0
+        for path in batch.column(0).to_pylist():
+            with open(path, "rb") as f:
+                body = f.read()
+            if body:
+                found.append((path, body))
+                size += len(body)
+            if size > _BYTES or len(found) == _FILES:
+                yield rows(found)
+                found, size = [], 0
+        yield rows(found)
+
+
 def stream_landed(spark: SparkSession, root: str, metric: str, files_per_trigger: int = 10_000) -> DataFrame:
     """As `read_landed`, as a stream of newly landed files."""
     files = (spark.readStream.format("text").option("wholetext", True)

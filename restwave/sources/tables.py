@@ -4,28 +4,32 @@ A table is partitioned by a value derived from its key (month of the date or ins
 bucket of the activity), so an upsert reads and rewrites only the partitions its batch touches
 and still finds every stored row of an incoming key. Writes are published as a whole (see
 `snapshots`): a frame that was read before a write keeps its rows, and of two writers that
-change the same partitions the later one raises `ConcurrentWrite`.
+change the same partitions the later one raises `ConcurrentWrite`. A deferred upsert only adds its
+rows beside the stored ones; readers merge them by key, and so does, for good, the next upsert or `merge`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 from typing import Any
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from restwave.functions import end_of_day
 from restwave.operators.clean import nulls_for_nan
 from restwave.operators.quality import require_keys
-from restwave.operators.upsert import CHANGED, VERSION, upsert
+from restwave.operators.upsert import CHANGED, VERSION, last_write, upsert
 from restwave.schemas import PART, TABLES, Table, table
 from restwave.session import use_utc
-from restwave.sources.snapshots import Manifest, Snapshots, new_commit
+from restwave.sources.snapshots import COMMIT, ConcurrentWrite, Manifest, Snapshots, delta_number, new_commit, new_delta
 
 REMOVE = "is_marker"
+#: Deferred upserts of a partition after which they are merged.
+DEFERRED = 64
 LOST = "user_id string, query_date date, batch bigint, place int, reason string, metric string"
 
 
@@ -95,7 +99,17 @@ class TableStore:
         return self.snapshots(name).expire(keep, grace_seconds)
 
     def _stored(self, name: str, manifest: Manifest | None = None, parts: list[str] | None = None) -> DataFrame:
-        return self.snapshots(name).read(table(name).stored_schema, manifest or self._manifest(name), parts)
+        t, snapshots, manifest = table(name), self.snapshots(name), manifest or self._manifest(name)
+        waiting = [v for v in manifest.deltas if parts is None or v in parts]
+        if not waiting:
+            return snapshots.read(t.stored_schema, manifest, parts)
+        # As if one upsert after the other had been merged: the greatest version of a key counts, of equal ones the first.
+        keys, place = (*t.keys, PART), "_place"
+        deltas = snapshots.read_deltas(t.stored_schema, manifest, waiting).drop("id").withColumn(place, -delta_number(F.col(COMMIT))).drop(COMMIT)
+        newest = last_write(deltas, keys, (*VERSION, place), keep=VERSION)
+        others = [v for v in manifest.parts if v not in waiting and (parts is None or v in parts)]
+        merged = upsert(snapshots.read(t.stored_schema, manifest, waiting), newest, keys, order=VERSION)
+        return merged.unionByName(snapshots.read(t.stored_schema, manifest, others)) if others else merged
 
     def df(self, name: str, version: int | None = None) -> DataFrame:
         """Lazy scan of a table, of the newest or a given version. NaN was made null when the rows were written."""
@@ -203,13 +217,16 @@ class TableStore:
         """The partitions of a batch: at most its months, or the fixed number of hash buckets."""
         return [r[0] for r in staged.select(PART).distinct().collect()]
 
-    def upsert(self, name: str, batch: DataFrame, marks: Mapping[str, int] | None = None) -> int:
+    def upsert(self, name: str, batch: DataFrame, marks: Mapping[str, int] | None = None, defer: bool = False) -> int:
         """Insert or overwrite by key; returns the number of rows that this inserts or changes.
 
         Rows with the VERSION columns only overwrite what has no greater version. Rows without
         them always overwrite. A true `_hidden` column stores a row that readers don't see and
         that isn't counted; a true `is_marker` column removes a stored row instead of writing one.
         The merged partitions and `marks` become visible together, as one version.
+
+        With `defer`, whole rows with the VERSION columns are stored as they are, for readers to merge, so many small
+        batches don't rewrite a large month each time. The batch must hold each key once; returns its number of rows.
         """
         t = table(name)
         if not t.unique:
@@ -217,6 +234,8 @@ class TableStore:
         snapshots, base, commit = self.snapshots(name), self._manifest(name), new_commit()
         marked, versioned = REMOVE in batch.columns, VERSION[0] in batch.columns
         batch = self._with_version(nulls_for_nan(batch)).withColumn(PART, t.part())
+        if defer and versioned and {*batch.columns, "id"} == {*t.stored_schema.names}:
+            return self._add_delta(t, base, batch, marks)
         # The batch is kept once, as its plan would otherwise run for each use.
         seen, staging = Observation(), f"{self.base}/_staging/{commit}"
         batch.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(staging)
@@ -244,3 +263,39 @@ class TableStore:
         finally:
             fs.delete(path, True)
         return count if marked else done.get("n", 0)
+
+    def _add_delta(self, t: Table, base: Manifest, batch: DataFrame, marks: Mapping[str, int] | None) -> int:
+        snapshots, commit, seen = self.snapshots(t.name), new_delta(base), Observation()
+        rows = batch.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in t.stored_schema if f.name != "id"])
+        null = reduce(Column.__or__, [F.col(k).isNull() for k in (*t.keys, PART)])
+        counted = rows.observe(seen, F.count(F.lit(1)).alias("n"), F.collect_set(PART).alias("parts"), F.count_if(null).alias("lost"))
+        snapshots.write(counted, commit)  # laid out as it comes: a merge will move the rows anyway
+        found = observed(seen)
+        parts, count = found.get("parts", []), found.get("n", 0)
+        if found.get("lost"):
+            snapshots.discard(commit, [*parts, "__HIVE_DEFAULT_PARTITION__"])
+            raise ValueError(f"null in required columns {list(t.keys)}")
+        if count or marks:
+            new = snapshots.publish(base, commit, parts, "defer" if count else "mark", count, marks=marks, delta=True)
+            due = [v for v in parts if len(new.deltas.get(v, [])) >= DEFERRED]
+            if due:
+                self.merge(t.name, due)
+        return count
+
+    def merge(self, name: str, parts: list[str] | None = None) -> list[str]:
+        """Merges what deferred upserts have added to some or all partitions; returns the partitions rewritten.
+
+        Readers see the same rows before and after. If another writer changes one of them meanwhile, they stay as they are.
+        """
+        snapshots, base, commit, seen = self.snapshots(name), self._manifest(name), new_commit(), Observation()
+        due = [v for v in base.deltas if parts is None or v in parts]
+        if not due:
+            return []
+        rows = self._stored(name, base, due).observe(seen, F.count(F.lit(1)).alias("n"))
+        snapshots.write(rows.hint("rebalance", PART), commit)
+        try:
+            snapshots.publish(base, commit, due, "merge", observed(seen).get("n", 0))
+        except ConcurrentWrite:
+            snapshots.discard(commit, due)
+            return []
+        return due

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from restwave.plans import load
 from restwave.schemas import INTRADAY_PAYLOADS, PART
 from restwave.sources import tables
-from restwave.sources.landing import LANDED, BodyStore, land, read_landed
+from restwave.sources.landing import LANDED, BodyStore, from_paths, land, read_landed
 from restwave.sources.snapshots import ConcurrentWrite, Manifest, Snapshots, new_commit
 from restwave.sources.tables import TableStore
 from restwave.streaming import landing as streams
@@ -236,3 +236,91 @@ def test_a_repeated_micro_batch_changes_neither_sink(spark, store, monkeypatch):
     other = frame(spark, "steps", ("a", D(2024, 1, 2), 1, steps_body((2, 2))))
     assert run(0, other) == 0 and run(1, other) == 1 and store.lost().count() == 1
     assert LANDED.startswith("user_id")
+
+
+# --- many small batches ---
+
+VERSIONED = f"{STEPS}, step_goal double, total_distance double, date_pulled date, _rank int, _batch bigint, _asked date, _entry int, _item int"
+
+
+def test_deferred_upserts_give_what_merged_ones_give(spark, tmp_path, make, monkeypatch):
+    monkeypatch.setattr(tables, "DEFERRED", 3)
+    row = lambda u, d, x, batch, rank=1, item=0: (u, d, x, None, float("nan"), D(2024, 3, batch + 1), rank, batch, D(2024, 1, 1), 0, item)
+    jan, feb = D(2024, 1, 5), D(2024, 2, 5)
+    batches = [[row("a", jan, 1.0, 2), row("b", jan, 2.0, 2)],
+               [row("a", jan, 9.0, 1), row("b", jan, 3.0, 3), row("new", feb, 4.0, 3)],  # older, newer, another month
+               [row("b", jan, 5.0, 3), row("a", feb, 6.0, 0, 0), row("c", jan, 6.5, 4)],  # the same version: the first stays
+               [row("a", feb, None, 0, 0, 1), row("c", jan, 7.0, 4, 1, 1)], [row("d", jan, 8.0, 5)]]
+    shown, counts = [], []
+    for defer in (False, True):
+        store = TableStore(spark, f"file:{tmp_path}/db{defer}")
+        store.create("steps")
+        store.add_records("steps", make("id bigint, user_id string, date date, step_goal double", (7, "c", jan, 1.0)))
+        counts.append([store.upsert("steps", make(VERSIONED, *b), {"m": i}, defer) for i, b in enumerate(batches)])
+        store.upsert("steps", make(STEPS, ("d", jan, 10.0)))  # merges January and has no version
+        assert store.upsert("steps", make(VERSIONED, row("e", jan, 1.0, 1)), {"m": 9}, defer) == 1
+        assert store.upsert("steps", make(VERSIONED), {"m": 10}, defer) == 0 and store.marks("steps")["m"] == 10
+        shown.append(sorted(map(tuple, store._stored("steps").select("id", "user_id", "date", "total_steps", "total_distance", "date_pulled", "_rank", "_batch", "_item", PART).collect()), key=repr))
+        with pytest.raises(ValueError):
+            store.upsert("steps", make(VERSIONED, row(None, jan, 1.0, 1)), None, defer)
+    assert shown[0] == shown[1] and counts == [[2, 2, 2, 2, 1], [2, 3, 3, 2, 1]]
+    done = [m.operation for m in store.history("steps")]
+    assert done == ["create", "insert", "defer", "defer", "defer", "merge", "defer", "merge", "defer", "upsert", "defer", "mark"]
+    now = store._manifest("steps")
+    assert {v: len(c) for v, c in now.deltas.items()} == {"2024-01": 1} and show(store.df("steps", 4)) == show(store.df("steps", 5))
+    before = [show(store.df("steps", v)) for v in (3, now.version)]
+    assert store.merge("steps") == ["2024-01"] and store.merge("steps") == []
+    assert [show(store.df("steps", v)) for v in (3, now.version)] == before and show(store.df("steps")) == before[-1]
+    store.expire("steps", keep=2, grace_seconds=0)
+    assert show(store.df("steps", now.version)) == before[-1] == show(store.df("steps"))
+
+
+def test_a_merge_gives_way_to_another_writer(store, make, monkeypatch):
+    row = ("a", D(2024, 1, 1), 1.0, None, None, D(2024, 1, 2), 1, 1, D(2024, 1, 1), 0, 0)
+    store.upsert("steps", make(VERSIONED, row), defer=True)
+    write = Snapshots.write
+    with monkeypatch.context() as m:
+        m.setattr(Snapshots, "write", lambda s, rows, commit: (
+            m.undo(), write(s, rows, commit), store.upsert("steps", make(STEPS, ("a", D(2024, 1, 1), 5.0)))))
+        assert store.merge("steps") == []
+    assert show(store.df("steps")) == [("a", D(2024, 1, 1), 5.0)] and not store._manifest("steps").deltas
+
+
+def test_the_newest_version_is_found_without_a_list(store, make, monkeypatch):
+    store.upsert("steps", make(STEPS, ("a", D(2024, 1, 1), 1.0)))
+    assert store.version("steps") == 1
+    with monkeypatch.context() as m:
+        m.setattr(Snapshots, "versions", lambda s: 1 / 0)
+        assert store.upsert("steps", make(STEPS, ("a", D(2024, 1, 1), 2.0))) == 1 and store.version("steps") == 2
+    store.drop("steps")
+    with pytest.raises(ValueError):
+        store.version("steps")
+    store.create("steps")
+    assert store.version("steps") == 0
+
+
+def test_a_stream_adds_micro_batches_without_rewriting(spark, store, tmp_path, monkeypatch):
+    land(frame(spark, "steps", *[("a", D(2024, 1, i), i, steps_body((1, i), (i, i))) for i in range(1, 5)]), f"file:{tmp_path}/landing")
+    sessions, made = [], streams.stream_landed
+    monkeypatch.setattr(streams, "stream_landed", lambda s, *a: (sessions.append(s), made(s, *a))[1])
+    query = streams.load_available(store, f"file:{tmp_path}/landing", "steps", f"file:{tmp_path}/check", D(2024, 1, 9), files_per_trigger=1)
+    query.awaitTermination(120)
+    assert query.exception() is None and show(store.df("steps")) == [("a", D(2024, 1, 1), 4.0), *[("a", D(2024, 1, i), float(i)) for i in (2, 3, 4)]]
+    assert [m.operation for m in store.history("steps")] == ["create", *["defer"] * 4] and len(store._manifest("steps").deltas["2024-01"]) == 4
+    # the session in which the source lists each micro-batch keeps its few tasks
+    assert sessions[0].conf.get(streams.LISTING) == "4" != spark.conf.get(streams.LISTING)
+
+
+def test_tasks_list_and_read_landed_files(spark, tmp_path):
+    rows = [("a b+", D(2024, 1, 1), 1, "{}"), ("ü/%", D(2024, 1, 2), 2, "é\n")]
+    land(frame(spark, "steps", *rows), f"file:{tmp_path}")
+    folder = tmp_path / "metric=steps" / "batch=1"
+    for name, body in ((".h_2024-01-01.json", b"x"), ("_h_2024-01-01.json", b"x"), ("empty_2024-01-01.json", b""), ("odd.json", b"x"), ("bad_2024-01-03.json", b"\xff{")):
+        (folder / name).write_bytes(body)
+    (folder / "_gone").mkdir()
+    (folder / "_gone" / "metric=steps").mkdir()
+    got = read_landed(spark, f"file:{tmp_path}", "steps")
+    assert "MapInArrow" in (plan := got._jdf.queryExecution().executedPlan().toString()) and "FileScan" not in plan
+    told = lambda df: sorted(map(tuple, df.withColumn("body", F.hex("body")).collect()))
+    assert told(got) == told(from_paths(spark.read.text(f"file:{tmp_path}/metric=steps", wholetext=True, recursiveFileLookup=True)))
+    assert [r.user_id for r in got.orderBy("user_id").collect()] == ["a b+", "bad", "ü/%"] and got.where("batch = 2").count() == 1
